@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import packing, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -12,9 +12,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op6_sharding": op6_sharding}
+QUERIES = {"op1_packing": op1_packing, "op4_suffix_dedup": op4_suffix_dedup, "op6_sharding": op6_sharding}
 ORACLES: dict[str, str] = {}
