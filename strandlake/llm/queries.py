@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sharding, suffix_dedup
+from . import language_id, packing, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -12,6 +13,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = language_id.predict_languages(documents(spark, sf_dir), train=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -20,5 +27,5 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_suffix_dedup": op4_suffix_dedup, "op6_sharding": op6_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op4_suffix_dedup": op4_suffix_dedup, "op6_sharding": op6_sharding}
 ORACLES: dict[str, str] = {}
