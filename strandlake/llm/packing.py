@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,31 +29,73 @@ from pyspark.sql import DataFrame
 _LOADED: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
-    """Ids of texts, with a cache by word.
+class WordIds:
+    """Ids of texts, with caches by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words in order.  Words over ``longest`` characters are not kept,
-    and the cache starts anew at ``most`` words: memory stays bounded, ids the same."""
+    those of its chunks between spaces, in order.  Most chunks are letters and a tail
+    of punctuation, which it takes apart as well; ASCII letters it lowers.  So only
+    distinct words are encoded, many at a time: the id that ends a word tells them
+    apart again.  Caches start anew beyond ``most`` entries and long chunks are not
+    kept: memory stays bounded, ids the same."""
 
-    def __init__(self, path: str, most: int = 1_000_000, longest: int = 48):
+    TAIL = ".,;:!?*%&$#()\"-"
+
+    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> None:
+        """Ids of words of letters into the cache; any that do not come out as one
+        run with one end are encoded by themselves."""
+        groups = [words[k : k + 400] for k in range(0, len(words), 400)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(group):
+                raw, at = ids.tobytes(), 0
+                for word, end in zip(group, ((last + 1) * 4).tolist()):
+                    self.words[word] = raw[at:end]
+                    at = end
+            else:
+                for word in group:
+                    self.words[word] = self.one(word)
+
+    def one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def bytes_of(self, texts: list[str], end_id: int | None) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        if len(self) > self.most:
-            self.clear()
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self})
-        rare = {}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (self if len(w) <= self.longest else rare)[w] = array("I", e.ids).tobytes()
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        parts, need, rare = [], set(), {}
+        for chunk in set().union(*split) - self.chunks.keys():
+            word = chunk.rstrip(self.TAIL)
+            if word.isalpha() and len(chunk) <= self.longest:
+                tail = chunk[len(word) :]
+                word = word.lower() if word.isascii() else word
+                parts.append((chunk, word, tail))
+                if word not in self.words:
+                    need.add(word)
+                if tail not in self.words:
+                    self.words[tail] = self.one(tail)
+            else:
+                (self.chunks if len(chunk) <= self.longest else rare)[chunk] = self.one(chunk)
+        self.encode(list(need))
+        for chunk, word, tail in parts:
+            self.chunks[chunk] = self.words[word] + self.words[tail] if tail else self.words[word]
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
         if not rare:
-            return [b"".join(map(self.__getitem__, ws)) + tail for ws in words]
-        return [b"".join([self[w] if w in self else rare[w] for w in ws]) + tail for ws in words]
+            return [b"".join(map(self.chunks.__getitem__, cs)) + tail for cs in split]
+        return [b"".join([self.chunks[c] if c in self.chunks else rare[c] for c in cs]) + tail for cs in split]
 
 
 def word_ids(path: str | None) -> WordIds:
