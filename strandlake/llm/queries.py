@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, sharding, suffix_dedup
+from . import anisotropic, html_extract, language_id, packing, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -19,13 +19,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op4_suffix_dedup": op4_suffix_dedup, "op6_sharding": op6_sharding}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_language_id, op3_anisotropic_search, op4_suffix_dedup, op5_html_extraction, op6_sharding)
+}
 ORACLES: dict[str, str] = {}
