@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, html_extract, language_id, packing, sharding, suffix_dedup
+from . import anisotropic, decontaminate, html_extract, language_id, order_minhash, packing, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -35,8 +35,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.benchmark_hits(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op3_anisotropic_search, op4_suffix_dedup, op5_html_extraction, op6_sharding)
+    for f in (op1_packing, op2_language_id, op3_anisotropic_search, op4_suffix_dedup, op5_html_extraction, op6_sharding, op8_order_minhash, op9_decontamination)
 }
 ORACLES: dict[str, str] = {}
