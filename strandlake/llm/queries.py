@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, decontaminate, html_extract, language_id, order_minhash, packing, sharding, suffix_dedup
+from . import anisotropic, decontaminate, html_extract, language_id, lm_score, order_minhash, packing, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -45,8 +45,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    return lm_score.score_texts(documents(spark, sf_dir), train)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op3_anisotropic_search, op4_suffix_dedup, op5_html_extraction, op6_sharding, op8_order_minhash, op9_decontamination)
+    for f in (op1_packing, op2_language_id, op3_anisotropic_search, op4_suffix_dedup, op5_html_extraction, op6_sharding, op8_order_minhash, op9_decontamination, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
