@@ -11,8 +11,10 @@ Which windows of that length are repeated is settled exactly, in three steps.
    aggregation leaves the anchors whose key occurs twice at least.
 2. Copies.  If all contexts of a key are the same bytes, all their windows repeat.
    Only keys with different contexts go on, one context of each kind.
-3. Expansion.  Contexts of a partition, ordered by key, are laid end to end in blocks
-   of bounded size.  From the block's suffix array come its Burrows-Wheeler transform
+3. Expansion.  Within a key, windows are grouped again by finer offsets from the anchor
+   (``fine`` at a time) and by the longer stretch that such windows share; what is alone
+   or the same in all copies is settled, what differs is laid end to end in blocks of
+   bounded size.  From the block's suffix array come its Burrows-Wheeler transform
    and the mapping from last to first column.  Breadth-first backward extension
    starts at the interval of the empty string: the intervals of all strings cw are
    found from those of w, and a bound of an interval that no shorter string had gets
@@ -37,6 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 SLICE = 2 << 20
 
 
@@ -83,25 +87,32 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int, reach: int) -> tuple
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse by prefix doubling; symbols are 0 to 256."""
+    """Suffix array and its inverse by prefix doubling.  Keys carry their position in
+    the low bits, so that one plain sort of integers orders them."""
     n = len(text)
+    bits = max(1, (n + 1).bit_length())
+    if 3 * bits > 63:
+        raise ValueError(f"a block of {n} symbols is too large")
+    symbols, code = np.unique(text, return_inverse=True)
+    wide = max(1, len(symbols).bit_length())
+    place = np.arange(n, dtype=np.int64)
+    h = (63 - bits) // wide
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key <<= 9
-        key[: n - k] |= text[k:]
-    h, sa = 7, np.argsort(key)
+    for k in range(h):
+        key <<= wide
+        key[: max(0, n - k)] |= code[k:] + 1
     while True:
+        both = np.sort((key << bits) | place)
+        sa, key = both & ((1 << bits) - 1), both >> bits
         step = np.empty(n, np.int64)
-        ordered = key[sa]
         step[0] = 0
-        np.cumsum(ordered[1:] != ordered[:-1], out=step[1:])
+        np.cumsum(key[1:] != key[:-1], out=step[1:])
         rank = np.empty(n, np.int64)
         rank[sa] = step
         if step[-1] == n - 1:
             return sa, rank
-        key = (rank + 1) << 32
-        key[: n - h] |= rank[h:] + 1
-        sa = np.argsort(key)
+        key = (rank + 1) << bits
+        key[: max(0, n - h)] |= rank[h:] + 1
         h *= 2
 
 
@@ -155,6 +166,39 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     return [again[b : b + len(c) - length + 1] for b, c in zip(bases, contexts)]
 
 
+def settled(groups: list[list[tuple[int, bytes, int]]], length: int, fine: int) -> list[list[np.ndarray]]:
+    """For each group (the different contexts of a key, as (times seen, bytes, offset of
+    the anchor)) and context: whether the window at each start is repeated."""
+    flags = [[np.zeros(len(body) - length + 1, bool) for _, body, _ in group] for group in groups]
+    laid: dict[bytes, int] = {}
+    open_: list[tuple[bytes, list[tuple[np.ndarray, int]]]] = []
+    for group, marks in zip(groups, flags):
+        finer: dict[tuple[int, bytes], dict[bytes, list]] = {}
+        for (times, body, anchor), mark in zip(group, marks):
+            if times > 1:
+                mark[:] = True
+            last = len(body) - length
+            for g in range((anchor - last) // fine, anchor // fine + 1):
+                lo, hi = max(0, anchor - g * fine - fine + 1), min(last, anchor - g * fine)
+                core = body[anchor - g * fine : anchor - g * fine - fine + 1 + length]
+                finer.setdefault((g, core), {}).setdefault(body[lo : hi + length], []).append((times, mark, lo))
+        for kinds in finer.values():
+            for part, places in kinds.items():
+                if len(places) > 1 or places[0][0] > 1:
+                    for _, mark, lo in places:
+                        mark[lo : lo + len(part) - length + 1] = True
+            if len(kinds) > 1:
+                for part, places in kinds.items():
+                    laid.setdefault(part, len(laid))
+                    open_.append((part, [(mark, lo) for _, mark, lo in places]))
+    if laid:
+        found = repeated_windows(list(laid), length)
+        for part, places in open_:
+            for mark, lo in places:
+                mark[lo : lo + len(part) - length + 1] |= found[laid[part]]
+    return flags
+
+
 def spans_of(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([False], windows, [False])).astype(np.int8)))
     return [(int(a), int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
@@ -185,7 +229,7 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, list[byte
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 2000, block_bytes: int = 1 << 19, carry: tuple[str, ...] = (), with_text: bool = False
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 2000, block_bytes: int = 2 << 20, fine: int = 32, carry: tuple[str, ...] = (), with_text: bool = False
 ) -> DataFrame:
     """One row for each row: ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
     runs), ``kept_sha256``; ``with_text`` adds ``kept`` (the remaining bytes) and
@@ -215,9 +259,9 @@ def remove_repeats(
                         pa.array(np.array([digest(joined[x : x + core]) for x in a], np.uint64).view(np.int64)),
                         pa.array(np.array([digest(joined[x:y]) for x, y in zip(s, e)], np.uint64).view(np.int64)),
                         pa.array([rks[k] for k in doc.tolist()], pa.binary()),
-                        pa.array((s1 - starts).astype(np.int32)), pa.array((s2 - s1).astype(np.int32)),
+                        pa.array((s1 - starts).astype(np.int32)), pa.array((s2 - s1).astype(np.int32)), pa.array((np.array(a) - s1).astype(np.int32)),
                     ],
-                    ["_key", "_ctx", "_rk", "_s", "_n"],
+                    ["_key", "_ctx", "_rk", "_s", "_n", "_r"],
                 )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +278,7 @@ def remove_repeats(
             out: list[tuple] = []
             for body, asked in zip(batch.column("_z"), batch.column("_asked")):
                 text = z.decompress(body.as_py())
-                out += [(x["_key"], x["_ctx"], x["_m"], x["_big"], text[x["_s"] : x["_s"] + x["_n"] + length]) for x in asked.as_py()]
+                out += [(x["_key"], x["_ctx"], x["_m"], x["_r"], text[x["_s"] : x["_s"] + x["_n"] + length]) for x in asked.as_py()]
                 if len(out) > 4000:
                     yield contexts_batch(out)
                     out = []
@@ -243,7 +287,7 @@ def remove_repeats(
 
     def contexts_batch(rows: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.binary())], ["_key", "_ctx", "_m", "_big", "_body"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], ["_key", "_ctx", "_m", "_r", "_body"])
 
     found_schema = "_key long, _ctx long, _spans array<struct<a:int,b:int>>"
     span_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -254,23 +298,25 @@ def remove_repeats(
 
     def expansion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size = 0
 
         def settle() -> pa.RecordBatch:
-            flags = repeated_windows([h[3] for h in held], length)
-            spans = [[(0, len(h[3]))] if h[2] > 1 else spans_of(w, length) for h, w in zip(held, flags)]
-            return found_batch([(h[0], h[1], s) for h, s in zip(held, spans) if s])
+            groups: dict[int, list[tuple]] = {}
+            for key, ctx, m, r, body in held:
+                groups.setdefault(key, []).append((ctx, m, body, r))
+            flags = settled([[x[1:] for x in g] for g in groups.values()], length, fine)
+            out = [(key, x[0], spans_of(w, length)) for (key, g), ws in zip(groups.items(), flags) for x, w in zip(g, ws)]
+            return found_batch([x for x in out if x[2]])
 
         for batch in batches:
-            for row in zip(batch.column("_key").to_pylist(), batch.column("_ctx").to_pylist(), batch.column("_m").to_pylist(), batch.column("_body").to_pylist()):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_ctx", "_m", "_r", "_body"))):
                 if held and row[:2] == held[-1][:2]:  # a repeated row gives its contexts again
                     continue
-                if row[0] != last and size > block_bytes:
+                if held and row[0] != held[-1][0] and size > block_bytes:
                     yield settle()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
-                last = row[0]
+                size += len(row[4])
         if held:
             yield settle()
 
@@ -307,22 +353,28 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + data, out_names)
 
     texts = df.select(id_col, text_col)
-    occ = texts.mapInArrow(occurrences, "_key long, _ctx long, _rk binary, _s int, _n int")
+    occ = texts.mapInArrow(occurrences, "_key long, _ctx long, _rk binary, _s int, _n int, _r int")
     keys = occ.groupBy("_key").agg(F.count("*").alias("_m"), F.min("_ctx").alias("_lo"), F.max("_ctx").alias("_hi"))
     keys = keys.filter("_m > 1").select("_key", (F.col("_lo") != F.col("_hi")).alias("_mixed"))
-    hits = occ.join(keys, "_key")
+    hits = cut(occ.join(keys, "_key"), "repeated-anchors")
     mixed = hits.filter("_mixed")
-    kind = mixed.groupBy("_key", "_ctx").agg(F.count("*").alias("_m"), F.min(F.struct("_rk", "_s", "_n")).alias("_one"))
+    kind = mixed.groupBy("_key", "_ctx").agg(F.count("*").alias("_m"), F.min(F.struct("_rk", "_s", "_n", "_r")).alias("_one"))
     large = kind.groupBy("_key").agg((F.count("*") > most_contexts).alias("_big"))
-    asked = kind.join(large, "_key").groupBy(F.col("_one._rk").alias("_rk")).agg(F.collect_list(F.struct("_key", "_ctx", "_m", "_big", "_one._s", "_one._n")).alias("_asked"))
+    kind = cut(kind.join(large, "_key"), "contexts")
     extra = ", ".join(f"`{n}` {kinds[n]}" for n in names)
     docs = df.select(id_col, text_col, *names[1:]).mapInArrow(packed, f"_rk binary, _z binary, {extra}")
-    contexts = docs.join(asked, "_rk").select("_rk", "_z", id_col, "_asked").mapInArrow(cut_out, "_key long, _ctx long, _m long, _big boolean, _body binary")
-    small = contexts.filter("not _big").repartition("_key").sortWithinPartitions("_key", "_ctx").mapInArrow(expansion, found_schema)
-    fine = contexts.filter("_big").dropDuplicates(["_key", "_ctx"]).mapInArrow(windows, "_h binary, _key long, _ctx long, _m long, _at int")
-    twice = fine.groupBy("_h").agg(F.sum("_m").alias("_t")).filter("_t > 1").select("_h")
-    fine = fine.join(twice, "_h").groupBy("_key", "_ctx").agg(F.collect_list(F.struct(F.col("_at").alias("a"), (F.col("_at") + length).alias("b"))).alias("_spans"))
-    found = small.unionByName(fine)
+
+    def contexts(some: DataFrame) -> DataFrame:
+        asked = some.groupBy(F.col("_one._rk").alias("_rk")).agg(F.collect_list(F.struct("_key", "_ctx", "_m", "_one._s", "_one._n", "_one._r")).alias("_asked"))
+        return docs.join(asked, "_rk").select("_rk", "_z", *names, "_asked").mapInArrow(cut_out, "_key long, _ctx long, _m long, _r int, _body binary")
+
+    found = contexts(kind.filter("not _big")).repartition("_key").sortWithinPartitions("_key", "_ctx").mapInArrow(expansion, found_schema)
+    many = kind.filter("_big")
+    if not many.isEmpty():
+        each = contexts(many).dropDuplicates(["_key", "_ctx"]).mapInArrow(windows, "_h binary, _key long, _ctx long, _m long, _at int")
+        twice = each.groupBy("_h").agg(F.sum("_m").alias("_t")).filter("_t > 1").select("_h")
+        each = each.join(twice, "_h").groupBy("_key", "_ctx").agg(F.collect_list(F.struct(F.col("_at").alias("a"), (F.col("_at") + length).alias("b"))).alias("_spans"))
+        found = found.unionByName(each)
     sure = hits.filter("not _mixed").select("_rk", F.col("_s").alias("a"), (F.col("_s") + F.col("_n") + length).alias("b"))
     tried = mixed.join(found, ["_key", "_ctx"]).select("_rk", "_s", F.explode("_spans").alias("x")).select("_rk", (F.col("_s") + F.col("x.a")).alias("a"), (F.col("_s") + F.col("x.b")).alias("b"))
     spans = sure.unionByName(tried).groupBy("_rk").agg(F.collect_set(F.struct("a", "b")).alias("_all"))
