@@ -232,8 +232,8 @@ def remove_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 2000, block_bytes: int = 2 << 20, fine: int = 32, carry: tuple[str, ...] = (), with_text: bool = False
 ) -> DataFrame:
     """One row for each row: ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
-    runs), ``kept_sha256``; ``with_text`` adds ``kept`` (the remaining bytes) and
-    ``spans`` (arrays of [from, to)); columns named in ``carry`` come along.
+    runs), ``kept_sha256``; ``with_text`` adds ``kept_text`` (the remaining
+    bytes, without characters that lost some of theirs) and ``spans`` ([from, to)); columns named in ``carry`` come along.
 
     A null text is empty and stays so.  Ids may be null or repeat; repeated rows are
     copies of one another like any.  Texts under ``length`` bytes lose nothing."""
@@ -330,7 +330,7 @@ def remove_repeats(
                 )
 
     names = [id_col, *[c for c in carry if c not in (id_col, text_col)]]
-    out_names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text
+    out_names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", "spans"] * with_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -345,11 +345,11 @@ def remove_repeats(
                     kept.append(text[at:a])
                     at = b
                 left = b"".join(kept) + text[at:]
-                rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), None if body is None else left, runs))
+                rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), None if body is None else left.decode(errors="ignore"), runs))
             c = list(zip(*rows)) or [()] * 6
             data = [pa.array(x, pa.int64()) for x in c[:3]] + [pa.array(c[3], pa.string())]
             if with_text:
-                data += [pa.array(c[4], pa.binary()), pa.array(c[5], pa.list_(pa.list_(pa.int64())))]
+                data += [pa.array(c[4], pa.string()), pa.array(c[5], pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + data, out_names)
 
     texts = df.select(id_col, text_col)
@@ -378,5 +378,5 @@ def remove_repeats(
     sure = hits.filter("not _mixed").select("_rk", F.col("_s").alias("a"), (F.col("_s") + F.col("_n") + length).alias("b"))
     tried = mixed.join(found, ["_key", "_ctx"]).select("_rk", "_s", F.explode("_spans").alias("x")).select("_rk", (F.col("_s") + F.col("x.a")).alias("a"), (F.col("_s") + F.col("x.b")).alias("b"))
     spans = sure.unionByName(tried).groupBy("_rk").agg(F.collect_set(F.struct("a", "b")).alias("_all"))
-    schema = f"{extra}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
+    schema = f"{extra}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<array<long>>" * with_text
     return docs.join(spans, "_rk", "left").mapInArrow(finish, schema)
