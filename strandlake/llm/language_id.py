@@ -15,6 +15,7 @@ and switching.  Prediction covers every row and every word, in Arrow batches.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,8 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import least_hashed
+
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 16
+#: Of each Python worker: the field that it used last, its words and their scores.
+_WORDS: dict = {"field": None, "index": {}, "table": None}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,8 +48,8 @@ class Field:
     def features(self, word: str) -> list[int]:
         w = f"^{word}$"
         n = len(word)
-        names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3, 4) if k <= n), *(f"s{word[-k:]}" for k in (1, 2, 3, 4) if k <= n)]
-        names += [w[i : i + 2] for i in range(min(len(w) - 1, 40))] + [w[i : i + 3] for i in range(min(len(w) - 2, 40))]
+        names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3) if k <= n), *(f"s{word[-k:]}" for k in (1, 2, 3) if k <= n)]
+        names += [w[i : i + 3] for i in range(min(len(w) - 2, 40))]
         names += [f"l{k}" for k in self.lexicon.get(word, ())]
         return [xxhash.xxh32_intdigest(x) % SPACE for x in names]
 
@@ -127,9 +132,9 @@ class Field:
 def fit_field(df: DataFrame, id_col: str, text_col: str, lang_col: str, fit_rows: int, fit_words: int, lexicon_words: int) -> Field | None:
     """A field from the rows of ``df`` with text and language; None if there are none."""
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.lit(3), id_col, text_col).alias("_u")
+        F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.col(id_col).alias("_id")
     )
-    few = rows.orderBy("_u", "_lang", F.md5("_text")).limit(fit_rows)  # a bounded top-k, by partition first
+    few = least_hashed(rows, F.xxhash64(F.lit(3), "_id", "_text"), fit_rows).drop("_id")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,18 +175,21 @@ def predict_languages(
     field = fit_field(df if train is None else df.filter(train), id_col, text_col, lang_col, fit_rows, fit_words, lexicon_words)
     names = [id_col, *[c for c in carry if c != id_col]]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    token = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(field)  # SPACE x labels weights, lexicon_words x labels words
     text_at = len(names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        index: dict[str, int] = {}
-        table = np.zeros((0, len(model.labels) if model else 1), np.float32)
+        if _WORDS["field"] != token:
+            _WORDS.update(field=token, index={}, table=np.zeros((0, len(model.labels) if model else 1), np.float32))
+        index, table = _WORDS["index"], _WORDS["table"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                if len(index) > 400_000:
-                    index, table = {}, table[:0]
+                if len(index) > 600_000:
+                    index.clear()
+                    table = table[:0]
                 words = [words_of(t.as_py()) for t in part.column(text_at)]
                 results = [("und", 1.0, [])] * len(words) if model else [("und", 0.0, [])] * len(words)
                 if model:
@@ -189,6 +197,7 @@ def predict_languages(
                     for k in range(0, len(new), 20_000):
                         index.update({w: len(index) + i for i, w in enumerate(new[k : k + 20_000])})
                         table = np.concatenate((table, model.emissions(new[k : k + 20_000]).astype(np.float32)))
+                    _WORDS["table"] = table
                     order = sorted((k for k, ws in enumerate(words) if ws), key=lambda k: len(words[k]))
                     while order:
                         longest = len(words[order[-1]])

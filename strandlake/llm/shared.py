@@ -6,7 +6,8 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residue(doc_id: int, mod: int) -> int:
     """crc32 of the id as text, modulo ``mod``: the folds of the contracts."""
     return zlib.crc32(str(doc_id).encode()) % mod
+
+
+def least_hashed(df: DataFrame, hashed: Column, rows: int, name: str = "_u") -> DataFrame:
+    """About ``rows`` rows of least hash (all, if there are fewer), with it as ``name``.
+
+    The number of rows tells how small a hash must be to be among twice as many as
+    asked for; only those are ordered, so no task gathers a share of every partition."""
+    df = df.withColumn(name, hashed)
+    total = df.count()
+    if total > 2 * rows:
+        df = df.filter(F.col(name) < F.lit(int(-(2**63) + 2**64 * (2 * rows / total))))
+    return df.orderBy(name).limit(rows)
