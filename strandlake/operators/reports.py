@@ -12,7 +12,7 @@ from .pileup import alt_depth, container_depth, major_alternate
 
 def vcf_rows(filtered: DataFrame, only_mutations: bool = False, support: bool = True) -> DataFrame:
     """CHROM, POS (1-based, negative for insertions after it), REF, ALT, DP, details of
-    middle and ends, example reads; ``ins_idx`` for the order."""
+    middle and ends, example reads; ``at`` (0-based) and ``ins_idx`` for the order."""
     ins = F.col("ins_idx").isNotNull()
     rows = filtered.filter(F.when(ins, F.size("alts") > 0).otherwise((container_depth() > 0) & ((F.size("alts") > 0) | F.lit(not only_mutations))))
 
@@ -24,15 +24,15 @@ def vcf_rows(filtered: DataFrame, only_mutations: bool = False, support: bool =
     text = lambda a: F.when(a["ex"].isNull(), F.lit("")).otherwise(bases.highlight(a["ex"]["seq"], F.abs(a["ex"]["i"]), a["ex"]["gone"]))
     out = rows.select(
         F.col("contig").alias("CHROM"), F.when(ins, -(F.col("pos") + 1)).otherwise(F.col("pos") + 1).alias("POS"), F.col("ref").alias("REF"), text_or_dot(F.array_join(F.transform("alts", lambda a: a["allele"]), ",")).alias("ALT"),
-        number_text(container_depth()).alias("DP"), details("m").alias("DETAILS_MIDDLE"), details("e").alias("DETAILS_ENDS"), *([text_or_dot(F.array_join(F.transform("alts", text), ",")).alias("SUPPORT")] if support else []), "pos", "ins_idx",
+        number_text(container_depth()).alias("DP"), details("m").alias("DETAILS_MIDDLE"), details("e").alias("DETAILS_ENDS"), *([text_or_dot(F.array_join(F.transform("alts", text), ",")).alias("SUPPORT")] if support else []), F.col("pos").alias("at"), "ins_idx",
     )
     return out
 
 
 def vcf_lines(rows: DataFrame) -> DataFrame:
     """The rows as text in their order: contigs by name, insertions after their anchor."""
-    fields = [c for c in rows.columns if c not in ("pos", "ins_idx")]
-    return rows.orderBy("CHROM", "pos", F.col("ins_idx").asc_nulls_first()).select(F.concat_ws("\t", *(F.col(c).cast("string") for c in fields)).alias("value"))
+    fields = [c for c in rows.columns if c not in ("at", "ins_idx")]
+    return rows.orderBy("CHROM", "at", F.col("ins_idx").asc_nulls_first()).select(F.concat_ws("\t", *(F.col(c).cast("string") for c in fields)).alias("value"))
 
 
 def deletion_runs(filtered: DataFrame) -> DataFrame:
