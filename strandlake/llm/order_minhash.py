@@ -11,9 +11,10 @@ similarity asked for allows.
 Equal texts collapse first, by map-side aggregation.  Within the texts of a key not all
 pairs are made: in an order of the key's own, texts that agree with no earlier leader
 on a second key become leaders, and each text is paired with the leaders it agrees
-with; other keys have other leaders.  Keys with over ``most`` texts are divided by a
-second key, which candidates share anyway, and what is still larger is dealt into
-blocks that share one leader.  Alignment comes in two rounds: each text with its
+with; other keys have other leaders.  Of a key with over ``most`` texts, those that agree with
+the key's least text on five tables of sixteen are paired with it alone; the rest are
+divided by a second key, which candidates share anyway, and what is still larger is
+dealt into blocks that share one leader.  Alignment comes in two rounds: each text with its
 least candidate, then only pairs whose ends are not yet in one class.
 """
 
@@ -235,7 +236,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = member.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
     shared = cut(member.join(counted, "_key"), "shared-keys")
     large = shared.filter(F.col("_n") > most).drop("_n")
-    # a second agreement: the large group's key with each other table's sign
+    # what agrees with the group's least text on many tables is paired with it alone
+    least = large.groupBy("_key").agg(F.min(F.struct("_h", "_sign", "_words")).alias("_least"))
+    both = large.join(least, "_key")
+    agree = F.aggregate(F.sequence(F.lit(0), F.lit(tables - 1)), F.lit(0), lambda n, j: n + (F.substring("_sign", 2 * j + 1, F.lit(2)) == F.substring("_least._sign", 2 * j + 1, F.lit(2))).cast("int"))
+    close = (agree >= tables * 5 // 16) & (F.least("_words", "_least._words") >= F.greatest("_words", "_least._words") * similarity - 1e-9) & (F.col("_h") != F.col("_least._h"))
+    both = both.withColumn("_close", close)
+    sure = both.filter("_close").select(F.col("_least._h").alias("a"), F.col("_h").alias("b"))
+    large = both.filter("not _close").select("_key", "_h", "_sign", "_words")
+    # the rest by a second agreement: the large group's key with each other table's sign
     second = large.select(
         "_h", "_sign", "_words", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda j: F.xxhash64("_key", j, F.substring("_sign", 2 * j + 1, F.lit(2))))).alias("_key")
     ) if tables > 1 else large
@@ -277,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-    pairs = cut(usual.unionByName(dealt).repartition("_key").sortWithinPartitions("_key", "_h").mapInArrow(lead, "a binary, b binary").distinct(), "pairs")
+    pairs = cut(usual.unionByName(dealt).repartition("_key").sortWithinPartitions("_key", "_h").mapInArrow(lead, "a binary, b binary").unionByName(sure).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("_h")).unionByName(pairs.select(F.col("b").alias("_h"))).distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
