@@ -1,0 +1,203 @@
+"""The operators on small tables against brute force, and their defined edge cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.llm import anisotropic, decontaminate, language_id, lm_score, order_minhash, packing, sharding, suffix_dedup, warc
+
+RNG = random.Random(7)
+VOCAB = ["".join(RNG.choices("abcdefgh", k=5)) for _ in range(2000)]
+
+
+def text(n):
+    return " ".join(RNG.choice(VOCAB) for _ in range(n))
+
+
+PASSAGE = text(120)
+ROWS = [(i, text(RNG.randint(5, 120)), "en", "s", 1) for i in range(30)]
+ROWS += [(30, PASSAGE + " " + text(50), "en", None, 1), (31, text(40) + " " + PASSAGE, "fr", "s", None), (32, None, None, None, None), (33, "", "en", "s", 0), (34, "!!! 123", "en", "s", 7)]
+ROWS += [(35, "word " * 8000, "en", "s", 40000), (36, ROWS[0][1], "en", "s", 1), (36, ROWS[0][1], "en", "s", 1), (None, text(60), "en", "s", 1), (37, ROWS[1][1].replace(" ", "  ", 1) + " more", "en", "s", 1)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).withColumn("start", F.lit(1)).withColumn("score", F.lit("clash")).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing(docs, nothing):
+    out = packing.pack_documents(docs, with_ids=True).collect()
+    assert sum(r["length"] for r in out if r["start"] == 0) > 0 and {r["doc_id"] for r in out} == {r[0] for r in ROWS}
+    assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in out)
+    assert packing.pack_documents(nothing).count() == 0
+
+
+def test_sharding(docs, nothing):
+    out = sharding.shard_rows(docs, block_rows=5).collect()
+    counts = Counter(r["shard"] for r in out)
+    assert len(out) == len(ROWS) and set(counts) <= set(range(40)) and max(counts.values()) <= 1 and sharding.shard_rows(nothing).count() == 0
+    few = sharding.shard_rows(docs, shards=3, block_rows=5).collect()
+    for s in range(3):
+        assert sorted(r["slot"] for r in few if r["shard"] == s) == list(range(len(few) // 3 + (s < len(few) % 3)))
+    sizes = Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in few)
+    assert sizes == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in ROWS)
+
+
+@pytest.mark.parametrize("most", [2000, 1])
+def test_repeats(docs, most):
+    bodies = [(r[0], (r[1] or "").encode()) for r in ROWS]
+    n = 200
+    seen = Counter(b[i : i + n] for _, b in bodies for i in range(len(b) - n + 1))
+    want = []
+    for d, b in bodies:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - n + 1):
+            if seen[b[i : i + n]] > 1:
+                gone[i : i + n] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want.append((d, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, length=n, most_contexts=most).collect()]
+    assert Counter(got) == Counter(want) and any(w[2] for w in want)
+
+
+def test_repeats_of_nothing(nothing):
+    assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+@pytest.mark.parametrize("most", [1000, 4])
+def test_near_duplicates(spark, most):
+    base = text(120).split()
+    rows = []
+    for i in range(14):
+        w = list(base)
+        for _ in range(2):
+            w[RNG.randrange(120)] = RNG.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    rows += [(20 + i, text(70) + " " + PASSAGE[:200]) for i in range(14)]
+    rows += [(50, None), (51, ""), (52, ""), (53, "!!"), (54, "a b"), (55, "A b."), (None, "x y"), (None, "x y")]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    assert {got[i] for i in range(14)} == {0} and len({got[20 + i] for i in range(14)}) == 14
+    assert (got[50], got[51], got[52], got[53], got[54], got[55], got[None]) == (50, 51, 51, 53, 54, 54, None)
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 200), (150, 200), (100, 150)]
+    got = {r["node"]: r["root"] for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: i // 10 * 10 for i in range(40)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_decontamination(spark, docs):
+    items = [(1, " ".join(ROWS[3][1].split()[:5])), (2, PASSAGE), (3, text(40)), (4, None), (5, ""), (6, "word word")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def brute(body, item):
+        w, v = decontaminate.words_of(body), decontaminate.words_of(item)
+        if not v or not w:
+            return 0.0
+        k = min(5, len(v))
+        s, t = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)], Counter(tuple(v[i : i + k]) for i in range(len(v) - k + 1))
+        m = min(sum(t.values()), len(s))
+        best = 0.0
+        for i in range(len(s) - m + 1):
+            c = Counter(s[i : i + m])
+            best = max(best, sum((c & t).values()) / sum((c | t).values()) if m else 0.0)
+        return best
+
+    got = Counter((r["doc_id"], h["item_id"], round(h["similarity"], 6)) for r in decontaminate.benchmark_hits(docs, bench).collect() for h in r["hits"])
+    want = Counter((d, i, round(brute(b, t), 6)) for d, b, *_ in ROWS for i, t in items if brute(b, t) >= 0.8)
+    assert got == want and len(want) >= 4
+    small = decontaminate.benchmark_hits(docs, bench, item_bytes=50)  # several passes
+    assert Counter((r["doc_id"], h["item_id"], round(h["similarity"], 6)) for r in small.collect() for h in r["hits"]) == want
+    none = decontaminate.benchmark_hits(docs, bench.limit(0))
+    assert none.filter(F.size("hits") > 0).count() == 0 and none.count() == len(ROWS)
+
+
+def test_languages(spark, nothing):
+    words = {"a": ["th", "er", "on", "is"], "b": ["eau", "ch", "ou", "ai"]}
+    make = lambda k, n: " ".join("".join(RNG.choices(words[k], k=3)) for _ in range(n))
+    rows = [(i, make("ab"[i % 2], RNG.randint(3, 60)), "ab"[i % 2]) for i in range(200)] + [(200, None, "a"), (201, "", "b"), (202, "12 !!", "a"), (203, make("a", 6000), None), (None, make("b", 9), "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language_id.predict_languages(df, F.col("doc_id") < 150, with_words=True).collect()}
+    assert all(out[i]["lang_pred"] == "ab"[i % 2] for i in range(200)) and out[203]["lang_pred"] == "a" and len(out[203]["word_langs"]) == 6000
+    assert [out[i]["lang_pred"] for i in (200, 201, 202)] == ["und"] * 3 and out[None]["lang_pred"] == "b"
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    unlabelled = language_id.predict_languages(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"} and language_id.predict_languages(nothing).count() == 0
+
+
+def test_scores(docs, nothing):
+    train = F.col("doc_id") % 3 != 1
+    out = lm_score.score_texts(docs, train, frequent=20, fit_rows=20).collect()
+    low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    tokens = [(d, re.findall("[^\x20\x09-\x0d]+", (t or "").translate(low)) + [0]) for d, t, *_ in ROWS]
+    c = Counter(w for d, ws in tokens if d is not None and d % 3 != 1 for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = Counter((d, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 5)) for d, ws in tokens)
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in out) == want
+    assert {r["train_tokens"] for r in out} == {n} and all(r["score"] < 0 for r in out)
+    assert lm_score.score_texts(nothing, train).count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 7))
+    x[200:260] = x[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 7), (302, [float("nan")] * 7), (303, [1.0, None, 1, 1, 1, 1, 1]), (None, [1.0] * 7), (304, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = anisotropic.nearest_neighbours(df, F.col("vec_id") % 10 == 0, row_block=70, query_block=9).collect()
+    hits = total = 0
+    for q in range(0, 300, 10):
+        s = [(-float(v @ x[q] / np.linalg.norm(v) / np.linalg.norm(x[q])), i) for i, v in enumerate(x) if i != q]
+        want = [i for _, i in sorted((round(a, 12), i) for a, i in s)[:5]]
+        got = [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
+        hits, total = hits + len(set(want) & set(got)), total + 5
+        if q == 10:
+            assert got == want == [200, 201, 202, 203, 204]
+    assert hits / total >= 0.9
+    assert anisotropic.nearest_neighbours(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_revisits(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nETag: \"x\"\r\nDate: old\r\n\r\nbody"
+    head = b"HTTP/1.1 304 Not Modified\r\nETag: W/\"x\"\r\nDate: new\r\nContent-Type: other\r\n\r\n"
+    record = lambda i, kind, url, time, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {i}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {time}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(
+        record("1", "response", "http://WWW.e.org:80/a/?b=1&utm_x=2&a=2#f", "2024-01-01T00:00:00Z", http) + record("2", "response", "https://e.org/a?a=2&b=1", "2024-01-03T00:00:00Z", http.replace(b'"x"', b'"y"'))
+        + record("3", "revisit", "https://e.org/a?b=1&a=2", "2024-03-01T00:00:00Z", head) + record("4", "revisit", "https://e.org/a?b=1&a=2", "2024-01-01T00:00:00Z", head)
+        + record("5", "revisit", "https://e.org/a?b=1&a=2", "2024-01-04T00:00:00Z", b"HTTP/1.1 304 Not Modified\r\n\r\n") + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut"
+    )
+    rows = warc.read_warc(spark, str(tmp_path))
+    assert rows.count() == 5
+    out = {r["record_id"]: r for r in warc.resolve_revisits(rows).collect()}
+    assert out["3"]["source_id"] == "1" and out["3"]["headers"] == {"content-type": "text/html", "etag": 'W/"x"', "date": "new"}
+    assert out["4"]["source_id"] is None and out["5"]["source_id"] == "2" and set(out) == {"3", "4", "5"}
+    assert warc.resolve_revisits(rows.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, data, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert [f.name for f in out.schema] == list(corpus_pipeline.COLUMNS), name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    kept = docs.count()
+    assert 100 < kept < 200
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, data).select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}

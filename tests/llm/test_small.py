@@ -1,0 +1,212 @@
+"""The kernels of the operators against brute force, without Spark."""
+
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from strandlake.llm import anisotropic, decontaminate, html_extract, language_id, lm_score, order_minhash, packing, sharding, suffix_dedup
+
+
+def test_best_fill_is_best():
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 4))}
+        cap = rng.randint(1, 60)
+        got = packing.best_fill(counts, cap)
+        assert all(v <= counts[k] for k, v in got.items())
+        all_ = [sum(k * n for k, n in zip(counts, c)) for c in itertools.product(*(range(v + 1) for v in counts.values()))]
+        assert sum(k * v for k, v in got.items()) == max(x for x in all_ if x <= cap)
+
+
+def test_packer_keeps_every_id_once_without_padding():
+    rng = random.Random(2)
+    p = packing.Packer(64, 50, 0)
+    docs = [np.arange(rng.randint(1, 300), dtype="<u4") for _ in range(300)]
+    for i, d in enumerate(docs):
+        p.add(i, d.tobytes())
+    p.finish()
+    by_doc, by_seq = {}, {}
+    for d, start, n, crc, total, seq, offset, ids in p.out:
+        assert zlib.crc32(ids) == crc and total == len(docs[d]) and ids == docs[d][start : start + n].tobytes()
+        by_doc.setdefault(d, []).append((start, n))
+        by_seq.setdefault(seq, []).append((offset, n))
+    gapless = lambda xs: all(a == sum(m for _, m in sorted(xs)[:i]) for i, (a, _) in enumerate(sorted(xs)))
+    assert all(gapless(v) and sum(n for _, n in v) == len(docs[d]) for d, v in by_doc.items()) and len(by_doc) == 300
+    sizes = [sum(n for _, n in v) for v in by_seq.values()]
+    assert all(gapless(v) for v in by_seq.values()) and all(s == 64 or s & (s - 1) == 0 for s in sizes) and max(sizes) == 64
+
+
+def test_ids_by_word_are_the_tokenizers():
+    words = packing.word_ids(None)
+    texts = ["Don't áb 3x²½ <|endoftext|> Å,, İstanbul!! ΣΑΣ. a\x1cb x y 'tis we've... l'été", "", "  ", "a" * 3000 + " b", "ﬁ Ⅷ ǅ, Å.", "LYING,!! the### of%%%"]
+    assert [words.bytes_of([t], None)[0] for t in texts] == [words.one(t) for t in texts]
+
+
+def test_matrix_has_its_sums_and_the_law():
+    m = sharding.communication_matrix([10, 0, 25, 7], [14, 14, 14], seed=3)
+    assert [sum(r) for r in m] == [10, 0, 25, 7] and [sum(c) for c in zip(*m)] == [14, 14, 14]
+    rng = random.Random(5)
+    seen = Counter(sharding.hypergeometric(rng, 5, 7, 4) for _ in range(20000))
+    from math import comb
+
+    assert all(abs(seen[k] / 20000 - comb(5, k) * comb(7, 4 - k) / comb(12, 4)) < 0.02 for k in range(5))
+
+
+def test_expansion_against_all_windows():
+    rng = random.Random(1)
+    for _ in range(150):
+        n = rng.randint(3, 12)
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(n, 40))) for _ in range(rng.randint(1, 6))]
+        seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+        assert [list(map(bool, x)) for x in suffix_dedup.repeated_windows(texts, n)] == [[seen[t[i : i + n]] > 1 for i in range(len(t) - n + 1)] for t in texts]
+
+
+def test_common_prefix_values_are_exact_below_the_depth():
+    text = np.array([*b"banana\0bandana\0"], np.int64)
+    value, rank = suffix_dedup.expand(text, 4)
+    raw = bytes(text.astype(np.uint8))
+    order = sorted(range(len(raw)), key=lambda i: raw[i:])
+    assert list(np.argsort(rank)) == order
+    for r in range(1, len(order)):
+        a, b = raw[order[r - 1] :].split(b"\0")[0], raw[order[r] :].split(b"\0")[0]
+        lcp = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        if a != b and lcp < 4 and len(b) > lcp:
+            assert value[r] == lcp
+
+
+def test_anchors_depend_on_the_window_alone():
+    rng = np.random.default_rng(2)
+    buf = rng.integers(97, 101, 3000).astype(np.uint8)
+    buf[2000:2500] = buf[100:600]
+    a, s, e = suffix_dedup.anchors(buf, np.array([1500, 3000]), 60, 30)
+    of = {p: x for x, i, j in zip(a.tolist(), s.tolist(), e.tolist()) for p in range(i, j + 1)}
+    assert sorted(of) == [p for p in range(3000) if p + 60 <= (1500 if p < 1500 else 3000)]
+    assert all(0 <= x - p < 30 for p, x in of.items())
+    assert all(of[2000 + k] - 1900 == of[100 + k] for k in range(440))
+
+
+def test_edit_distance_against_the_table():
+    def table(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    rng = random.Random(3)
+    for _ in range(1500):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        b = [c for c in a if rng.random() < 0.8] if rng.random() < 0.5 else [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        most, d = rng.randint(0, 8), table(a, b)
+        assert order_minhash.edit_distance(a, b, most) == (d if d <= most else None)
+
+
+def test_sketches_agree_on_copies_and_follow_order():
+    rng = np.random.default_rng(1)
+    a = rng.integers(1, 2**60, 200).astype(np.uint64)
+    b = a.copy()
+    b[50] += np.uint64(1)
+    keys = order_minhash.sketches(np.concatenate((a, b, a, a[:3])), np.array([200, 200, 200, 3]), 32, 5)
+    assert (keys[0] == keys[2]).all() and (keys[0] == keys[1]).sum() > 20
+    shuffled = np.concatenate((a[100:], a[:100]))
+    k = order_minhash.sketches(np.concatenate((a, shuffled)), np.array([200, 200]), 64, 5)
+    assert 5 < (k[0] == k[1]).sum() < 55  # the same k-mers in another order
+
+
+def test_cut_is_a_minimum():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        z = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = [(i, j, rng.random() * 2) for i in range(n) for j in range(i) if rng.random() < 0.6]
+        cost = lambda l: sum(abs(x) for x, k in zip(z, l) if (x > 0) != k) + sum(w for a, b, w in edges if l[a] != l[b])
+        got = html_extract.min_cut([max(0, x) for x in z], [max(0, -x) for x in z], edges)
+        assert abs(cost(got) - min(cost(c) for c in itertools.product((False, True), repeat=n))) < 1e-6
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (None, ""), ("", ""), ("no markup at all, but a sentence.", "no markup at all, but a sentence."),
+        ('<nav><a href="/x">X</a></nav><article><h1>T</h1><p>Hello <b>wor</b>ld &amp;\n more.<p>Two<br>lines.</article><div class="ad">Buy</div><footer>&copy; y</footer>', "T Hello world & more. Two lines."),
+        ('<article><p>Said.</p><!-- <p>no</p> --><script>var t="</p>";</script><section class="comments"><p>A reader says a lot of things here.</p></section>', "Said."),
+        ("<article><p>open <i>never closed", "open never closed"), ("<script>", ""), ("<article><p>a</p><!-- unclosed <p>b</p>", "a"),
+    ],
+)
+def test_pages(page, text):
+    assert " ".join(html_extract.content_blocks(page)) == text
+
+
+def test_hamming_index_meets_everything_within_its_radius():
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choices("abcdefghijklmnop", k=30))) for i in range(40)]
+    index = decontaminate.Index(items)
+    for key, members in index.groups.items():
+        prints, near = index.prints[key], index.near[key]
+        for p in prints:
+            f = np.unpackbits(p)
+            f[rng.sample(range(64), 23)] ^= 1
+            f = np.packbits(f)
+            met = set(np.concatenate([near[b][f[b]] for b in range(8)]).tolist())
+            assert {j for j in range(len(members)) if decontaminate.ONES[prints[j] ^ f].sum() <= 23} <= met
+
+
+def test_field_learns_and_follows_switches():
+    rng = random.Random(1)
+    word = {0: lambda: "".join(rng.choices(["th", "er", "on"], k=3)), 1: lambda: "".join(rng.choices(["eau", "ch", "ou"], k=3))}
+    runs = [([word[k % 2]() for _ in range(20)], k % 2) for k in range(200)]
+    field = language_id.Field(["a", "b"], {}).fit(runs)
+    mixed = [word[0]() for _ in range(10)] + [word[1]() for _ in range(10)]
+    p = language_id.masked(field, field.emissions(mixed)[None].astype(np.float32), np.ones((1, 20), bool))[0]
+    assert (p.argmax(axis=1) == np.array([0] * 10 + [1] * 10)).mean() > 0.9
+    assert np.allclose(p, field.marginals(field.emissions(mixed)[None])[0], atol=1e-4)
+
+
+def test_gradient_of_attention_and_sum_of_windows():
+    rng = np.random.default_rng(4)
+    runs = [rng.integers(0, 19, 40) for _ in range(5)]
+    m = lm_score.AttentionModel(np.bincount(np.concatenate(runs), minlength=20).astype(float), runs, classes=8, inputs=10, width=6, window=8, stride=5)
+    ids, gold = rng.integers(0, 10, (2, 8)), rng.integers(0, m.classes, (2, 8))
+    held = np.ones((2, 8), np.float32)
+    for k in m.w:
+        m.w[k] = m.w[k].astype(np.float64)
+
+    def loss():
+        h = m.attend(m.w["E"][ids] + m.w["P"])[-1]
+        z = h @ m.w["U"] + m.w["b"] + m.after[ids]
+        z = z - z.max(axis=2, keepdims=True)
+        return -(np.take_along_axis(z, gold[..., None], 2)[..., 0] - np.log(np.exp(z).sum(axis=2))).mean()
+
+    g = m.gradient(ids, gold, held)
+    for name in m.w:
+        at = tuple(rng.integers(0, s) for s in m.w[name].shape)
+        if name == "E":
+            at = (ids[0, 3], at[1])
+        old = m.w[name][at]
+        m.w[name][at] = old + 1e-5
+        up = loss()
+        m.w[name][at] = old - 1e-5
+        down = loss()
+        m.w[name][at] = old
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
+    m.fit(runs, steps=30)
+    texts = [np.append(rng.integers(0, 19, n), 19) for n in (0, 3, 7, 8, 30)]
+    together, alone = m.scores(texts, batch=3), np.concatenate([m.scores([t]) for t in texts])
+    assert np.allclose(together, alone, atol=1e-4) and (together < 0).all()
+    total = sum(10 ** m.scores([np.array([i, j])])[0] for i in range(20) for j in range(20))
+    assert abs(total - 1) < 1e-3  # all texts of two ids
+
+
+def test_scan_breaks_ties_by_the_smaller_id():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 6))
+    x[100:300] = x[7] * 2
+    book = anisotropic.Codebook(x)
+    got = anisotropic.scan(book, np.arange(400), x, book.pairs(x), 7, x[7], 5, 20)
+    assert [i for i, _ in got] == [100, 101, 102, 103, 104] and len({s for _, s in got}) == 1
