@@ -13,6 +13,48 @@ def sam(name, flag, pos, cigar, seq, rnext="*", pnext="*", *tags):
     return "\t".join([name, str(flag), "contig1", str(pos), "0", cigar, rnext, str(pnext), "0", seq, "*", *tags])
 
 
+def pair(name, a, b, first, second):
+    n = len(first)
+    return [sam(name, 32, a, f"{n}M", first, "contig1", b), sam(name, 16, b, f"{len(second)}M", second, "contig1", a)]
+
+
+#: name -> (reference, lines); all are read in one run, each on a contig of its own
+CASES = {
+    "match": ("ACGTAAAAACGTAAAA", [sam("n", 0, 1, "4M", "ACGT")]),
+    "snp": ("ACGTAAAAA", [sam("n", 0, 1, "5M", "ACGTT")]),
+    "snps": ("ACGTAAAAA", [sam("n", 0, 1, "9M", "ACGTTTAAA")]),
+    "pair": (LONG, pair("n", 1, 21, "AACCGGTTAT", "ACGTACGTAT")),
+    "twice": ("ACGTAAAAACGTAAAA", [sam("n", 0, 1, "4M", "ACGT"), sam("n", 0, 9, "4M", "ACGT")]),
+    "pairs": ("ACGTAAAACCCCTTTTACGTAAAACCCC", pair("n", 1, 9, "ACGT", "CCCC") + pair("n", 17, 25, "ACGT", "CCCC")),
+    "mate": ("ACGTAAAA" * 8, [sam("m", 32, 1, "4M", "ACGT", "contig1", 9), *pair("n", 17, 25, "ACGT", "ACGT"), *pair("o", 33, 41, "ACGT", "ACGT")]),
+    "parts": ("ACGTGGGGCCAAAACCCC", [sam("n", 0, 1, "4M", "ACGT", "*", "*", "SA:Z:contig1,11,+,4M,60,0;"), sam("n", 0, 11, "4M", "AAAA", "*", "*", "SA:Z:contig1,1,+,4M,60,0;")]),
+    "overlap": ("ACGTAAAAAAAA", pair("n", 1, 4, "ACGTAA", "TAAAAA")),
+    "gap": ("AAGTTTTCCT", [sam("n", 0, 1, "3M4N3M", "AAGCCT")]),
+    "insertion": ("ACGCTT", [sam("n", 0, 1, "3M2I3M", "ACGGACTT")]),
+    "deletion": ("ACGTAAAACCGGTT", [sam("n", 0, 1, "6M2D6M", "ACGTAACCGGTT")]),
+    "two": ("ACGTACGT", [sam("n", 0, 1, "8M", "ACGTAACT")]),
+    "short": ("ACGTAACT", [sam("n", 0, 1, "1M1D6M", "AGTAACT")]),
+    "leading": ("ACGT", [sam("n", 0, 1, "2I4M", "GGACGT")]),
+    "clipped": ("TTACGT", [sam("n", 0, 3, "1S2I4M", "CGGACGT")]),
+    "codes": ("ACGTACGT", [sam("n", 0, 1, "4M", "ANRT")]),
+    "inserted": ("ACGTACGT", [sam("n", 0, 1, "4M1I4M", "ACGTRACGT")]),
+    "apart": ("ACGTACGTACGTACGT", [sam("n", 0, 1, "2M2D2M", "ACAC"), sam("m", 0, 9, "2M2D2M", "ACAC")]),
+    "example": ("ACGTACGTACGT", [sam("a", 0, 1, "3M", "ACT"), sam("b", 0, 1, "8M", "ACTTACGT"), sam("c", 0, 2, "8M", "CTTACGTA")]),
+    **{f"k{k}": ("ACGT" * 101, [sam("n", 0, 4 * i + 1, "4M", "ACGT") for i in range(k)]) for k in (3, 7, 100, 101)},
+}
+
+
+@pytest.fixture(scope="module")
+def all_cases(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("cases")
+    named = {k: (ref, [x.replace("contig1", k).replace("\t", f"_{k}\t", 1) for x in lines]) for k, (ref, lines) in CASES.items()}
+    (folder / "r.fa").write_text("".join(f">{k} some words\n{ref[:7]}\n{ref[7:]}\n" for k, (ref, _) in named.items()))
+    (folder / "a.sam").write_text("@HD\tVN:1.6\n" + "".join(x + "\n" for _, lines in named.values() for x in lines))
+    r = Run(spark, [str(folder / "a.sam")], [str(folder / "r.fa")], True, 0.0)
+    split = lambda rows: {k: [x.value.split("\t")[1:] for x in rows if x.value.split("\t")[0] == k] for k in CASES}
+    return split(reports.vcf_lines(r.vcf()).collect()), split(reports.mutation_lines(r.mutations(Thresholds())).collect()), r.errors()
+
+
 @pytest.fixture
 def run(spark, tmp_path):
     def make(reference, lines, ordered=True, fraction=0.0, support=True, **more):
@@ -28,62 +70,50 @@ def vcf(r, *args):
 
 
 def mutations(r, t=Thresholds()):
-    return [tuple(x.value.split("\t")[1:]) for x in reports.mutation_lines(r.mutations(t)).collect()]
-
-
-def test_matching_read(run):
-    assert vcf(run("ACGTAAAAACGTAAAA", [sam("name1", 0, 1, "4M", "ACGT")])) == [[str(i + 1), b, ".", "1", "1,0", "0,0", "."] for i, b in enumerate("ACGT")]
-
-
-def test_mutation_with_and_without_example(run):
-    lines = [sam("name1", 0, 1, "5M", "ACGTT")]
-    assert vcf(run("ACGTAAAAA", lines))[4] == ["5", "A", "T", "1", "0,0;1,0", "0,0;0,0", "ACGT[T]"]
-    assert vcf(run("ACGTAAAAA", lines, support=False))[4] == ["5", "A", "T", "1", "0,0;1,0", "0,0;0,0"]
-    assert len(vcf(run("ACGTAAAAA", lines), Thresholds(), True)) == 1
-
-
-def test_pair(run):
-    lines = [sam("name1", 32, 1, "10M", "AACCGGTTAT", "contig1", 20), sam("name1", 16, 21, "10M", "ACGTACGTAT", "contig1", 1)]
-    rows = vcf(run(LONG, lines))
-    assert [r[0] for r in rows] == [str(i) for i in [*range(1, 11), *range(21, 31)]]
-    assert {r[4] for r in rows[:10]} == {"1,0"} and {r[4] for r in rows[10:]} == {"0,1"}
-
-
-def test_two_placements_share_the_weight(run):
-    rows = vcf(run("ACGTAAAAACGTAAAA", [sam("name1", 0, 1, "4M", "ACGT"), sam("name1", 0, 9, "4M", "ACGT")]))
-    assert [(r[0], r[3]) for r in rows][:4] == [("1", "0.5"), ("2", "0.5"), ("3", "0.5"), ("4", "0.5")] and len(rows) == 8
+    return [x.value.split("\t")[1:] for x in reports.mutation_lines(r.mutations(t)).collect()]
 
 
-@pytest.mark.parametrize("k,shown", [(3, "0.33"), (7, "0.14"), (100, "0.01")])
-def test_weights_are_truncated_hundredths(run, k, shown):
-    rows = vcf(run("ACGT" * 101, [sam("n", 0, 4 * i + 1, "4M", "ACGT") for i in range(k)]))
-    assert {r[3] for r in rows} == {shown}
+def test_vcf_of_simple_reads(all_cases):
+    rows = all_cases[0]
+    assert rows["match"] == [[str(i + 1), b, ".", "1", "1,0", "0,0", "."] for i, b in enumerate("ACGT")]
+    assert rows["snp"][4] == ["5", "A", "T", "1", "0,0;1,0", "0,0;0,0", "ACGT[T]"]
+    assert [r[0] for r in rows["gap"]] == ["1", "2", "3", "8", "9", "10"]
+    assert [r[0] for r in rows["codes"]] == ["1", "4"]
 
 
-def test_weight_of_over_a_hundred_placements_vanishes(run):
-    assert vcf(run("ACGT" * 101, [sam("n", 0, 4 * i + 1, "4M", "ACGT") for i in range(101)])) == []
+def test_weights(all_cases):
+    rows = all_cases[0]
+    assert [r[3] for r in rows["twice"]] == ["0.5"] * 8 and [r[3] for r in rows["pairs"]] == ["0.5"] * 16
+    assert [{r[3] for r in rows[k]} for k in ("k3", "k7", "k100")] == [{"0.33"}, {"0.14"}, {"0.01"}] and rows["k101"] == []
+    assert {r[3] for r in rows["overlap"]} == {"1"} and len(rows["overlap"]) == 9
 
 
-def test_pairs_with_two_placements(run):
-    lines = []
-    for a, b in ((1, 9), (17, 25)):
-        lines += [sam("name1", 32, a, "4M", "ACGT", "contig1", b), sam("name1", 16, b, "4M", "CCCC", "contig1", a)]
-    rows = vcf(run("ACGTAAAACCCCTTTTACGTAAAACCCC", lines))
-    assert {r[3] for r in rows} == {"0.5"} and len(rows) == 16
+def test_pairs_and_parts(all_cases):
+    rows, _, errors = all_cases
+    assert [r[0] for r in rows["pair"]] == [str(i) for i in [*range(1, 11), *range(21, 31)]]
+    assert {r[4] for r in rows["pair"][:10]} == {"1,0"} and {r[4] for r in rows["pair"][10:]} == {"0,1"}
+    assert [(r[0], r[3]) for r in rows["parts"]] == [(str(i), "1") for i in (1, 2, 3, 4, 11, 12, 13, 14)]
+    assert errors == 1 and {r[3] for r in rows["mate"]} == {"1"} and len(rows["mate"]) == 20
 
 
-def test_missing_mate_counts_and_is_an_error(run):
-    lines = [sam("name1", 32, 1, "4M", "ACGT", "contig1", 9)]
-    for n, p in (("name2", 17), ("name3", 33)):
-        lines += [sam(n, 32, p, "4M", "ACGT", "contig1", p + 8), sam(n, 16, p + 8, "4M", "ACGT", "contig1", p)]
-    r = run("ACGTAAAA" * 8, lines)
-    assert r.errors() == 1 and {x[3] for x in vcf(r)} == {"1"} and len(vcf(r)) == 20
+def test_indels_in_the_summary(all_cases):
+    rows = all_cases[0]
+    assert [r for r in rows["insertion"] if r[0] == "-3"] == [["-3", "-", "G", "1", "0,0;1,0", "0,0;0,0", "ACG[G]ACTT"], ["-3", "-", "A", "1", "0,0;1,0", "0,0;0,0", "ACGG[A]CTT"]]
+    assert [r for r in rows["deletion"] if r[0] == "7"] == [["7", "A", "-", "1", "0,0;1,0", "0,0;0,0", "ACGTAA[-]CCGGTT"]]
+    assert [r for r in rows["example"] if r[0] == "3"][0][6] == "AC[T]TACGT"
 
 
-def test_supplementary_alignment_is_one_query(run):
-    lines = [sam("n", 0, 1, "4M", "ACGT", "*", "*", "SA:Z:contig1,11,+,4M,60,0;"), sam("n", 0, 11, "4M", "AAAA", "*", "*", "SA:Z:contig1,1,+,4M,60,0;")]
-    rows = vcf(run("ACGTGGGGCCAAAACCCC", lines))
-    assert [(r[0], r[3]) for r in rows] == [(str(i), "1") for i in (1, 2, 3, 4, 11, 12, 13, 14)]
+def test_mutations(all_cases):
+    found = {k: [tuple(r) for r in v] for k, v in all_cases[1].items()}
+    assert found["match"] == found["leading"] == found["clipped"] == []
+    assert found["snp"] == [("5", "A", "T", "1", "1")]
+    assert found["snps"] == [("5", "A", "T", "1", "1"), ("6", "A", "T", "1", "1")]
+    assert found["insertion"] == [("3", "--", "GA", "1", "1")]
+    assert found["deletion"] == [("7", "AA", "--", "1", "1")]
+    assert found["two"] == [("6", "C", "A", "1", "1"), ("7", "G", "C", "1", "1")]
+    assert found["short"] == [("2", "C", "-", "1", "1")]
+    assert found["inserted"] == [("4", "-", "N", "1", "1")]
+    assert [m[:2] for m in found["apart"]] == [("3", "GT"), ("11", "GT")]
 
 
 def test_query_ends(run):
@@ -91,111 +121,44 @@ def test_query_ends(run):
     assert [r[0] for r in rows if r[5] == "1,0"] == ["5", "6", "13", "14"] and [r[0] for r in rows if r[4] == "1,0"] == [str(i) for i in range(7, 13)]
 
 
-def test_overlapping_mates_count_once(run):
-    lines = [sam("n", 32, 1, "6M", "ACGTAA", "contig1", 4), sam("n", 16, 4, "6M", "TAAAAA", "contig1", 1)]
-    assert {r[3] for r in vcf(run("ACGTAAAAAAAA", lines))} == {"1"}
-
-
-def test_gap_in_the_reference_is_not_covered(run):
-    rows = vcf(run("AAGTTTTCCT", [sam("n", 0, 1, "3M4N3M", "AAGCCT")]))
-    assert [r[0] for r in rows] == ["1", "2", "3", "8", "9", "10"]
-
-
 def test_unordered_pairs_may_stand_apart(run):
-    a, b = sam("n", 32, 1, "4M", "ACGT", "contig1", 9), sam("n", 16, 9, "4M", "ACGT", "contig1", 1)
-    other = [sam(f"x{i}", 0, 17, "4M", "ACGT") for i in range(3)]
-    r = run("ACGTAAAA" * 4, [a, *other, b], ordered=False)
-    assert r.errors() == 0 and {x[3] for x in vcf(r)} == {"1", "3"}
-    assert run("ACGTAAAA" * 4, [a, *other, b]).errors() >= 1
-
-
-def test_no_mutation(run):
-    assert mutations(run("ACGTAAAA", [sam("n", 0, 1, "4M", "ACGT")])) == []
-
-
-def test_consecutive_mutations_stay_apart(run):
-    assert mutations(run("ACGTAAAAA", [sam("n", 0, 1, "9M", "ACGTTTAAA")])) == [("5", "A", "T", "1", "1"), ("6", "A", "T", "1", "1")]
-
-
-def test_insertion(run):
-    r = run("ACGCTT", [sam("n", 0, 1, "3M2I3M", "ACGGACTT")])
-    assert mutations(r) == [("3", "--", "GA", "1", "1")]
-    assert [x for x in vcf(r) if x[0] == "-3"] == [["-3", "-", "G", "1", "0,0;1,0", "0,0;0,0", "ACG[G]ACTT"], ["-3", "-", "A", "1", "0,0;1,0", "0,0;0,0", "ACGG[A]CTT"]]
+    a, b = pair("n", 1, 9, "ACGT", "ACGT")
+    lines = [a, *(sam(f"x{i}", 0, 17, "4M", "ACGT") for i in range(3)), b]
+    r = run("ACGTAAAA" * 4, lines, ordered=False, support=False)
+    assert {x[3] for x in vcf(r, Thresholds(), False)} == {"1", "3"} and r.errors() == 0
+    assert run("ACGTAAAA" * 4, lines).errors() == 1
 
 
-def test_deletion(run):
-    r = run("ACGTAAAACCGGTT", [sam("n", 0, 1, "6M2D6M", "ACGTAACCGGTT")])
-    assert mutations(r) == [("7", "AA", "--", "1", "1")]
-    assert [x for x in vcf(r) if x[0] == "7"] == [["7", "A", "-", "1", "0,0;1,0", "0,0;0,0", "ACGTAA[-]CCGGTT"]]
-
-
-def test_low_depth(run):
-    r = run("ACGTACGT", [sam("n", 0, 1, "8M", "ACGTAACT")])
-    assert mutations(r, Thresholds(snp_depth=2)) == [] and mutations(r) == [("6", "C", "A", "1", "1"), ("7", "G", "C", "1", "1")]
-
-
-def test_indel_near_the_end_of_a_query(run):
-    lines = [sam("n", 0, 1, "1M1D6M", "AGTAACT")]
-    assert mutations(run("ACGTAACT", lines, fraction=0.5), Thresholds(start_depth=1)) == []
-    assert mutations(run("ACGTAACT", lines)) == [("2", "C", "-", "1", "1")]
-
-
-def test_leading_insertion_is_a_clip_and_a_later_one_is_not(run):
-    assert mutations(run("ACGT", [sam("n", 0, 1, "2I4M", "GGACGT")])) == []
-    assert mutations(run("TTACGT", [sam("n", 0, 3, "1S2I4M", "CGGACGT")])) == []  # no depth at the anchor
-
-
-def test_ambiguous_bases(run):
-    rows = vcf(run("ACGTACGT", [sam("n", 0, 1, "4M", "ANRT")]))
-    assert [r[0] for r in rows] == ["1", "4"]
-    assert mutations(run("ACGTACGT", [sam("n", 0, 1, "4M1I4M", "ACGTRACGT")])) == [("4", "-", "N", "1", "1")]
-
-
-def test_deletion_split_by_a_gap_in_coverage(run):
-    lines = [sam("n", 0, 1, "2M2D2M", "ACAC"), sam("m", 0, 9, "2M2D2M", "ACAC")]
-    assert [m[:2] for m in mutations(run("ACGTACGTACGTACGT", lines))] == [("3", "GT"), ("11", "GT")]
-
-
-def test_deletion_goes_on_below_the_start_threshold(run):
-    lines = [sam(f"n{i}", 0, 1, "2M2D4M", "ACACGT") for i in range(2)] + [sam("m", 0, 1, "2M1D5M", "ACTACGT")]
-    t = Thresholds(start_depth=1, start_fraction=0.9, go_on_depth=1, go_on_fraction=0.5)
-    assert mutations(run("ACGTACGT", lines), t)[-1][:3] == ("3", "GT", "--")
+def test_thresholds(run):
+    lines = [sam(f"n{i}", 0, 1, "2M2D4M", "ACACGT") for i in range(2)] + [sam("m", 0, 1, "2M1D5M", "ACTACGT")] + [sam("o", 0, 9, "8M", "ACGTAACT")]
+    r = run("ACGTACGT" * 2, lines)
+    assert [x[:3] for x in mutations(r, Thresholds(snp_depth=2, start_depth=1, start_fraction=0.9, go_on_depth=1, go_on_fraction=0.5))] == [["3", "GT", "--"]]
+    assert mutations(r, Thresholds(snp_depth=2, start_depth=4)) == []
 
 
 def test_errors_name_what_is_wrong(run):
     with pytest.raises(Exception, match="SampleText"):
-        run("ACGT", ["SampleText"]).vcf().collect()
+        run("ACGT", ["SampleText"]).components.collect()
     with pytest.raises(Exception, match="not found"):
-        run("ACGT", [sam("n", 0, 1, "4M", "ACGT").replace("contig1", "other")]).vcf().collect()
+        run("ACGT", [sam("n", 0, 1, "4M", "ACGT").replace("contig1", "other")]).positions().collect()
     with pytest.raises(Exception, match="cigar"):
-        run("ACGT", [sam("n", 0, 1, "4P", "ACGT")]).vcf().collect()
-    assert len(run("ACGT", [sam("n", 0, 1, "2=1X1=", "ACTT")], extended_cigar=True).vcf().collect()) == 4
+        run("ACGT", [sam("n", 0, 1, "4P", "ACGT")]).blocked.collect()
+    assert run("ACGT", [sam("n", 0, 1, "2=1X1=", "ACTT")], extended_cigar=True).blocked.first()["q_last"] == 4
 
 
-def test_sam_again_and_reads_by_reference(run):
+def test_sam_again_reads_by_reference_and_statistics(run):
     r = run("ACGTACGTACGT", [sam("n", 16, 2, "1H2S4M1D2M", "TTCGTACG")])
     assert [x.value.split("\t")[1:] for x in reports.sam_lines(r.sam()).collect()] == [["16", "contig1", "2", "255", "2S4M1D2M", "*", "0", "8", "TTCGTACG", "*", "AS:f:0.0"]]
     assert [tuple(x) for x in r.refs_map_count().collect()] == [("r.fa-", 1)]
     assert reports.sam_header(r.reference)[1] == "@SQ\tSN:contig1\tLN:12"
-
-
-def test_statistics(run):
-    s = run(LONG, [sam("n", 32, 1, "10M", "AACCGGTTAT", "contig1", 21), sam("n", 16, 21, "10M", "ACGTACGTAT", "contig1", 1)]).statistics().first()
+    s = run(LONG, pair("n", 1, 21, "AACCGGTTAT", "ACGTACGTAT")).statistics().first()
     assert (s["queries"], s["alignments"], s["mean"], s["stddev"], s["covered"], s["bases"]) == (1, 1, 10.0, 0.0, 20, 40)
 
 
-def test_empty_input(run):
-    assert vcf(run("ACGT", [])) == []
-
-
-def test_pieces_of_a_large_reference_give_the_same(spark, run):
+def test_empty_input_and_large_references(run):
     from strandlake.operators import observations, pileup
 
+    assert vcf(run("ACGT", [])) == []
     r = run("ACGT" * 30, [sam("n", 0, 3, "20M3I20M2D20M", "GTAC" * 15 + "GTA")])
-    rows = [sorted(map(str, pileup.pileup(observations.base_observations(r.blocked, r.reference, 0.1, large)).drop("ex_fm").collect())) for large in (False, True)]
+    rows = [sorted(map(str, pileup.pileup(observations.base_observations(r.blocked, r.reference, 0.1, large), False).collect())) for large in (False, True)]
     assert rows[0] == rows[1]
-
-
-def test_examples_prefer_long_reads_and_their_middle(run):
-    lines = [sam("a", 0, 1, "3M", "ACT"), sam("b", 0, 1, "8M", "ACTTACGT"), sam("c", 0, 2, "8M", "CTTACGTA")]
-    assert [r for r in vcf(run("ACGTACGTACGT", lines)) if r[0] == "3"][0][6] == "AC[T]TACGT"
