@@ -157,7 +157,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 7))
     x[200:260] = x[10]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 7), (302, [float("nan")] * 7), (303, [1.0, None, 1, 1, 1, 1, 1]), (None, [1.0] * 7), (304, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 7), (302, [float("nan")] * 7), (303, [1.0, None, *[1.0] * 5]), (None, [1.0] * 7), (304, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     out = anisotropic.nearest_neighbours(df, F.col("vec_id") % 10 == 0, row_block=70, query_block=9).collect()
     hits = total = 0
