@@ -79,18 +79,18 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("Failed to parse sam line: "), "value"))
     number = lambda k: F.when(F.size(f) > k, F.get(f, F.lit(k)).try_cast("int"))
     flags, pos = number(1), number(3)
-    contig = sam_fields.first_word(f[2])
-    next_contig = F.when(f[6] == "=", contig).otherwise(f[6])
+    ok = (F.size(f) >= 10) & flags.isNotNull() & pos.isNotNull()
+    contig = F.when(ok, sam_fields.first_word(F.get(f, F.lit(2)))).otherwise(bad.cast("string"))
+    next_contig = F.when(F.get(f, F.lit(6)) == "=", contig).otherwise(F.get(f, F.lit(6)))
     wants_mate = (next_contig != "*") & ~sam_fields.flag(flags, 8)
     mate_pos = F.when(wants_mate, F.coalesce(number(7), bad.cast("int")))
     place = F.struct(next_contig.alias("contig"), mate_pos.alias("pos"), sam_fields.flag(flags, 32).alias("rev"))
     tags = F.when(F.size(f) > 10, F.slice(f, 11, 1 << 20)).otherwise(F.array().cast("array<string>"))
     expect = F.concat(F.when(wants_mate, F.array(place)).otherwise(F.array().cast(f"array<{sam_fields.PLACE}>")), sam_fields.supplementary(tags))
     lines = lines.filter(~F.col("value").startswith("@") & (F.col("value") != ""))
-    ok = (F.size(f) >= 10) & flags.isNotNull() & pos.isNotNull()
     return lines.select(
-        "input_index", "line_ord", F.when(ok, f[0]).otherwise(bad.cast("string")).alias("qname"), contig.alias("contig"), pos.alias("pos"), sam_fields.flag(flags, 16).alias("rev"),
-        f[5].alias("cigar"), F.upper(f[9]).alias("seq"), F.length(f[9]).alias("seq_len"), expect.alias("expect"), sam_fields.bad_supplementary(tags).alias("bad_tags"),
+        "input_index", "line_ord", F.get(f, F.lit(0)).alias("qname"), contig.alias("contig"), pos.alias("pos"), sam_fields.flag(flags, 16).alias("rev"),
+        F.get(f, F.lit(5)).alias("cigar"), F.upper(F.get(f, F.lit(9))).alias("seq"), F.length(F.get(f, F.lit(9))).alias("seq_len"), expect.alias("expect"), sam_fields.bad_supplementary(tags).alias("bad_tags"),
     )
 
 
