@@ -15,6 +15,7 @@ by hashing the row's place, so no key, source or group of copies makes one large
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -70,7 +71,7 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     return out
 
 
-def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, seed: int = 11, block_rows: int = 200_000) -> DataFrame:
+def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, seed: int = 11, block_rows: int = 500_000) -> DataFrame:
     """Each row's shard and its place there; shard counts differ by one at most.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16, ``text_crc32`` the
@@ -96,8 +97,8 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             at += k
             ends_row.append(at)
         ends.append(ends_row)
-    values = ", ".join(f"({p}, array({', '.join(f'{e}L' for e in row)}))" for p, row in enumerate(ends))
-    matrix = df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS m(_q, _ends)")  # blocks x shards numbers
+    # blocks x shards numbers, about 40 for each ``block_rows`` rows, parsed in the plan
+    matrix = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("_q", "_ends"))
     local = Window.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed + 1), "_place"), "_place")
     dealt = (
         rows.withColumn("_r", F.row_number().over(local) - 1)
