@@ -161,11 +161,14 @@ def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for links (a, b), a < b.
 
     Alternates large stars (greater neighbours move to the least) and small stars
-    (lesser neighbours move to the least) until nothing moves; each round is written
-    to the shared folder, and only counts reach the driver."""
+    (lesser neighbours move to the least) until only stars are left; each round is
+    written to the shared folder, and nothing but that answer reaches the driver."""
     edges = cut(links.select("a", "b").distinct(), "links")
-    before = None
     while True:
+        ends = edges.select(F.col("a").alias("n"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("n"), F.lit(1).alias("leaf")))
+        ends = ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("only"))
+        if ends.filter("leaf > 1 or (leaf = 1 and only = 0)").isEmpty():  # every greater node hangs on one root alone
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a != b").distinct()
@@ -174,10 +177,6 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("x"), "_m").unionByName(small.select(F.col("a").alias("x"), "_m")).filter("x != _m").select(F.col("_m").alias("a"), F.col("x").alias("b")).distinct()
         edges = cut(small, "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = state
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, tables: int = 16, k: int = 5, most: int = 1000) -> DataFrame:
