@@ -8,14 +8,13 @@ edit similarity.  Candidates are verified by banded alignment: the edit distance
 their word sequences, computed along the diagonals of a band that is as wide as the
 similarity asked for allows.
 
-Equal texts collapse first, by map-side aggregation.  Within the texts of a key not all
-pairs are made: in an order of the key's own, texts that agree with no earlier leader
-on a second key become leaders, and each text is paired with the leaders it agrees
-with; other keys have other leaders.  Of a key with over ``most`` texts, those that agree with
-the key's least text on five tables of sixteen are paired with it alone; the rest are
-divided by a second key, which candidates share anyway, and what is still larger is
-dealt into blocks that share one leader.  Alignment comes in two rounds: each text with its
-least candidate, then only pairs whose ends are not yet in one class.
+Equal texts collapse first, by map-side aggregation.  Texts that agree on one table are
+candidates, in keys of any size.  Alignment spares pairs whose ends are in one class
+already: first each text meets the least text of its keys; then, while that still joins
+much, a leader from another class meets the rest of its key; in the end all pairs of a
+key that are in different classes are compared.  Only what cannot be near is left out:
+lengths that differ too much, and counts of words (in 128 classes of words, which bound
+the edit distance from below) that do.  A large key is compared by pairs of its blocks.
 """
 
 from __future__ import annotations
@@ -36,6 +35,7 @@ from .shared import cut
 WORD = re.compile(r"[^\W_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 2 << 20
+CLASSES = 128
 
 
 def words_of(text: str) -> list[str]:
@@ -136,24 +136,29 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
 
 def alike(a: list, b: list, similarity: float) -> bool:
     longest = max(len(a), len(b))
-    return edit_distance(a, b, int((1 - similarity) * longest + 1e-9)) is not None
-
-
-def led(ids: list[bytes], signs: np.ndarray, sizes: np.ndarray, key: int, need: int, similarity: float, first: bytes | None = None) -> list[tuple[bytes, bytes]]:
-    """Pairs of each text with the leaders it agrees with on ``need`` tables."""
-    n = len(ids)
-    rank = sorted(range(n), key=lambda i: (ids[i] != first, xxhash.xxh3_64_intdigest(ids[i], seed=key & 0xFFFFFFFF)))
-    signs, sizes = signs[rank], sizes[rank]
-    free, out = np.ones(n, bool), []
-    for k in range(n):
-        if free[k]:
-            near = ((signs == signs[k]).sum(axis=1) >= need) & (np.minimum(sizes, sizes[k]) >= similarity * np.maximum(sizes, sizes[k]) - 1e-9)
-            near[k] = False
-            free &= ~near
-            free[k] = False
-            for j in np.flatnonzero(near).tolist():
-                x, y = ids[rank[k]], ids[rank[j]]
-                out.append((x, y) if x < y else (y, x))
+    most = int((1 - similarity) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    pairs = Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))
+    if pairs.total() < longest - 1 - 2 * most:  # an edit takes two pairs of neighbours at most
+        return False
+    return edit_distance(a, b, most) is not None
+
+
+def word_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words of each text by class of word, 255 at most: (texts, CLASSES)."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.bincount(text * CLASSES + (hashes % np.uint64(CLASSES)).astype(np.int64), minlength=len(sizes) * CLASSES)
+    return np.minimum(n, 255).astype(np.uint8).reshape(-1, CLASSES)
+
+
+def may_be_near(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """Which texts can be near to one text: an edit changes each sum of surpluses by one at most."""
+    most = ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
+    out = np.abs(sizes - size) <= most
+    at = np.flatnonzero(out)
+    d = counts[at].astype(np.int16) - own.astype(np.int16)
+    out[at] = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most[at]
     return out
 
 
@@ -207,87 +212,76 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 cache.update({w: xxhash.xxh3_64_intdigest(w) for w in set().union(*words) - cache.keys()})
                 has = [i for i, ws in enumerate(words) if ws]
                 keys: list = [None] * len(words)
+                counts: list = [None] * len(words)
                 if has:
                     flat = np.fromiter((h for i in has for h in map(cache.__getitem__, words[i])), np.uint64)
-                    found = sketches(flat, np.array([len(words[i]) for i in has]), tables, k)
-                    for i, row in zip(has, found):
-                        keys[i] = row.tobytes()
+                    sizes = np.array([len(words[i]) for i in has])
+                    for i, row, n in zip(has, sketches(flat, sizes, tables, k), word_counts(flat, sizes)):
+                        keys[i], counts[i] = row.tobytes(), n.tobytes()
                 part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([len(ws) for ws in words], pa.int32())], ["_id", "_h", "_keys", "_words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([len(ws) for ws in words], pa.int32()), pa.array(counts, pa.binary())], ["_id", "_h", "_keys", "_words", "_counts"])
                 at = end
 
     id_sql = df.schema[id_col].dataType.simpleString()
-    rows = cut(own.mapInArrow(sketch, f"_id {id_sql}, _h binary, _keys binary, _words int"), "sketches")
-    texts = rows.filter("_h is not null").groupBy("_h").agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.first("_words").alias("_words"), F.max(F.col("_id").isNull()).alias("_null"))
+    rows = cut(own.mapInArrow(sketch, f"_id {id_sql}, _h binary, _keys binary, _words int, _counts binary"), "sketches")
+    texts = rows.filter("_h is not null").groupBy("_h").agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.first("_words").alias("_words"), F.first("_counts").alias("_counts"), F.max(F.col("_id").isNull()).alias("_null"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, tables)
-            signs = [x.tobytes() for x in keys.astype(np.uint16)]
             n = len(keys)
             which = np.repeat(np.arange(n), tables)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64).ravel()), batch.column(0).take(pa.array(which)), pa.array(signs, pa.binary()).take(pa.array(which)), batch.column(2).take(pa.array(which))],
-                ["_key", "_h", "_sign", "_words"],
+                [pa.array(keys.view(np.int64).ravel()), batch.column(0).take(pa.array(which)), batch.column(2).take(pa.array(which))],
+                ["_key", "_h", "_words"],
             )
 
-    member = texts.filter("_keys is not null").select("_h", "_keys", "_words").mapInArrow(spread, "_key long, _h binary, _sign binary, _words int")
-    counted = member.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    member = texts.filter("_keys is not null").select("_h", "_keys", "_words").mapInArrow(spread, "_key long, _h binary, _words int")
+    counted = member.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
     shared = cut(member.join(counted, "_key"), "shared-keys")
-    large = shared.filter(F.col("_n") > most).drop("_n")
-    # what agrees with the group's least text on many tables is paired with it alone
-    least = large.groupBy("_key").agg(F.min(F.struct("_h", "_sign", "_words")).alias("_least"))
-    both = large.join(least, "_key")
-    agree = F.aggregate(F.sequence(F.lit(0), F.lit(tables - 1)), F.lit(0), lambda n, j: n + (F.substring("_sign", 2 * j + 1, F.lit(2)) == F.substring("_least._sign", 2 * j + 1, F.lit(2))).cast("int"))
-    close = (agree >= tables * 5 // 16) & (F.least("_words", "_least._words") >= F.greatest("_words", "_least._words") * similarity - 1e-9) & (F.col("_h") != F.col("_least._h"))
-    both = both.withColumn("_close", close)
-    sure = both.filter("_close").select(F.col("_least._h").alias("a"), F.col("_h").alias("b"))
-    large = both.filter("not _close").select("_key", "_h", "_sign", "_words")
-    # the rest by a second agreement: the large group's key with each other table's sign
-    second = large.select(
-        "_h", "_sign", "_words", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda j: F.xxhash64("_key", j, F.substring("_sign", 2 * j + 1, F.lit(2))))).alias("_key")
-    ) if tables > 1 else large
-    counts = second.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_h").alias("_first")).filter("_n > 1")
-    second = second.join(counts, "_key")
-    blocks = F.ceil(F.col("_n") / most)
-    dealt = second.withColumn("_block", F.when(F.col("_h") == F.col("_first"), F.sequence(F.lit(0), (blocks - 1).cast("int"))).otherwise(F.array(F.pmod(F.xxhash64("_h"), blocks).cast("int"))))
-    dealt = dealt.withColumn("_block", F.explode("_block")).select(F.xxhash64("_key", "_block").alias("_key"), "_h", "_sign", "_words", F.when(F.col("_n") > most, F.col("_first")).alias("_first"), F.lit(3).alias("_need"))
-    usual = shared.filter(F.col("_n") <= most).select("_key", "_h", "_sign", "_words", F.lit(None).cast("binary").alias("_first"), F.when(F.col("_n") > 8, 2).otherwise(1).alias("_need"))
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = shared.select("_h").distinct()
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of different classes that may be near, of one block or of two."""
         held: list[tuple] = []
 
-        def settle() -> list[tuple[bytes, bytes]]:
-            if len(held) < 2:
-                return []
-            ids = [x[1] for x in held]
-            signs = np.frombuffer(b"".join(x[2] for x in held), np.uint16).reshape(len(held), -1)
-            sizes = np.array([x[3] for x in held])
-            need = held[0][5]
-            if len(held) <= 8:
-                return [(min(x, y), max(x, y)) for i, x in enumerate(ids) for j, y in enumerate(ids[:i]) if min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]) - 1e-9]
-            return led(ids, signs, sizes, held[0][0], need, similarity, held[0][4])
-
-        out: list[tuple[bytes, bytes]] = []
+        def settle() -> set[tuple[bytes, bytes]]:
+            ids, (_, i, j) = [x[1] for x in held], held[0][0]
+            blocks, sizes = np.array([x[2] for x in held]), np.array([x[3] for x in held])
+            number = {r: n for n, r in enumerate({x[4] for x in held})}
+            roots = np.array([number[x[4]] for x in held])
+            counts = np.frombuffer(b"".join(x[5] for x in held), np.uint8).reshape(-1, CLASSES)
+            out = set()
+            for x in range(len(held) - 1):
+                at = x + 1 + np.flatnonzero((roots[x + 1 :] != roots[x]) & ((blocks[x + 1 :] != blocks[x]) | (i == j)))
+                if len(at):
+                    for y in at[may_be_near(counts[at], sizes[at], counts[x], int(sizes[x]), similarity)].tolist():
+                        out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
+            return out
+
+        out: set[tuple[bytes, bytes]] = set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_h", "_sign", "_words", "_first", "_need"))):
-                if held and row[0] != held[0][0]:
-                    out += settle()
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_i", "_j", "_h", "_block", "_words", "_root", "_counts"))):
+                if held and (key, i, j) != held[0][0]:
+                    out |= settle()
                     held = []
-                if not held or row[1] != held[-1][1]:
-                    held.append(row)
-            out = list(set(out))
-            if len(out) > 20_000:
-                yield pairs_batch(out)
-                out = []
-        yield pairs_batch(list(set(out + settle())))
+                    if len(out) > 20_000:
+                        yield pairs_batch(list(out))
+                        out = set()
+                held.append(((key, i, j), *row))
+        yield pairs_batch(list(out | settle() if held else out))
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("_h", "_lh"))
+            wa, wb = (batch.column(c).to_numpy() for c in ("_words", "_lwords"))
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in ("_counts", "_lcounts"))
+            keep = [bool(may_be_near(ca[i : i + 1], wa[i : i + 1], cb[i], int(wb[i]), similarity)[0]) for i in range(len(a))]
+            yield pairs_batch([(min(x, y), max(x, y)) for x, y, z in zip(a, b, keep) if z])
 
     def pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-    pairs = cut(usual.unionByName(dealt).repartition("_key").sortWithinPartitions("_key", "_h").mapInArrow(lead, "a binary, b binary").unionByName(sure).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("_h")).unionByName(pairs.select(F.col("b").alias("_h"))).distinct()
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -318,16 +312,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         right = bodies.select(F.col("_h").alias("b"), F.col("_z").alias("_zb"))
         return some.join(left, "a").join(right, "b").select("a", "b", "_za", "_zb").mapInArrow(align, "a binary, b binary")
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(verified(first), "aligned")
+    pair_sql = "a binary, b binary"
+    similar = F.least("_words", "_least._words") >= F.greatest("_words", "_least._words") * similarity - 1e-9
+    least = shared.groupBy("_key").agg(F.min(F.struct("_h", "_words")).alias("_least"))
+    first = shared.join(least, "_key").filter(similar & (F.col("_h") != F.col("_least._h"))).groupBy(F.col("_h").alias("b")).agg(F.min("_least._h").alias("a")).select("a", "b")
+    tried = cut(first, "pairs")
+    links = cut(verified(tried), "aligned")
     roots = cut(components(links), "roots")
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    rest = rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
-    rest = rest.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
-    more = cut(verified(rest), "aligned")
-    links = links.unionByName(more)
-    if not more.isEmpty():
-        roots = cut(components(links), "roots")
+    left = shared.join(texts.select("_h", "_counts"), "_h")
+    turn = misses = 0
+    while True:
+        left = left.drop("_root").join(roots.select(F.col("node").alias("_h"), F.col("root").alias("_root")), "_h", "left").withColumn("_root", F.coalesce("_root", "_h"))
+        mixed = left.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).filter("_lo != _hi").select("_key", "_n")
+        left = cut(left.drop("_n").join(mixed, "_key"), "open-keys")
+        sizes = left.groupBy("_key", "_root").agg(F.count("*").cast("double").alias("c")).groupBy("_key")
+        sizes = cut(sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "_root")).getField("_root").alias("_most"), F.max(F.struct(F.xxhash64(F.lit(turn), "_root"), "_root")).getField("_root").alias("_any")), "classes")
+        rows_left, open_pairs = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("q")) / 2).first()
+        if not open_pairs:
+            break
+        # leaders only join classes that the last step would compare in full; it leaves out no pair
+        last = open_pairs <= rows_left or misses == 2
+        if last:
+            blocks = F.ceil(F.col("_n") / most).cast("int")
+            dealt = left.withColumn("_block", F.pmod(F.xxhash64("_h"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_h", "_block", "_words", "_root", "_counts")
+            pairs = dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(crossed, pair_sql)
+        else:
+            leader = left.join(sizes.select("_key", F.col("_any" if turn % 2 else "_most").alias("_root")), ["_key", "_root"]).groupBy("_key")
+            leader = leader.agg(F.max(F.struct(F.xxhash64(F.lit(turn), "_h"), "_root", "_h", "_words", "_counts")).alias("_l"))
+            met = left.join(leader, "_key").filter("_root != _l._root").select("_h", "_words", "_counts", F.col("_l._h").alias("_lh"), F.col("_l._words").alias("_lwords"), F.col("_l._counts").alias("_lcounts"))
+            pairs = met.mapInArrow(led, pair_sql)
+        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = cut(verified(pairs), "aligned")
+        links = links.unionByName(more)
+        if not more.isEmpty():
+            roots = cut(components(links), "roots")
+        if last:
+            break
+        misses = misses + 1 if more.count() < 0.1 * pairs.count() or more.isEmpty() else 0
+        tried, turn = tried.unionByName(pairs), turn + 1
     degree = links.select(F.col("a").alias("_h")).unionByName(links.select(F.col("b").alias("_h"))).groupBy("_h").agg(F.count("*").alias("n_links"))
     known = texts.select("_h", "_rep", "_null").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("_root", F.coalesce("root", "_h"))
     classes = known.groupBy("_root").agg(F.min("_rep").alias("class_id"), F.max("_null").alias("_null")).withColumn("class_id", F.when(~F.col("_null"), F.col("class_id")))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandlake.llm import anisotropic, decontaminate, language_id, lm_score, order_minhash, packing, sharding, suffix_dedup, warc
@@ -95,6 +96,27 @@ def test_near_duplicates(spark, most):
     assert (got[50], got[51], got[52], got[53], got[54], got[55], got[None]) == (50, 51, 51, 53, 54, 54, None)
 
 
+@pytest.mark.parametrize("most", [1000, 7])
+def test_near_duplicates_of_mixed_similarity(spark, most):
+    rng = random.Random(5)
+    bodies, front = [], [rng.choice(VOCAB) for _ in range(50)]
+    for i in range(24):  # one beginning; the second of two is near the first, some thirds are near the second alone
+        w = list(bodies[-1]) if i % 3 else front + [rng.choice(VOCAB) for _ in range(50)]
+        for at in rng.sample(range(50, 100), (0, 16, rng.choice((14, 30)))[i % 3]):
+            w[at] = rng.choice(VOCAB)
+        bodies.append(w)
+    keys = [set(order_minhash.sketches(np.array([xxhash.xxh3_64_intdigest(x) for x in w], np.uint64), np.array([100]), 16, 5)[0].tolist()) for w in bodies]
+    class_of = list(range(24))
+    for i in range(24):
+        for j in range(i):
+            if keys[i] & keys[j] and order_minhash.alike(bodies[i], bodies[j], 0.8):
+                a, b = class_of[i], class_of[j]
+                class_of = [min(a, b) if c in (a, b) else c for c in class_of]
+    got = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bodies)], "doc_id long, text string"), most=most)
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == dict(enumerate(class_of))
+    assert 8 <= len(set(class_of)) < 16
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 200), (150, 200), (100, 150)]
     got = {r["node"]: r["root"] for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
