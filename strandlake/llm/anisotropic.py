@@ -13,7 +13,9 @@ once, in turn, on a bounded sample of ``fit_rows`` rows.  Every row is then code
 Queries meet all rows in blocks: block i of the queries with block j of the rows, of
 bounded sizes.  In a block each query's tables (two subspaces at a time, 256 entries)
 are summed along the codes, and the ``rerank`` best rows by that estimate are measured
-exactly in double precision.  The nearest of all blocks are merged by query.
+exactly in double precision.  An estimate errs by the length of the row's residual at
+most, so every other row that could still reach the k-th exact cosine is measured too:
+the result is that of an exact search.  The nearest of all blocks are merged by query.
 """
 
 from __future__ import annotations
@@ -92,6 +94,12 @@ class Codebook:
         c = self.codes(self.padded(vectors))
         return np.ascontiguousarray((c[:, ::2] * CENTRES + c[:, 1::2]).T)
 
+    def residuals(self, vectors: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave of the unit vectors."""
+        c = np.stack((pairs // CENTRES, pairs % CENTRES), axis=1).reshape(-1, len(vectors)).T
+        coded = self.centres[np.arange(c.shape[1]), c].reshape(len(vectors), -1)
+        return np.sqrt(((self.padded(vectors) - coded) ** 2).sum(axis=1))
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """Inner products with all pairs of centres: (subspaces / 2, 256)."""
         q = self.padded(query[None])[0].reshape(-1, 1, 2)
@@ -99,23 +107,33 @@ class Codebook:
         return (one[::2, :, None] + one[1::2, None, :]).reshape(len(one) // 2, -1).astype(np.float32)
 
 
-def scan(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_id: int, query: np.ndarray, k: int, rerank: int) -> list[tuple[int, float]]:
-    """The query's ``k`` nearest rows of a block; rows are in the order of their ids,
-    so equal estimates go to the smaller id as equal cosines do."""
+def scan(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_id: int, query: np.ndarray, k: int, rerank: int, errors: np.ndarray | None = None) -> list[tuple[int, float]]:
+    """The query's ``k`` nearest rows of a block; rows are in the order of their ids.
+    ``errors``: the lengths of the rows' residuals, if known."""
+    errors = book.residuals(vectors, codes) if errors is None else errors
     table = book.tables(query)
     score = np.zeros(len(ids), np.float32)
     for m in range(len(table)):
         score += table[m][codes[m]]
     score[ids == query_id] = -np.inf
     live = int((score > -np.inf).sum())
-    take = min(rerank, live)
+    take = min(max(rerank, k), live)
     if not take:
         return []
-    least = np.partition(score, len(score) - take)[len(score) - take]
-    best = np.flatnonzero(score > least)
-    best = np.concatenate((best, np.flatnonzero(score == least)[: take - len(best)]))
-    v = vectors[best]
-    cosine = (v * query).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((query * query).sum()))
+    length = np.sqrt((query * query).sum())
+
+    def exact(rows: np.ndarray) -> np.ndarray:
+        v = vectors[rows]
+        return (v * query).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * length)
+
+    best = np.argpartition(score, len(score) - take)[len(score) - take :]
+    cosine = exact(best)
+    if take < live:
+        reach = np.partition(cosine, take - k)[take - k] - 1e-4  # the k-th; sums of estimates are single precision
+        open_ = score + errors >= reach
+        open_[best] = False
+        more = np.flatnonzero(open_ & (score > -np.inf))
+        best, cosine = np.concatenate((best, more)), np.concatenate((cosine, exact(more)))
     order = np.lexsort((ids[best], -cosine))[:k]
     return [(int(ids[best[i]]), float(cosine[i])) for i in order]
 
@@ -130,7 +148,8 @@ def nearest_neighbours(
     commonest, or hold null or non-finite components take no part.  Of rows with the
     same id each is a candidate, but only the least vector is a query.  Equal cosines
     go to the smaller id.  An empty table gives no rows.  ``fit_rows`` bounds the
-    sample for the codebooks; the index and the search leave out nothing."""
+    sample for the codebooks; the index and the search leave out nothing.  ``rerank``
+    is where measuring starts, not where it ends."""
     v = F.col(vector_col)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.transform(v, lambda x: x.cast("double")).alias("_v"), queries.alias("_q")).filter(
         F.col("_id").isNotNull() & F.col("_v").isNotNull() & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
@@ -155,10 +174,11 @@ def nearest_neighbours(
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                codes = book.value.pairs(x).T
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["_id", "_v", "_c"])
+                codes = book.value.pairs(x)
+                errors = book.value.residuals(x, codes)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes.T], pa.binary()), pa.array(errors)], ["_id", "_v", "_c", "_e"])
 
-    right = rows.select("_id", "_v").mapInArrow(coded, "_id long, _v array<double>, _c binary")
+    right = rows.select("_id", "_v").mapInArrow(coded, "_id long, _v array<double>, _c binary, _e double")
     right = right.withColumn("_rb", F.pmod(place, F.lit(row_blocks))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def meet(some: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +187,9 @@ def nearest_neighbours(
             all_ = all_.sort_values("_id")
             ids, vectors = all_["_id"].to_numpy(), np.stack(all_["_v"].to_numpy())
             codes = np.ascontiguousarray(np.frombuffer(b"".join(all_["_c"]), np.uint8).reshape(len(ids), -1).T)
+            errors = all_["_e"].to_numpy()
             for q, x in zip(some["_id"], some["_v"]):
-                out += [(q, i, s) for i, s in scan(book.value, ids, vectors, codes, q, np.asarray(x), k, rerank)]
+                out += [(q, i, s) for i, s in scan(book.value, ids, vectors, codes, q, np.asarray(x), k, rerank, errors)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     near = left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -194,6 +194,27 @@ def test_neighbours(spark):
     assert anisotropic.nearest_neighbours(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["cluster", "table"])
+def test_neighbours_beyond_the_shortlist(spark, data, kind):
+    if kind == "cluster":  # near copies, not equal: many rows share their codes
+        rng = np.random.default_rng(8)
+        x = rng.normal(size=(900, 16))
+        x[100:500] = x[7] + 1e-3 * rng.normal(size=(400, 16))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    else:
+        df = spark.read.parquet(f"{data}/embeddings.parquet")
+        x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    ids = [r["vec_id"] for r in df.select("vec_id").orderBy("vec_id").collect()]
+    got = {}
+    for r in anisotropic.nearest_neighbours(df, F.col("vec_id") % 10 == 0, rerank=10).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    assert set(got) == {i for i in ids if i % 10 == 0}
+    for q, scores in got.items():
+        cosine = np.delete(unit @ unit[ids.index(q)], ids.index(q))
+        assert np.allclose(scores, np.sort(cosine)[::-1][:5], atol=1e-12, rtol=0), q
+
+
 def test_revisits(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nETag: \"x\"\r\nDate: old\r\n\r\nbody"
     head = b"HTTP/1.1 304 Not Modified\r\nETag: W/\"x\"\r\nDate: new\r\nContent-Type: other\r\n\r\n"
