@@ -1,8 +1,9 @@
 """Benchmark passages in documents, by fingerprints of item-sized windows.
 
 An item of n words has n - 4 shingles of five words (an item under five words has one
-of all its words).  A shingle weighs 1 / (number of items that hold it).  Where a
-document has a shingle of an item, all windows of the item's size over that place get
+of all its words).  A shingle of an item weighs 1 / (number of different texts of the
+whole benchmark that hold it); one that the item lacks weighs the item's mean at most.
+Where a document has a shingle of an item, all windows of the item's size over that place get
 a 64-bit SimHash of their weighted shingles.  An index over the items' fingerprints in
 eight blocks of eight bits lists, for each block and value, the items within two bits
 there: two fingerprints within 23 bits differ by two bits or less in some block, so
@@ -11,7 +12,8 @@ similarity of the window's and the item's shingles, with multiplicity.
 
 A window without a shingle of the item has similarity 0, so looking only near shared
 shingles loses nothing.  Documents are scanned once for each ``item_bytes`` of
-benchmark text: the broadcast index is bounded and any number of items works.
+benchmark text; beside it the broadcast index holds the shingles that several texts of
+the whole benchmark share.
 """
 
 from __future__ import annotations
@@ -59,17 +61,19 @@ def votes(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
 class Index:
     """Items by size: their fingerprints in blocks, their shingles and weights."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = 23):
+    def __init__(self, items: list[tuple[int, str]], radius: int = 23, times: dict[tuple[int, int], int] | None = None):
+        """times: how many different texts hold a shingle, where over one; by default counted here."""
         self.radius = min(radius, 23)
-        self.items, df = [], Counter()
+        self.items, df, texts = [], Counter(), set()
         for item_id, text in items:
             words = words_of(text)
             if words:
                 k = min(5, len(words))
                 s = shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), k)
                 self.items.append((item_id, k, s, Counter(s.tolist()), len(words)))
-                df.update({(k, x) for x in s.tolist()})
-        self.weight = {key: 1.0 / n for key, n in df.items()}
+                df.update({(k, x) for x in s.tolist()} if text not in texts else ())
+                texts.add(text)
+        self.weight = {key: 1.0 / (n if times is None else times.get(key, 1)) for key, n in df.items()} | {key: 1.0 / n for key, n in (times or {}).items()}
         self.orders = sorted({x[1] for x in self.items})
         self.known, self.bitmap, self.sizes_of = {}, {}, {}
         for k in self.orders:
@@ -82,20 +86,24 @@ class Index:
             self.bitmap[k] = np.zeros(1 << 20, bool)
             self.bitmap[k][(self.known[k] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.sizes_of[k] = {x: sorted(v) for x, v in sizes.items()}
-        self.groups: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at, x in enumerate(self.items):
-            self.groups[x[1], len(x[2])].append(at)
+        self.mean = [float(self.weights(x[1], x[2], 1.0).mean()) for x in self.items]
+        self.groups: dict[tuple[int, int, float], list[int]] = defaultdict(list)
+        for at, x in enumerate(self.items):  # of one size and about one mean, by which windows are printed
+            self.groups[x[1], len(x[2]), 2.0 ** (round(4 * np.log2(self.mean[at])) / 4)].append(at)
+        self.means: dict[tuple[int, int], list[float]] = defaultdict(list)
+        for k, size, mean in self.groups:
+            self.means[k, size].append(mean)
         self.prints, self.near = {}, {}
         for key, members in self.groups.items():
-            p = np.stack([self.fingerprint(key[0], self.items[m][2]) for m in members])
+            p = np.stack([self.fingerprint(key[0], self.items[m][2], key[2]) for m in members])
             self.prints[key] = p
             self.near[key] = [[np.flatnonzero(ONES[p[:, b] ^ v] <= 2) for v in range(256)] for b in range(8)]
 
-    def weights(self, k: int, s: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get((k, x), 1.0) for x in s.tolist()])
+    def weights(self, k: int, s: np.ndarray, other: float) -> np.ndarray:
+        return np.array([self.weight.get((k, x), other) for x in s.tolist()])
 
-    def fingerprint(self, k: int, s: np.ndarray) -> np.ndarray:
-        return np.packbits(votes(s, self.weights(k, s)).sum(axis=0) > 0)
+    def fingerprint(self, k: int, s: np.ndarray, other: float) -> np.ndarray:
+        return np.packbits(votes(s, self.weights(k, s, other)).sum(axis=0) > 0)
 
     def present(self, k: int, s: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item holds."""
@@ -115,24 +123,25 @@ class Index:
             first = np.array(sorted(starts))
             lo, hi = int(first[0]), int(first[-1]) + m
             region = s[lo:hi]
-            total = np.concatenate((np.zeros((1, 64)), np.cumsum(votes(region, self.weights(k, region)), axis=0)))
-            prints = np.packbits(total[first - lo + m] - total[first - lo] > 1e-9, axis=1)
-            table, own = self.near[k, size], self.prints[k, size]
-            for f, start in zip(prints, first.tolist()):
-                met = np.unique(np.concatenate([table[b][f[b]] for b in range(8)]))
-                met = met[ONES[own[met] ^ f].sum(axis=1) <= self.radius] if len(met) else met
-                for j in met.tolist():
-                    member = self.groups[k, size][j]
-                    item_id, _, _, counts, n_words = self.items[member]
-                    sim = self.similarity(k, Counter(s[start : start + m].tolist()), counts)
-                    if sim >= threshold and sim > best.get(item_id, (0,))[0]:
-                        best[item_id] = (sim, start, m + k - 1)
+            for mean in self.means[k, size]:
+                total = np.concatenate((np.zeros((1, 64)), np.cumsum(votes(region, self.weights(k, region, mean)), axis=0)))
+                prints = np.packbits(total[first - lo + m] - total[first - lo] > 1e-9, axis=1)
+                table, own = self.near[k, size, mean], self.prints[k, size, mean]
+                for f, start in zip(prints, first.tolist()):
+                    met = np.unique(np.concatenate([table[b][f[b]] for b in range(8)]))
+                    met = met[ONES[own[met] ^ f].sum(axis=1) <= self.radius] if len(met) else met
+                    for j in met.tolist():
+                        member = self.groups[k, size, mean][j]
+                        item_id, _, _, counts, n_words = self.items[member]
+                        sim = self.similarity(k, Counter(s[start : start + m].tolist()), counts, self.mean[member])
+                        if sim >= threshold and sim > best.get(item_id, (0,))[0]:
+                            best[item_id] = (sim, start, m + k - 1)
         return best
 
-    def similarity(self, k: int, a: Counter, b: Counter) -> float:
+    def similarity(self, k: int, a: Counter, b: Counter, mean: float) -> float:
         low = high = 0.0
         for x in a.keys() | b.keys():
-            w = self.weight.get((k, x), 1.0)
+            w = self.weight[k, x] if x in b else min(mean, self.weight.get((k, x), mean))
             low += w * min(a[x], b[x])
             high += w * max(a[x], b[x])
         return low / high
@@ -146,24 +155,36 @@ def benchmark_hits(
 
     Words are runs of letters and digits, lower-cased.  Texts that are null or hold no
     word and items without a word have no hits; an empty benchmark gives none.
-    Repeated rows and ids are rows like any other.  ``df`` must not have a column
-    ``hits``; all its other columns stay as they are."""
+    Rows of one id (null is one too) give one hit, the best.  ``df`` must not have a
+    column ``hits``; all its other columns stay as they are."""
     if "hits" in df.columns:
         raise ValueError("the input has a column named hits")
-    blocks: list[list[tuple[int, str]]] = [[]]
+    items = benchmark.select(F.col(item_id).alias("_item"), F.coalesce(item_text, F.lit("")).alias("_text"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                k = min(5, len(words))
+                s = np.unique(shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), k)) if words else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([text] * len(s), pa.string()), pa.array([k] * len(s), pa.int32()), pa.array(s.view(np.int64))], ["_text", "_k", "_s"])
+
+    holds = items.select("_text").distinct().mapInArrow(held, "_text string, _k int, _s long")
+    several = holds.groupBy("_k", "_s").agg(F.count("*").alias("_n")).filter("_n > 1")
+    times = {(r["_k"], r["_s"] % 2**64): r["_n"] for r in several.toLocalIterator()}  # only what several texts of the benchmark hold
+    block: list[tuple] = []
     size = 0
-    for row in benchmark.select(item_id, item_text).filter(F.col(item_id).isNotNull()).orderBy(item_id, item_text).toLocalIterator():
-        text = row[1] or ""
-        if size + len(text) > item_bytes and blocks[-1]:
-            df = _with_hits(df, blocks[-1], text_col, threshold, radius)
-            blocks, size = [[]], 0
-        blocks[-1].append((row[0], text))
+    for item, text in items.orderBy("_item", "_text").toLocalIterator():
+        if size + len(text) > item_bytes and block:
+            df = _with_hits(df, block, text_col, threshold, radius, times)
+            block, size = [], 0
+        block.append((item, text))
         size += len(text)
-    return _with_hits(df, blocks[-1], text_col, threshold, radius)
+    return _with_hits(df, block, text_col, threshold, radius, times)
 
 
-def _with_hits(df: DataFrame, items: list[tuple[int, str]], text_col: str, threshold: float, radius: int) -> DataFrame:
-    index = df.sparkSession.sparkContext.broadcast(Index(items, radius))  # at most item_bytes of text and its shingles
+def _with_hits(df: DataFrame, items: list[tuple[int, str]], text_col: str, threshold: float, radius: int, times: dict[tuple[int, int], int]) -> DataFrame:
+    index = df.sparkSession.sparkContext.broadcast(Index(items, radius, times))  # at most item_bytes of text and its shingles
     again = "hits" in df.columns
     names = [c for c in df.columns if c != "hits"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -192,9 +213,13 @@ def _with_hits(df: DataFrame, items: list[tuple[int, str]], text_col: str, thres
                         for item, x in model.hits(k, own, hit[doc == d] - starts[d], threshold).items():
                             if x > found[d].get(item, (0,)):
                                 found[d][item] = x
-                rows = [[{"item_id": i, "similarity": x[0], "start": x[1], "words": x[2]} for i, x in sorted(f.items())] for f in found]
                 if again:
-                    rows = [old + new for old, new in zip(part.column(len(names)).to_pylist(), rows)]
+                    for f, old in zip(found, part.column(len(names)).to_pylist()):
+                        for x in old:
+                            if x["similarity"] >= f.get(x["item_id"], (0,))[0]:
+                                f[x["item_id"]] = (x["similarity"], x["start"], x["words"])
+                order = lambda x: (x[0] is not None, x[0] or 0)
+                rows = [[{"item_id": i, "similarity": x[0], "start": x[1], "words": x[2]} for i, x in sorted(f.items(), key=order)] for f in found]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(rows, HIT)], [*names, "hits"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", hits {HIT_SQL}"

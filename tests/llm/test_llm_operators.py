@@ -149,6 +149,18 @@ def test_decontamination(spark, docs):
     assert none.filter(F.size("hits") > 0).count() == 0 and none.count() == len(ROWS)
 
 
+def test_decontamination_by_shared_items(spark):
+    words = [f"w{i}" for i in range(54)]
+    changed = words[:27] + ["other"] + words[28:]
+    bench = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words) + " !"), (None, text(60)), (4, " ".join(words[:30] + [f"v{i}" for i in range(24)]))]
+    docs = spark.createDataFrame([(1, " ".join(changed)), (2, bench[3][1]), (3, " ".join(words[2:30] + ["x", "y"]))], "doc_id long, text string")
+    found = []
+    for size in (4 << 20, 60):  # the blocks do not matter
+        out = decontaminate.benchmark_hits(docs, spark.createDataFrame(bench, "item_id long, text string"), item_bytes=size)
+        found.append({(r["doc_id"], h["item_id"], round(h["similarity"], 9)) for r in out.collect() for h in r["hits"]})
+    assert found[0] == found[1] and {x[:2] for x in found[0]} == {(1, 1), (1, 2), (1, 3), (2, None)}
+
+
 def test_languages(spark, nothing):
     words = {"a": ["th", "er", "on", "is"], "b": ["eau", "ch", "ou", "ai"]}
     make = lambda k, n: " ".join("".join(RNG.choices(words[k], k=3)) for _ in range(n))
