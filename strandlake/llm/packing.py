@@ -17,89 +17,143 @@ sequences again as a whole: ids hold the partition's number.
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+SLAB = 8 << 20
 _LOADED: dict[str, "WordIds"] = {}
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] end to end."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class WordIds:
-    """Ids of texts, with caches by word.
+    """Ids of many texts at a time, each distinct word encoded once.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
     those of its chunks between spaces, in order.  Most chunks are letters and a tail
-    of punctuation, which it takes apart as well; ASCII letters it lowers.  So only
-    distinct words are encoded, many at a time: the id that ends a word tells them
-    apart again.  Caches start anew beyond ``most`` entries and long chunks are not
-    kept: memory stays bounded, ids the same."""
+    of punctuation, which it takes apart as well; ASCII letters it lowers.  The distinct
+    words of a slab are encoded many at a time: the id that ends a word tells them apart
+    again.  Words and their ids are kept in flat arrays of ``most`` bytes together, and
+    begun anew beyond that; nothing else outlives a slab."""
 
     TAIL = ".,;:!?*%&$#()\"-"
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 40 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.path, self.tokenizer, self.most = path, Tokenizer.from_file(path), most
+        self.forget()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def encode(self, words: list[str]) -> None:
-        """Ids of words of letters into the cache; any that do not come out as one
-        run with one end are encoded by themselves."""
-        groups = [words[k : k + 400] for k in range(0, len(words), 400)]
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def learned(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those kept, to which new ones are added."""
+        if self.words.nbytes + self.flat.nbytes + self.sizes.nbytes > self.most:
+            self.forget()
+        at = pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False)
+        new = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        fresh = words.filter(pa.array(new))
+        out = np.where(new, 0, at).astype(np.int64)
+        out[new] = len(self.words) + np.arange(len(fresh))
+        if len(fresh):
+            flat, sizes = self.joined(fresh.to_pylist())
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.flat, self.sizes = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, sizes.astype(np.int32)))
+        return out
+
+    def single(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, each by itself, end to end, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def joined(self, words: list[str], many: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, ``many`` in one line; lines that do not come
+        out as one run with one end for each word are encoded word by word."""
+        groups = [words[k : k + many] for k in range(0, len(words), many)]
+        flat, sizes = [], []
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            last = np.flatnonzero(self.ends[ids])
+            ids = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(group):
-                raw, at = ids.tobytes(), 0
-                for word, end in zip(group, ((last + 1) * 4).tolist()):
-                    self.words[word] = raw[at:end]
-                    at = end
-            else:
-                for word in group:
-                    self.words[word] = self.one(word)
-
-    def one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def bytes_of(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        parts, need, rare = [], set(), {}
-        for chunk in set().union(*split) - self.chunks.keys():
-            word = chunk.rstrip(self.TAIL)
-            if word.isalpha() and len(chunk) <= self.longest:
-                tail = chunk[len(word) :]
-                word = word.lower() if word.isascii() else word
-                parts.append((chunk, word, tail))
-                if word not in self.words:
-                    need.add(word)
-                if tail not in self.words:
-                    self.words[tail] = self.one(tail)
+                n = np.diff(last, prepend=0)
             else:
-                (self.chunks if len(chunk) <= self.longest else rare)[chunk] = self.one(chunk)
-        self.encode(list(need))
-        for chunk, word, tail in parts:
-            self.chunks[chunk] = self.words[word] + self.words[tail] if tail else self.words[word]
-        tail = b"" if end_id is None else end_id.to_bytes(4, "little")
-        if not rare:
-            return [b"".join(map(self.chunks.__getitem__, cs)) + tail for cs in split]
-        return [b"".join([self.chunks[c] if c in self.chunks else rare[c] for c in cs]) + tail for cs in split]
+                ids, n = self.single(group)
+            flat.append(ids)
+            sizes.append(n)
+        return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts (nulls are empty): ids of their distinct chunks end to end, how many
+        each chunk has, the chunks of all texts in order, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(texts, " ")
+        held = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = split.flatten().dictionary_encode()
+        which, chunks = chunks.indices.to_numpy(), chunks.dictionary
+        if not len(chunks):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), held
+        words = pc.utf8_rtrim(chunks, characters=self.TAIL)
+        plain = pc.utf8_is_alpha(words)
+        words = pc.if_else(plain, pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words), None).dictionary_encode()
+        plain = plain.to_numpy(zero_copy_only=False)
+        tails = pc.if_else(pa.array(plain), pc.replace_substring_regex(chunks, r"^[^" + re.escape(self.TAIL) + "]*", ""), chunks).dictionary_encode()
+        places = np.append(self.learned(words.dictionary), -1)
+        flat_t, size_t = self.single(tails.dictionary.to_pylist())
+        flat = np.concatenate((self.flat, flat_t))
+        size = np.concatenate((self.sizes, size_t, [0]))
+        start = np.cumsum(size) - size
+        first = places[words.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+        second = tails.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(self.sizes)
+        parts = np.stack((first, second), axis=1).ravel()
+        return gathered(flat, start[parts], size[parts]), size[first] + size[second], which, held
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        flat, size, which, held = self.chunked(texts)
+        each = size[which]
+        ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(held)]
+        return gathered(flat, (np.cumsum(size) - size)[which], each), np.diff(ends, prepend=0)
+
+    def slabs(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, ids of each text with the end id) for runs of rows of about SLAB bytes."""
+        for a, part in slabs_of(texts):
+            flat, n = self.encode(part)
+            ends = np.cumsum(n)
+            if end_id is not None:
+                flat, ends = np.insert(flat, ends, end_id), ends + np.arange(1, len(n) + 1)
+            yield a, np.split(flat, ends[:-1])
+
+
+def slabs_of(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) for runs of rows of about SLAB bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    slab = (np.cumsum(sizes) - 1).clip(0) // SLAB
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(slab)) + 1, [len(sizes)])) if len(sizes) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(a), texts.slice(a, b - a)
 
 
 def word_ids(path: str | None) -> WordIds:
-    """One tokenizer and cache for each Python worker."""
+    """One tokenizer for each Python worker."""
     if path is None:
         import public_tokenizers
 
@@ -145,22 +199,23 @@ class Packer:
 
     def emit(self, piece: tuple, offset: int) -> None:
         doc_id, start, ids, doc_tokens = piece
-        self.out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, self.sequence, offset, ids))
+        self.out.append((doc_id, start, len(ids), zlib.crc32(ids.data), doc_tokens, self.sequence, offset, ids))
 
-    def add(self, doc_id, ids: bytes) -> None:
-        total, step, at = len(ids) // 4, 4 * self.capacity, 0
-        while len(ids) - at >= step:
-            self.emit((doc_id, at // 4, ids[at : at + step], total), 0)
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        """ids: of unsigned 32-bit numbers, little-endian."""
+        total, at = len(ids), 0
+        while total - at >= self.capacity:
+            self.emit((doc_id, at, ids[at : at + self.capacity], total), 0)
             self.sequence += 1
-            at += step
-        if at < len(ids):
-            self.wait((doc_id, at // 4, ids[at:], total))
+            at += self.capacity
+        if at < total:
+            self.wait((doc_id, at, ids[at:].copy(), total))
         if self.n >= self.window:
             while self.n > self.window // 2:
                 self.fill()
 
     def wait(self, piece: tuple) -> None:
-        self.waiting.setdefault(len(piece[2]) // 4, []).append(piece)
+        self.waiting.setdefault(len(piece[2]), []).append(piece)
         self.n += 1
 
     def take(self, length: int) -> tuple:
@@ -187,27 +242,27 @@ class Packer:
         while offset < self.capacity and self.n:
             doc_id, start, ids, total = self.take(max(self.waiting))
             room = self.capacity - offset
-            self.emit((doc_id, start, ids[: 4 * room], total), offset)
-            offset += min(room, len(ids) // 4)
-            if len(ids) > 4 * room:
-                self.wait((doc_id, start + room, ids[4 * room :], total))
+            self.emit((doc_id, start, ids[:room], total), offset)
+            offset += min(room, len(ids))
+            if len(ids) > room:
+                self.wait((doc_id, start + room, ids[room:], total))
         self.sequence += 1
 
     def finish(self) -> None:
         while sum(k * len(v) for k, v in self.waiting.items()) >= self.capacity:
             self.fill()
         rest = [self.take(k) for k in sorted(self.waiting, reverse=True) for _ in range(len(self.waiting[k]))]
-        left = sum(len(p[2]) // 4 for p in rest)
+        left = sum(len(p[2]) for p in rest)
         while left:  # its binary digits, the largest first
             size = 1 << (left.bit_length() - 1)
             offset = 0
             while offset < size:
                 doc_id, start, ids, total = rest.pop()
                 room = size - offset
-                self.emit((doc_id, start, ids[: 4 * room], total), offset)
-                offset += min(room, len(ids) // 4)
-                if len(ids) > 4 * room:
-                    rest.append((doc_id, start + room, ids[4 * room :], total))
+                self.emit((doc_id, start, ids[:room], total), offset)
+                offset += min(room, len(ids))
+                if len(ids) > room:
+                    rest.append((doc_id, start + room, ids[room:], total))
             self.sequence += 1
             left -= size
 
@@ -233,7 +288,7 @@ def pack_documents(
             data = [pa.array(cols[0], id_type)] + [pa.array(c, pa.int64()) for c in cols[1:7]]
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                data.append(pa.array([array("I", x).tolist() for x in cols[7]], pa.list_(pa.int64())))
+                data.append(pa.array([x.astype(np.int64) for x in cols[7]], pa.list_(pa.int64())))
                 names.append("ids")
             packer.out = []
             return pa.RecordBatch.from_arrays(data, names)
@@ -241,10 +296,9 @@ def pack_documents(
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                for key, ids in zip(keys, words.bytes_of(texts, end_id)):
+            keys = batch.column(0).to_pylist()
+            for first, texts in words.slabs(batch.column(1), end_id):
+                for key, ids in zip(keys[first : first + len(texts)], texts):
                     packer.add(key, ids)
                 yield rows()
         packer.finish()
