@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import sys
-import tempfile
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from .operators import reports
 from .operators.filters import Thresholds
 from .plans.variants import Run
+from .sources.local import write_text
 
 VERSION = "strandlake 0.1"
+#: Names of options, and below the headers of the reports.
 USAGE = """\
 --reference FILE            FASTA or FASTQ, may be given several times (required)
 --in-ordered-sam FILE       reads of one query stand together
@@ -120,20 +119,6 @@ def parse(args: list[str]) -> Options:
     return o
 
 
-def write_text(lines: DataFrame, path: str, header: list[str]) -> None:
-    """One local file: the header, then the parts in their order."""
-    folder = tempfile.mkdtemp()
-    try:
-        lines.write.mode("overwrite").text(f"file://{folder}/out")
-        with open(path, "wb") as out:
-            out.write("".join(h + "\n" for h in header).encode())
-            for part in sorted(x for x in os.listdir(f"{folder}/out") if x.startswith("part-")):
-                with open(f"{folder}/out/{part}", "rb") as f:
-                    shutil.copyfileobj(f, out)
-    finally:
-        shutil.rmtree(folder)
-
-
 def main(args: list[str]) -> int:
     try:
         o = parse(args)

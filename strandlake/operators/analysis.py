@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouping import running
+
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Exact interpolated quantiles, mean, population deviation and sample deviation."""
@@ -70,15 +72,55 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
 def ks_distance(df: DataFrame, value: str, which: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance between rows where ``which`` holds and not.
 
-    Values are counted before they are ordered, so the window sees distinct values."""
+    Values are counted before they are ordered, and ordered within 4,096 steps between
+    the least and the greatest."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(which)).alias("_a"), F.count_if(~F.col(which)).alias("_b"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = counts.select(F.sum("_a").over(run).alias("_a"), F.sum("_b").over(run).alias("_b"))
-    totals = counts.agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
-    return sums.crossJoin(F.broadcast(totals)).agg(F.max(F.abs(F.col("_a") / F.col("_ta") - F.col("_b") / F.col("_tb"))).alias("distance"), F.max("_ta").alias("n_a"), F.max("_tb").alias("n_b"))  # one row
+    totals = counts.agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    counts = counts.crossJoin(F.broadcast(totals))  # of one row
+    block = F.floor(F.coalesce(F.try_divide((F.col(value) - F.col("_lo")) * 4096, F.col("_hi") - F.col("_lo")), F.lit(0)))
+    sums = running(counts, [], block, [value], {"_a": (F.col("_a"), "sum"), "_b": (F.col("_b"), "sum")})
+    return sums.agg(F.max(F.abs(F.col("_a") / F.col("_ta") - F.col("_b") / F.col("_tb"))).alias("distance"), F.max("_ta").alias("n_a"), F.max("_tb").alias("n_b"))  # one row
+
+
+def ks_probability(distance: Column, n_a: Column, n_b: Column) -> Column:
+    """Probability of such a distance or a larger one between samples of one distribution,
+    by Kolmogorov's series (for large samples)."""
+    z = distance * F.sqrt(n_a * n_b / (n_a + n_b))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 1).otherwise(-1) * F.exp(-2.0 * k * k * z * z))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+
+
+def among(df: DataFrame, column: str, values: list) -> DataFrame:
+    return df.filter(F.col(column).isin(values))
+
+
+def members(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys another table has."""
+    return df.join(other.select(*keys).distinct(), keys, "left_semi")
+
+
+def merged(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows, beside the other table's where it has the keys."""
+    return df.join(other, keys, "left")
+
+
+#: Parts of result files' names and what they say.
+MAPPERS = {"bowtie": "bowtie2", "bwa": "bwa", "minimap": "minimap2"}
+CALLERS = {"": "bcftools Mul-ALT", ".mappersamtovcf": "own", ".bcfdefault": "bcftools default", ".indel": "bcftools indel"}
+
+
+def labelled(df: DataFrame, column: str = "sample") -> DataFrame:
+    """Adds ``genome``, ``planted`` (mutations in the truth), ``mapper`` and ``caller`` as the
+    name of a result file tells them."""
+    name = F.col(column)
+    stem = F.substring_index(F.substring_index(name, ".flt", 1), ".vcf", 1)
+    tool = lambda k: F.regexp_extract(stem, rf"\.({'|'.join(MAPPERS)})(\.[a-z]+)?$", k)
+    pick = lambda names, key: F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[key]
+    planted = F.regexp_extract(name, r"\.(?:fasta|corrected)\.(\d+)\.", 1).try_cast("int")
+    return df.withColumns({"genome": F.substring_index(name, ".", 1), "planted": planted, "mapper": pick(MAPPERS, tool(1)), "caller": pick(CALLERS, tool(2))})
 
 
-def insertion_offset(gapped: str, reference: str) -> "F.Column":
+def insertion_offset(gapped: str, reference: str) -> Column:
     """Bases from the first aligned base of a gapped read to the first gap of the
     reference's line."""
     return F.instr(reference, "-") - F.regexp_instr(gapped, F.lit("[acgtACGT]"))

@@ -35,49 +35,47 @@ def indel_rows(vcf: DataFrame, fraction: float = 0.9, reads: float = 3) -> DataF
     return rows.select("CHR", F.abs("POS").alias("POS"), (F.col("POS") < 0).alias("insertion"), "REF", F.col("_a.allele").alias("allele"), F.col("_a.n").alias("n"), F.col("_t").alias("total"), (F.col("_a.n") >= fraction * F.col("_t")).alias("strict"), *([c for c in ("ord",) if c in vcf.columns]))
 
 
-def indel_runs(rows: DataFrame, near: int = 10, shortest: int = 2, order: str | None = None) -> DataFrame:
-    """CHR, POS, REF, INDEL, Depth, Total_depth of runs: insertion rows at one position,
-    deletion rows within ``near`` of the one before; means of depths, bases in order.
-
-    A run counts from its first row that reaches the strict ratio.  Runs never join
-    contigs."""
-    kind = Window.partitionBy("CHR", "insertion").orderBy("POS", *([order] if order else []))
+def islands(rows: DataFrame, key: Column, sort: list[str], near: int) -> DataFrame:
+    """One row for each run of rows that belong together: insertion rows at one position,
+    deletion rows within ``near`` of the one before.  A run counts from its first row that
+    reaches the strict ratio: before it ``k`` is null.  Means of depths, bases in order."""
+    kind = Window.partitionBy("_key", "insertion").orderBy(*sort)
     step = F.when(F.col("insertion"), F.col("POS") != F.lag("POS").over(kind)).otherwise(F.col("POS") - F.lag("POS").over(kind) > near)
-    rows = rows.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int"))
-    so_far = kind.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_run", F.sum("_new").over(so_far))
-    run = Window.partitionBy("CHR", "insertion", "_run").orderBy("POS", *([order] if order else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_open", F.max(F.col("strict").cast("int")).over(run)).filter("_open = 1")
-    place = [F.col("POS")] + ([F.col(order)] if order else [])
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(place)], F.col(c).alias("x")))), lambda x: x["x"]), "")
-    out = rows.groupBy("CHR", "insertion", "_run").agg(F.min("POS").alias("POS"), joined("REF").alias("_ref"), joined("allele").alias("_alt"), F.avg("n").alias("Depth"), F.avg("total").alias("Total_depth"), F.count("*").alias("_n"))
-    text = F.when(F.col("insertion"), F.col("_alt")).otherwise(F.concat(F.lit("-"), F.col("_ref")))
-    return out.filter(F.col("_n") >= shortest).select("CHR", "POS", F.when(F.col("insertion"), F.lit("-")).otherwise(F.col("_ref")).alias("REF"), text.alias("INDEL"), "Depth", "Total_depth")
-
-
-def compatible_indel_runs(rows: DataFrame, order: str, near: int = 10, shortest: int = 2) -> DataFrame:
-    """The line-by-line rule instead of islands: one fold over the qualified rows of all
-    contigs in file order, in which a first row that is only lenient resets the run and
-    insertion positions are compared without their contig.
-
-    Qualified rows are few (they passed both filters); they are folded in one row."""
-    item = F.struct(F.col(order).alias("o"), "CHR", "POS", "insertion", "REF", "allele", "n", "total", "strict")
-    run = "struct<CHR:string,POS:int,insertion:boolean,last:int,ref:string,alt:string,n:double,total:double,k:int>"
-    none = F.lit(None).cast(run)
-
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        same = now.isNotNull() & F.when(x["insertion"], now["insertion"] & (now["POS"] == x["POS"])).otherwise(~now["insertion"] & (now["CHR"] == x["CHR"]) & (F.abs(x["POS"] - now["last"]) <= near))
-        grown = F.struct(now["CHR"].alias("CHR"), now["POS"].alias("POS"), now["insertion"].alias("insertion"), x["POS"].alias("last"), F.concat(now["ref"], x["REF"]).alias("ref"), F.concat(now["alt"], x["allele"]).alias("alt"), (now["n"] + x["n"]).alias("n"), (now["total"] + x["total"]).alias("total"), (now["k"] + 1).alias("k"))
-        fresh = F.struct(x["CHR"].alias("CHR"), x["POS"].alias("POS"), x["insertion"].alias("insertion"), x["POS"].alias("last"), x["REF"].alias("ref"), x["allele"].alias("alt"), x["n"].alias("n"), x["total"].alias("total"), F.lit(1).alias("k"))
-        done = F.when(~same & now.isNotNull(), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
-        return F.struct(F.when(same, grown).when(x["strict"], fresh).otherwise(none).alias("now"), done.alias("done"))
-
-    folded = rows.agg(F.array_sort(F.collect_list(item)).alias("xs")).select(
-        F.aggregate("xs", F.struct(none.alias("now"), F.array().cast(f"array<{run}>").alias("done")), step, lambda a: F.when(a["now"].isNotNull(), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])).alias("runs")
+    rows = rows.withColumn("_key", key).withColumn("_new", F.coalesce(step, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(kind.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy("_key", "insertion", "_run").orderBy(*sort).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_open", F.max(F.col("strict").cast("int")).over(run) == 1)
+    held = lambda x: F.when(F.col("_open"), x)
+    item = F.struct(*(F.col(c).alias(f"p{i}") for i, c in enumerate(sort)), "CHR", "POS", "REF", "allele")
+    out = rows.groupBy("_key", "insertion", "_run").agg(
+        F.min(F.struct(*sort)).alias("_first"), F.array_sort(F.collect_list(held(item))).alias("_x"), F.avg(held(F.col("n"))).alias("Depth"), F.avg(held(F.col("total"))).alias("Total_depth"), F.sum(held(F.lit(1))).alias("k")
     )
-    r = folded.select(F.explode("runs").alias("r")).select("r.*").filter(F.col("k") >= shortest)
-    return r.select("CHR", "POS", F.when(F.col("insertion"), F.lit("-")).otherwise(F.col("ref")).alias("REF"), F.when(F.col("insertion"), F.col("alt")).otherwise(F.concat(F.lit("-"), F.col("ref"))).alias("INDEL"), (F.col("n") / F.col("k")).alias("Depth"), (F.col("total") / F.col("k")).alias("Total_depth"))
+    joined = lambda c: F.array_join(F.transform("_x", lambda x: x[c]), "")
+    text = F.when(F.col("insertion"), joined("allele")).otherwise(F.concat(F.lit("-"), joined("REF")))
+    first = F.get("_x", F.lit(0))
+    return out.select("insertion", "_first", "k", first["CHR"].alias("CHR"), first["POS"].alias("POS"), F.when(F.col("insertion"), F.lit("-")).otherwise(joined("REF")).alias("REF"), text.alias("INDEL"), "Depth", "Total_depth")
+
+
+def indel_runs(rows: DataFrame, near: int = 10, shortest: int = 2, order: str | None = None) -> DataFrame:
+    """CHR, POS, REF, INDEL, Depth, Total_depth of the islands of ``shortest`` rows and more.
+    Runs never join contigs."""
+    found = islands(rows, F.col("CHR"), ["POS", *([order] if order else [])], near)
+    return found.filter(F.col("k") >= shortest).select("CHR", "POS", "REF", "INDEL", "Depth", "Total_depth")
+
+
+def script_indel_runs(rows: DataFrame, order: str, near: int = 10, shortest: int = 2) -> DataFrame:
+    """The same as rows in file order are read by a script that holds one insertion and one
+    deletion: positions of insertions are compared across contigs too, a run is written
+    (``closed``) when the next of its kind begins, at the end the deletion first.  An insertion
+    has no REF there, a deletion no INDEL.
+
+    All insertion rows stand in one order, so they pass one window; they are those that
+    passed the filters of ``indel_rows``."""
+    found = islands(rows, F.when(F.col("insertion"), F.lit("")).otherwise(F.col("CHR")), [order], near)
+    begin = F.col("_first")[order]
+    closed = F.coalesce(F.lead(begin).over(Window.partitionBy("insertion").orderBy(begin)), F.lit((1 << 63) - 1))
+    found = found.withColumn("closed", closed).filter(F.col("k") >= shortest)
+    return found.select("CHR", "POS", F.when(~F.col("insertion"), F.col("REF")).otherwise("").alias("REF"), F.when(F.col("insertion"), F.col("INDEL")).otherwise("").alias("INDEL"), "Depth", "Total_depth", "insertion", "closed")
 
 
 def away_from_ends(df: DataFrame, margin: int = 10, contig: str = "CHR", pos: str = "POS") -> DataFrame:
@@ -100,5 +98,16 @@ def before_insertion(df: DataFrame, contig: str = "CHR", pos: str = "POS", order
 DATASETS = {"covid": (0.5, 3), "human": (0.5, 5), "MGSW": (0.2, 20), "MGBIG": (0.05, 5), "MG": (0.05, 1)}
 
 
+def dataset_thresholds(path: Column) -> tuple[Column, Column]:
+    """Fraction and reads for the data set that a path names."""
+    def pick(k: int, default: float) -> Column:
+        out = F.lit(None)
+        for name, v in reversed(DATASETS.items()):
+            out = F.when(path.contains(name), F.lit(v[k])).otherwise(out)
+        return F.coalesce(out, F.lit(default))
+
+    return pick(0, 0.9), pick(1, 3)
+
+
 def thresholds_for(path: str, default: tuple[float, float] = (0.9, 3)) -> tuple[float, float]:
     return next((v for k, v in DATASETS.items() if k in path), default)

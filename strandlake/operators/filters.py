@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import depth, f32
+from .grouping import running
 from .pileup import alt_depth, container_depth
 
 
+#: Positions that one window holds.
+BIN = 65_536
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Least depths and fractions; the defaults let everything pass."""
@@ -56,16 +61,19 @@ def deletion_admissible(rows: DataFrame, start: Column, go_on: Column, by: str =
     that may go on, a start comes before a break.  A gap in coverage is a break; the
     first position of a contig is none.
 
-    The nearest start and the nearest break to the left are running maxima."""
-    w = Window.partitionBy(by).orderBy(pos)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.coalesce(F.lag(pos).over(w) != F.col(pos) - 1, F.col(pos) > 0)
-    rows = rows.withColumns({"_start": start, "_go": go_on}).withColumn("_gap", gap)
-    rows = rows.withColumn("_s", F.max(F.when(F.col("_start"), F.col(pos))).over(run))
-    stop = F.when(~F.col("_start") & ~F.col("_go"), F.col(pos)).when(F.col("_gap") & ~F.col("_start"), F.col(pos) - 1)
-    rows = rows.withColumn("_b", F.max(stop).over(run))
+    The nearest start and the nearest break to the left are running maxima, taken in bins
+    of positions and carried from bin to bin.  A gap shows where the place before is not
+    there; only the last place of the bin before is looked up in another bin."""
+    bin_ = F.floor(F.col(pos) / BIN)
+    last = rows.groupBy(by, (bin_ + 1).alias("_bin")).agg((F.max(pos) == (F.max(bin_) + 1) * BIN - 1).alias("_full"))
+    w = Window.partitionBy(by, "_bin").orderBy(pos)
+    rows = rows.withColumns({"_start": start, "_go": go_on, "_bin": bin_}).withColumn("_lag", F.lag(pos).over(w)).join(last, [by, "_bin"], "left")
+    first = F.col(pos) == F.col("_bin") * BIN
+    gap = F.when(F.col("_lag").isNotNull(), F.col("_lag") != F.col(pos) - 1).otherwise((F.col(pos) > 0) & ~(first & F.coalesce("_full", F.lit(False))))
+    stop = F.when(~F.col("_start") & ~F.col("_go"), F.col(pos)).when(gap & ~F.col("_start"), F.col(pos) - 1)
+    rows = running(rows, [by], F.col("_bin"), [pos], {"_s": (F.when(F.col("_start"), F.col(pos)), "max"), "_b": (stop, "max")})
     keep = F.col("_b").isNull() | (F.coalesce(F.col("_s"), F.lit(-2)) > F.col("_b"))
-    return rows.withColumn("admissible", keep).drop("_start", "_go", "_gap", "_s", "_b")
+    return rows.withColumn("admissible", keep).drop("_start", "_go", "_bin", "_lag", "_full", "_s", "_b")
 
 
 def filtered_positions(positions: DataFrame, t: Thresholds) -> DataFrame:

@@ -9,7 +9,9 @@ and adds the counts before it.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,22 @@ def numbered(df: DataFrame, by: list[str], block: Column, order: list, name: str
     return df.join(starts, [*by, "_block"]).withColumn(name, F.col("_row") + F.col("_from")).drop("_block", "_row", "_from")
 
 
+def running(df: DataFrame, by: list[str], block: Column, order: list, values: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Adds running maxima (``max``) or sums (``sum``) of columns in the order of (block,
+    order) within ``by``, the row itself included.
+
+    A window holds one block of rows, or one row for each block: no key is one task."""
+    whole = {"max": F.max, "sum": F.sum}
+    df = df.withColumn("_block", block).withColumns({f"_v_{n}": c for n, (c, _) in values.items()})
+    totals = df.groupBy(*by, "_block").agg(*(whole[how](f"_v_{n}").alias(f"_t_{n}") for n, (_, how) in values.items()))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, "_block", *(whole[how](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (_, how) in values.items()))
+    within = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({f"_v_{n}": whole[how](f"_v_{n}").over(within) for n, (_, how) in values.items()}).join(carried, [*by, "_block"])
+    joined = {n: F.greatest(f"_v_{n}", f"_c_{n}") if how == "max" else F.coalesce(F.col(f"_v_{n}") + F.col(f"_c_{n}"), f"_v_{n}", f"_c_{n}") for n, (_, how) in values.items()}
+    return df.withColumns(joined).drop("_block", *(f"_{k}_{n}" for k in "vc" for n in values))
+
+
 def with_ordinals(components: DataFrame) -> DataFrame:
     """``ord``: number of the line among the kept lines of its file."""
     return numbered(components, ["input_index"], F.col("line_ord.block"), ["line_ord"], "ord").drop("line_ord")
@@ -59,22 +77,52 @@ def replay(rows: list[tuple], ordered: bool) -> list[tuple[int, int, int, bool,
 def alignments(components: DataFrame, ordered: bool = True) -> DataFrame:
     """Adds ``aln`` (ord of its first part), ``part``, ``incomplete``, ``emitted``.
 
-    Reads without any expected place are alignments of one line each, found without
-    moving them; only the others are replayed, by file and read name."""
+    Reads without any expected place are alignments of one line each; only the names of
+    the others are gathered, and only their lines replayed, by file and read name."""
     rows = with_ordinals(components) if "ord" not in components.columns else components
-    own = Window.partitionBy("input_index", "qname")
-    rows = rows.withColumn("_expects", F.max(F.size("expect")).over(own))
-    alone = rows.filter("_expects = 0").select(*[c for c in rows.columns if c not in ("_expects", "expect")], F.col("ord").alias("aln"), F.lit(0).alias("part"), F.lit(False).alias("incomplete"), F.col("ord").alias("emitted"))
+    own = ["input_index", "qname"]
+    waiting = rows.groupBy(*own).agg(F.max(F.size("expect")).alias("_n")).filter("_n > 0").select(*own)
+    alone = rows.join(waiting, own, "left_anti").select(*[c for c in rows.columns if c != "expect"], F.col("ord").alias("aln"), F.lit(0).alias("part"), F.lit(False).alias("incomplete"), F.col("ord").alias("emitted"))
 
-    def group(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("ord")
-        place = lambda p: (p["contig"], p["pos"], p["rev"])
-        lines = [(o, (c, p, r), [place(e) for e in es]) for o, c, p, r, es in zip(df["ord"], df["contig"], df["pos"], df["rev"], df["expect"])]
-        found = pd.DataFrame(replay(lines, ordered), columns=["ord", "aln", "part", "incomplete", "emitted"])
-        return df.drop(columns=["expect"]).merge(found, on="ord")
+    names = [c for c in rows.columns if c != "expect"]
 
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c not in ("_expects", "expect"))
-    some = rows.filter("_expects > 0").drop("_expects").groupBy("input_index", "qname").applyInPandas(group, kinds + ", aln long, part int, incomplete boolean, emitted long")
+    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        inputs, reads, ords, contigs, positions, revs, expects = (table.column(c).to_pylist() for c in (*own, "ord", "contig", "pos", "rev", "expect"))
+        place = lambda p: (p["contig"], p["pos"], p["rev"])
+        out: list[tuple] = []
+        at = 0
+        while at < len(ords):
+            end = at + 1
+            while end < len(ords) and reads[end] == reads[at] and inputs[end] == inputs[at]:
+                end += 1
+            lines = [(ords[k], (contigs[k], positions[k], revs[k]), [place(e) for e in expects[k]]) for k in range(at, end)]
+            out += [x[1:] for x in sorted(replay(lines, ordered))]  # rows are in the order of ord
+            at = end
+        found = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.bool_(), pa.int64()))]
+        for name, x in zip(("aln", "part", "incomplete", "emitted"), found):
+            table = table.append_column(name, x)
+        yield from table.drop_columns(["expect"]).to_batches()
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Reads one after another; the last of a batch waits for the next one."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(c)[-1].as_py() for c in own]
+            begin = batch.num_rows
+            while begin and [batch.column(c)[begin - 1].as_py() for c in own] == last:
+                begin -= 1
+            if begin or held and [held[0].column(c)[0].as_py() for c in own] != last:
+                yield from settled(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield from settled(pa.Table.from_batches(held))
+
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "expect")
+    some = rows.select(*names, "expect").join(waiting, own, "left_semi").repartition(*own).sortWithinPartitions(*own, "ord")
+    some = some.mapInArrow(group, kinds + ", aln long, part int, incomplete boolean, emitted long")
     return alone.unionByName(some)
 
 
@@ -105,5 +153,6 @@ def peak_pending(aligned: DataFrame) -> DataFrame:
     """Most alignments waiting for a part at one time, by file (a running sum of +1 at
     the first part and -1 at emission)."""
     heads = aligned.filter("part = 0 and aln < emitted").select("input_index", F.explode(F.array(F.struct(F.col("aln").alias("at"), F.lit(1).alias("d")), F.struct(F.col("emitted").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    running = F.sum("e.d").over(Window.partitionBy("input_index").orderBy("e.at"))
-    return heads.select("input_index", running.alias("r")).groupBy("input_index").agg(F.max("r").alias("peak"))
+    moments = heads.groupBy("input_index", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    out = running(moments, ["input_index"], F.floor(F.col("at") / 200_000), ["at"], {"r": (F.col("d"), "sum")})
+    return out.groupBy("input_index").agg(F.max("r").alias("peak"))

@@ -32,7 +32,7 @@ def example_key() -> Column:
 def pileup(observations: DataFrame, examples: bool = True) -> DataFrame:
     """fm, rm, fe, re: hundredths; ex_fm ...: best example of each container (alternates
     only; left out with ``examples=False``, which keeps sequences out of the shuffle)."""
-    sums = [F.sum(F.when(container(c), F.col("w100")).otherwise(0)).cast("int").alias(c) for c in CONTAINERS]
+    sums = [F.sum(F.when(container(c), F.col("w100")).otherwise(0)).cast("long").alias(c) for c in CONTAINERS]
     best = [F.max(F.when(container(c) & (F.col("allele") != F.col("ref")), example_key())).alias(f"ex_{c}") for c in CONTAINERS] if examples else []
     return observations.groupBy("contig", "pos", "ins_idx", "ref", "allele").agg(*sums, *best)
 
@@ -47,8 +47,8 @@ def with_absences(piled: DataFrame) -> DataFrame:
     depth at its anchor less the insertions there, by container, where positive."""
     base = piled.filter("ins_idx is null").groupBy("contig", "pos").agg(*(F.sum(c).alias(f"b_{c}") for c in CONTAINERS))
     ins = piled.filter("ins_idx is not null").groupBy("contig", "pos", "ins_idx").agg(*(F.sum(c).alias(f"i_{c}") for c in CONTAINERS))
-    scaled = lambda c: (depth(F.coalesce(F.col(f"b_{c}"), F.lit(0))) * f32(100)).cast("int")
-    rest = ins.join(base, ["contig", "pos"], "left").select("contig", "pos", "ins_idx", F.lit("-").alias("ref"), F.lit("-").alias("allele"), *(F.greatest(F.lit(0), scaled(c) - F.col(f"i_{c}")).cast("int").alias(c) for c in CONTAINERS))
+    scaled = lambda c: (depth(F.coalesce(F.col(f"b_{c}"), F.lit(0))) * f32(100)).cast("long")
+    rest = ins.join(base, ["contig", "pos"], "left").select("contig", "pos", "ins_idx", F.lit("-").alias("ref"), F.lit("-").alias("allele"), *(F.greatest(F.lit(0), scaled(c) - F.col(f"i_{c}")).cast("long").alias(c) for c in CONTAINERS))
     return piled.unionByName(rest, allowMissingColumns=True)
 
 
@@ -60,10 +60,10 @@ def positions(piled: DataFrame, examples: bool = True) -> DataFrame:
     piece = F.struct(allele_rank(F.col("allele")).alias("rank"), "allele", *CONTAINERS, *([shown.alias("ex")] if examples else []))
     is_indel = F.when(F.col("ins_idx").isNotNull(), F.col("allele") != "-").otherwise(F.col("allele") == "-") & alt
     return piled.groupBy("contig", "pos", "ins_idx").agg(
-        F.max("ref").alias("ref"), *(F.sum(F.when(~alt, F.col(c)).otherwise(0)).cast("int").alias(f"r_{c}") for c in CONTAINERS), F.array_sort(F.collect_list(F.when(alt, piece))).alias("alts"),
-        F.sum(F.col("fm") + F.col("rm")).cast("int").alias("middle"), F.sum(F.col("fe") + F.col("re")).cast("int").alias("ends"),
-        F.sum(F.when(is_indel, F.col("fm") + F.col("rm")).otherwise(0)).cast("int").alias("indel_middle"), F.sum(F.when(is_indel, F.col("fe") + F.col("re")).otherwise(0)).cast("int").alias("indel_ends"),
-        *(F.sum(c).cast("int").alias(f"t_{c}") for c in CONTAINERS),
+        F.max("ref").alias("ref"), *(F.sum(F.when(~alt, F.col(c)).otherwise(0)).cast("long").alias(f"r_{c}") for c in CONTAINERS), F.array_sort(F.collect_list(F.when(alt, piece))).alias("alts"),
+        F.sum(F.col("fm") + F.col("rm")).cast("long").alias("middle"), F.sum(F.col("fe") + F.col("re")).cast("long").alias("ends"),
+        F.sum(F.when(is_indel, F.col("fm") + F.col("rm")).otherwise(0)).cast("long").alias("indel_middle"), F.sum(F.when(is_indel, F.col("fe") + F.col("re")).otherwise(0)).cast("long").alias("indel_ends"),
+        *(F.sum(c).cast("long").alias(f"t_{c}") for c in CONTAINERS),
     )
 
 
@@ -83,7 +83,7 @@ def major_alternate(alts: Column) -> Column:
     """Allele with the greatest count, of equals the first in allele order."""
     total = lambda a: a["fm"] + a["rm"] + a["fe"] + a["re"]
     first = F.aggregate(
-        alts, F.struct(F.lit(-1).alias("n"), F.lit(None).cast("string").alias("allele")),
+        alts, F.struct(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("string").alias("allele")),
         lambda acc, a: F.when(total(a) > acc["n"], F.struct(total(a).alias("n"), a["allele"].alias("allele"))).otherwise(acc),
     )
     return first["allele"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bases, cigar, sam_fields
 from ..functions.numbers import depth, f32, number_text, text_or_dot
+from .filters import BIN
+from .grouping import numbered
 from .pileup import alt_depth, container_depth, major_alternate
 
 
@@ -35,12 +37,18 @@ def vcf_lines(rows: DataFrame) -> DataFrame:
     return rows.orderBy("CHROM", "at", F.col("ins_idx").asc_nulls_first()).select(F.concat_ws("\t", *(F.col(c).cast("string") for c in fields)).alias("value"))
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """``place``: from 1, where a row stands among those of its contig in a report."""
+    out = numbered(rows, ["contig"], F.floor(F.col("pos") / BIN), ["pos", F.col("ins_idx").asc_nulls_first()], "place")
+    return out.withColumn("place", (F.col("place") + 1).cast("int"))
+
+
 def deletion_runs(filtered: DataFrame) -> DataFrame:
     """Maximal runs of adjacent positions with an admitted deletion: contig, first, last,
     reference bases, least middle depth of the deletion and in all."""
     gone = lambda a: a["allele"] == "-"
     rows = filtered.filter(F.col("ins_idx").isNull() & F.exists("alts", gone)).withColumn("_d", F.element_at(F.filter("alts", gone), 1))
-    rows = rows.withColumn("_run", F.col("pos") - F.row_number().over(Window.partitionBy("contig").orderBy("pos")))
+    rows = numbered(rows, ["contig"], F.floor(F.col("pos") / BIN), ["pos"], "_k").withColumn("_run", F.col("pos") - F.col("_k"))
     middle = F.col("_d")["fm"] + F.col("_d")["rm"]
     return rows.groupBy("contig", "_run").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]), "").alias("ref"),
@@ -101,8 +109,8 @@ def sam_header(reference: DataFrame) -> list[str]:
 
 def refs_map_count(grouped: DataFrame, reference: DataFrame) -> DataFrame:
     """Query groups by the set of reference files that any of their placements touches."""
-    paths = reference.groupBy("name").agg(F.min_by("path", "ordinal").alias("path"))
-    rows = grouped.join(F.broadcast(paths), F.col("contig") == F.col("name"))
+    paths = reference.groupBy("name").agg(F.min_by("path", "ordinal").alias("path"))  # Spark broadcasts them if they are few
+    rows = grouped.select("input_index", "qname", "n_parts", "group_no", "contig").join(paths, F.col("contig") == F.col("name"))
     sets = rows.groupBy("input_index", "qname", "n_parts", "group_no").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     return sets.groupBy("paths").agg(F.count("*").alias("n")).select(F.concat(F.array_join(F.transform("paths", sam_fields.basename), "-"), F.lit("-")).alias("Genome_set"), F.col("n").alias("No_reads"))
 
@@ -123,6 +131,14 @@ def run_statistics(blocked: DataFrame, positions: DataFrame, reference: DataFram
     return counts.crossJoin(stats).crossJoin(covered).crossJoin(size)  # one row each
 
 
+def coverage_by_contig(positions: DataFrame, reference: DataFrame) -> DataFrame:
+    """contig, length, covered positions and their per cent, of every contig."""
+    covered = positions.filter(F.col("ins_idx").isNull() & (container_depth() > 0)).groupBy("contig").agg(F.count("*").alias("n"))
+    contigs = reference.groupBy(F.col("name").alias("contig")).agg(F.max("length").alias("length"))
+    n = F.coalesce("n", F.lit(0))
+    return contigs.join(covered, "contig", "left").select("contig", "length", n.alias("covered"), F.try_divide(100.0 * n, F.col("length")).alias("percent"))
+
+
 def weighted_stats(df: DataFrame, x: str, w: str, by: list[str] | None = None) -> DataFrame:
     """Weighted mean and population deviation from three sums."""
     s = df.groupBy(*(by or [])).agg(F.sum(w).alias("_w"), F.sum(F.col(x) * F.col(w)).alias("_x"), F.sum(F.col(x) * F.col(x) * F.col(w)).alias("_xx"))

@@ -14,10 +14,12 @@ from ..functions import bases, cigar, sam_fields
 from ..functions.numbers import depth, hundredths, number_text
 from ..operators import analysis, calls, compare, filters, grouping, pileup, reports
 from ..operators.filters import Thresholds
+from ..sources.local import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_POSITIONS: dict[tuple, DataFrame] = {}
 LIMITS = Thresholds(snp_depth=2, snp_fraction=0.1, start_depth=1, start_fraction=0.2, go_on_depth=1, go_on_fraction=0.1)
 
 
@@ -56,7 +58,11 @@ def piled(spark: SparkSession, sf_dir: str, examples: bool = False) -> DataFrame
 
 
 def position_rows(spark: SparkSession, sf_dir: str, examples: bool = False) -> DataFrame:
-    return pileup.positions(piled(spark, sf_dir, examples), examples)
+    """Many reports read the position table: it is written when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, examples)
+    if key not in _POSITIONS:
+        _POSITIONS[key] = cut(pileup.positions(piled(spark, sf_dir, examples), examples), "positions")
+    return _POSITIONS[key]
 
 
 RAW = """raw AS (
@@ -243,44 +249,6 @@ def major_allele(spark: SparkSession, sf_dir: str) -> DataFrame:
     return position_rows(spark, sf_dir).select("contig", "pos", "ins_idx", pileup.major_allele().alias("allele"))
 
 
-@query("SELECT l_orderkey AS read_id, count(*) AS placements, CAST(trunc(CAST(1.0 / count(*) AS FLOAT) * CAST(100 AS FLOAT)) AS INTEGER) AS w100 FROM lineitem GROUP BY l_orderkey")
-def multimap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg(F.count("*").alias("placements")).withColumn("w100", hundredths(F.lit(1.0) / F.col("placements")))
-
-
-@query("""WITH e AS (SELECT event_id, user_id, event_type, event_id - row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY event_id) AS g, user_id % 2 AS q FROM events)
-SELECT q, event_type, g AS group_no, count(*) AS group_size, min(event_id) AS first_id FROM e GROUP BY q, event_type, g""")
-def query_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent rows with the same name as islands, numbered without a global window."""
-    ev = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 2).alias("q"), "event_type")
-    ev = grouping.numbered(ev.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("event_id") / 1000), ["event_id"], "place")
-    ev = ev.withColumn("group_no", F.col("event_id") - F.row_number().over(Window.partitionBy("q", "event_type").orderBy("place")))
-    return ev.groupBy("q", "event_type", "group_no").agg(F.count("*").alias("group_size"), F.min("event_id").alias("first_id"))
-
-
-@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), e AS (SELECT l_orderkey, l_linenumber, 1 + (l_linenumber % 4) AS wants FROM c)
-SELECT a.l_orderkey AS read_id, bool_and(EXISTS (SELECT 1 FROM c WHERE c.l_orderkey = a.l_orderkey AND c.l_linenumber = a.wants AND c.l_linenumber <> a.l_linenumber)) AS complete FROM e a GROUP BY a.l_orderkey""")
-def mate_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each part of a read finds the place it expects among the other parts."""
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg(F.collect_set("l_linenumber").alias("p"))
-    found = F.forall("p", lambda x: F.exists("p", lambda y: (y == x % 4 + 1) & (y != x)))
-    return c.select("read_id", found.alias("complete"))
-
-
-@query("""WITH c AS (SELECT l_orderkey, CAST(l_partkey % 100 AS INTEGER) AS lo, CAST(l_partkey % 100 + floor(l_quantity) AS INTEGER) AS hi, count(*) OVER (PARTITION BY l_orderkey) AS n,
-  max(l_partkey % 100) OVER (PARTITION BY l_orderkey) AS a, min(l_partkey % 100 + CAST(floor(l_quantity) AS BIGINT)) OVER (PARTITION BY l_orderkey) AS b FROM lineitem)
-SELECT l_orderkey AS read_id, CAST(sum(hi - lo) AS BIGINT) AS bases, CAST(sum(CASE WHEN n < 2 THEN (hi - lo) * 100 ELSE (hi - lo - greatest(0, b - a)) * 100 + greatest(0, b - a) * CAST(trunc(CAST(1.0 / n AS FLOAT) * CAST(100 AS FLOAT)) AS BIGINT) END) AS BIGINT) AS w100 FROM c GROUP BY l_orderkey""")
-def pair_overlap_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of reads whose parts overlap: positions under all parts count once."""
-    lo = (F.col("l_partkey") % 100).cast("int")
-    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read_id"), lo.alias("lo"), (lo + F.floor("l_quantity")).cast("int").alias("hi"))
-    own = Window.partitionBy("read_id")
-    c = c.withColumns({"n": F.count("*").over(own), "a": F.max("lo").over(own), "b": F.min("hi").over(own)})
-    lap, size = F.greatest(F.lit(0), F.col("b") - F.col("a")), F.col("hi") - F.col("lo")
-    w = F.when(F.col("n") < 2, size * 100).otherwise((size - lap) * 100 + lap * hundredths(F.lit(1.0) / F.col("n")))
-    return c.groupBy("read_id").agg(F.sum(size).cast("long").alias("bases"), F.sum(w).cast("long").alias("w100"))
-
-
 @query("""WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT 'refs/' || l_returnflag || '.fa')) AS p FROM lineitem GROUP BY l_orderkey)
 SELECT list_aggregate(list_transform(p, lambda x: replace(x, 'refs/', '')), 'string_agg', '-') || '-' AS "Genome_set", count(*) AS "No_reads" FROM s GROUP BY 1""")
 def refs_map_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,18 +265,6 @@ def pair_distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.weighted_stats(p, "x", "w", ["g"]).select("g", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
 
 
-@query("""SELECT count(DISTINCT l_orderkey) AS queries, count(*) AS alignments, CAST(sum(CASE WHEN l_linenumber = 1 THEN floor(l_quantity) ELSE 0 END) AS BIGINT) AS aligned_bases FROM lineitem""")
-def alignment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.agg(F.countDistinct("l_orderkey").alias("queries"), F.count("*").alias("alignments"), F.sum(F.when(F.col("l_linenumber") == 1, F.floor("l_quantity")).otherwise(0)).cast("long").alias("aligned_bases"))
-
-
-@query(f"WITH {PILED} SELECT contig, count(*) AS covered, 100.0 * count(*) / 2000 AS percent FROM positions WHERE ins_idx IS NULL AND total > 0 GROUP BY contig")
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = position_rows(spark, sf_dir).filter(F.col("ins_idx").isNull() & (F.col("middle") + F.col("ends") > 0))
-    return rows.groupBy("contig").agg(F.count("*").alias("covered")).withColumn("percent", F.lit(100.0) * F.col("covered") / 2000)
-
-
 CIGAR_SQL = "SELECT *, CAST(l_linenumber AS VARCHAR) || 'S' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || 'M' || CAST(l_linenumber AS VARCHAR) || 'I7M' || CAST(l_partkey % 9 + 1 AS VARCHAR) || 'D5M3N4M2H' AS cigar FROM lineitem"
 
 
@@ -376,13 +332,6 @@ def iupac_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a", "b", bases.can_match(F.col("a"), F.col("b")).alias("matches"), bases.union(F.col("a"), F.col("b")).alias("joined"))
 
 
-@query(f"""WITH s AS ({SEQ_SQL}), f AS (SELECT '>d' || doc_id || ' a document' || chr(10) || seq AS rec FROM s) SELECT split_part(substr(split_part(rec, chr(10), 1), 2), ' ', 1) AS name, CAST(length(split_part(rec, chr(10), 2)) AS INTEGER) AS length FROM f""")
-def fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" a document\n"), "seq")
-    f = sequences(spark, sf_dir).select(rec.alias("rec"))
-    return f.select(sam_fields.first_word(F.expr("substr(split_part(rec, '\n', 1), 2)")).alias("name"), F.length(bases.checked(F.split_part("rec", F.lit("\n"), F.lit(2)))).alias("length"))
-
-
 @query(f"WITH s AS ({SEQ_SQL}) SELECT doc_id, CAST(length(seq) AS INTEGER) AS length, row_number() OVER (ORDER BY length(seq) DESC, doc_id) AS place FROM s")
 def contig_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs by length, the longest first: ranks by blocks of equal lengths."""
@@ -418,7 +367,7 @@ def flag_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def own_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VCF rows as the filter scripts see them, from the derived observations."""
-    rows = reports.vcf_rows(pileup.positions(piled(spark, sf_dir), False).transform(lambda d: filters.filtered_positions(d, Thresholds())), True, False)
+    rows = reports.vcf_rows(filters.filtered_positions(position_rows(spark, sf_dir), Thresholds()), True, False)
     return rows.select(F.col("CHROM").alias("CHR"), "POS", "REF", "ALT", F.col("DP").cast("double").alias("DP"), F.col("DETAILS_MIDDLE").alias("MIDDLE"), F.col("DETAILS_ENDS").alias("ENDS"), "ins_idx")
 
 

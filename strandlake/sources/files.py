@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases, sam_fields
+from .local import spooled
 
 #: The kinds of files by their suffixes.
 SUFFIXES = {".fasta": "fasta", ".fa": "fasta", ".fna": "fasta", ".fastq": "fastq", ".fq": "fastq", ".ca": "fastq", ".sam": "sam"}
-REFERENCE = "name string, seq string, length int, path string, ordinal int, input_index int"
+REFERENCE = "name string, seq string, length int, path string, ordinal long, input_index int"
 COMPONENT = (
     "input_index int, line_ord struct<block:bigint,row:bigint>, qname string, contig string, pos int, rev boolean, "
     "cigar string, seq string, seq_len int, expect array<struct<contig:string,pos:int,rev:boolean>>"
@@ -36,13 +37,18 @@ def read_fasta(spark: SparkSession, path: str, index: int = 0) -> DataFrame:
     """One row for each record; names end at the first space, bodies lose line ends.
 
     Records are split at ``>``: the text source needs one whole record, not the file."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.monotonically_increasing_id().alias("_n"), F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("lineSep", ">").text(path).select("value", F.monotonically_increasing_id().alias("ordinal"), F.col("_metadata.file_path").alias("path"))
+    return parse_fasta(raw, index)
+
+
+def parse_fasta(raw: DataFrame, index: int = 0) -> DataFrame:
+    """Records without their ``>`` (columns value, ordinal, path) as contigs.  ``ordinal`` tells
+    the order of the records; it need not be gapless, so nothing is moved to count them."""
     head = F.regexp_replace(F.regexp_extract("value", r"^([^\r\n]*)", 1), "\r$", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
     rows = raw.filter(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) > 0)
     name = F.when(F.instr(head, " ") > 1, F.substring_index(head, " ", 1)).otherwise(head)
-    ordinal = F.row_number().over(Window.orderBy("_n")) - 1  # a genome's contigs: few rows
-    return rows.select(name.alias("name"), bases.checked(body).alias("seq"), F.length(body).alias("length"), "path", ordinal.alias("ordinal"), F.lit(index).alias("input_index"))
+    return rows.select(name.alias("name"), bases.checked(body).alias("seq"), F.length(body).alias("length"), "path", "ordinal", F.lit(index).alias("input_index"))
 
 
 def read_fastq(spark: SparkSession, path: str, keep_quality: bool = False, index: int = 0) -> DataFrame:
@@ -59,7 +65,7 @@ def read_fastq(spark: SparkSession, path: str, keep_quality: bool = False, index
     head = F.when(F.col("h").startswith("@"), F.substring("h", 2, 1 << 30)).otherwise(F.raise_error(F.concat(F.lit("Expected a name line, found: "), "h")).cast("string"))
     suffix = F.when(F.instr(head, " ") > 0, F.substring(head, F.instr(head, " "), F.length(head)))
     return rows.select(
-        F.substring_index(head, " ", 1).alias("name"), bases.checked(F.col("s")).alias("seq"), F.length("s").alias("length"), "path", F.col("_rec").cast("int").alias("ordinal"), F.lit(index).alias("input_index"),
+        F.substring_index(head, " ", 1).alias("name"), bases.checked(F.col("s")).alias("seq"), F.length("s").alias("length"), "path", F.col("_rec").cast("long").alias("ordinal"), F.lit(index).alias("input_index"),
         suffix.alias("name_suffix"), (F.col("q") if keep_quality else F.lit(None).cast("string")).alias("quality"),
     )
 
@@ -114,11 +120,9 @@ def read_sam_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     parts = []
     for i, path in enumerate(paths):
         if path == "-":
-            rows = [(line.rstrip("\n"), k) for k, line in enumerate(sys.stdin)]
-            parts.append(spark.createDataFrame(rows, "value string, k long").select("value", F.lit(i).alias("input_index"), F.struct(F.lit(0).cast("long").alias("block"), F.col("k").alias("row")).alias("line_ord")))
-        else:
-            order = F.struct(F.col("_metadata.file_block_start").cast("long").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-            parts.append(spark.read.text(path).select("value", F.lit(i).alias("input_index"), order.alias("line_ord")))
+            path = spooled(spark, sys.stdin.buffer)
+        order = F.struct(F.col("_metadata.file_block_start").cast("long").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+        parts.append(spark.read.text(path).select("value", F.lit(i).alias("input_index"), order.alias("line_ord")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -127,20 +131,38 @@ def read_sam(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_own_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with an alternate of a VCF summary, comments skipped."""
+    """Rows with an alternate of a VCF summary, comments skipped; ``ord`` is their order."""
     names = ["CHR", "POS", "REF", "ALT", "DP", "MIDDLE", "ENDS", "SUPPORT"]
     f = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & ~F.col("value").startswith("CHR\t"))
-    out = rows.select(*(F.when(F.get(f, F.lit(k)) == ".", "").otherwise(F.get(f, F.lit(k))).alias(n) for k, n in enumerate(names)))
+    rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#") & ~F.col("value").startswith("CHR\t"))
+    out = rows.select("ord", *(F.when(F.get(f, F.lit(k)) == ".", "").otherwise(F.get(f, F.lit(k))).alias(n) for k, n in enumerate(names)))
     return out.filter(F.col("MIDDLE").contains(";")).withColumns({"POS": F.col("POS").cast("int"), "DP": F.col("DP").cast("double")})
 
 
 def read_foreign_vcf(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A caller's VCF: allele depths are the last ``:``-part of the sample column."""
-    names = ["CHR", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"]
-    rows = spark.read.option("sep", "\t").option("comment", "#").option("encoding", encoding).schema(", ".join(f"{n} string" for n in names)).csv(path)
-    depths = F.transform(F.split(F.element_at(F.split("SAMPLE", ":"), -1), ","), lambda x: x.try_cast("double"))
-    return rows.select("CHR", F.col("POS").cast("int").alias("POS"), "REF", "ALT", F.col("QUAL").try_cast("double").alias("QUAL"), depths.alias("depths"))
+    """Rows of another caller's VCF; ``ISO-8859-1`` reads files that are no UTF-8."""
+    return parse_foreign_vcf(spark.read.option("encoding", encoding).option("lineSep", "\n").option("sep", "\x01").option("quote", "").schema("value string").csv(path))
+
+
+def parse_foreign_vcf(lines: DataFrame) -> DataFrame:
+    """CHR, POS, REF, ALT, QUAL, and the alleles' depths: what follows the last ``__`` of the
+    tenth column.  Depths that are no numbers are null; ``DP`` is the sum of the others."""
+    f = F.split("value", "\t")
+    field = lambda k: F.get(f, F.lit(k))
+    depths = F.transform(F.split(F.element_at(F.split(field(9), "__"), -1), ","), lambda x: x.try_cast("double"))
+    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    total = F.aggregate(depths, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return rows.select(field(0).alias("CHR"), field(1).cast("int").alias("POS"), field(3).alias("REF"), field(4).alias("ALT"), field(5).try_cast("double").alias("QUAL"), depths.alias("depths"), total.alias("DP"))
+
+
+#: Columns of truth lists.
+SNP_TRUTH = "CHR string, POS int, REF_before string, REF_after string, type string, aa string"
+INDEL_TRUTH = "CHR string, POS int, INDEL string, REF string"
+
+
+def read_truth(spark: SparkSession, path: str, schema: str = SNP_TRUTH) -> DataFrame:
+    """Planted mutations, one a line; a line with fewer fields has nulls."""
+    return spark.read.option("sep", "\t").option("header", False).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, line_end: str | None = None) -> DataFrame:

@@ -101,7 +101,7 @@ def test_point_mutations_and_indels(spark):
     rows = calls.indel_rows(vcf)
     expect = [("c", 7, "-", "GC", 9.0, 9.0)]
     assert [tuple(r) for r in calls.indel_runs(rows, order="ord").collect()] == expect
-    assert [tuple(r) for r in calls.compatible_indel_runs(rows, "ord").collect()] == expect
+    assert [tuple(r) for r in calls.script_indel_runs(rows, "ord").drop("insertion", "closed").collect()] == [("c", 7, "", "GC", 9.0, 9.0)]
 
 
 def test_near_pairs_lose_none(spark):
