@@ -16,19 +16,23 @@ from strandlake.llm.shared import cut
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if its text has letters and the mean probability of its language is this at least.
 LEAST_SCORE = 0.4
+#: Bytes of the shortest string that counts as repeated: about fifty words of these languages hold as many.
+REPEATED = 256
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without one prevailing language.
+    """Drops documents without a letter (null texts too) or without one prevailing language.
 
-    The field is learned from the labelled documents of the three folds of op2."""
+    The field is learned from the labelled documents of the three folds of op2; where none
+    has a language, all documents go.  Repeated rows are judged alike."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     found = language_id.predict_languages(docs.select(*COLUMNS), train=train, carry=COLUMNS[1:])
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the least id stays; of repeated rows, one."""
+    """Of each class the document with the least id stays, a null id before all others; of
+    rows with one id and text, one.  A null text is in a class of its own."""
     classes = order_minhash.near_duplicates(docs.select("doc_id", "text"))
     keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     hashed = docs.select(*COLUMNS, F.unhex(F.md5(F.col("text").cast("binary"))).alias("_hash"))
@@ -37,22 +41,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings of 400 and more that occur twice; a document of which nothing
-    but white space is left goes.  Characters that lost some of their bytes go whole."""
+    """Cuts byte strings of REPEATED and more that occur twice, wherever they stand; a
+    document of which nothing but white space is left goes.  Characters that lost some of
+    their bytes go whole.  Null texts stay null."""
     carry = ("lang", "source", "n_chars")
-    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), carry=carry, with_text=True)
+    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=REPEATED, carry=carry, with_text=True)
     out = found.withColumnRenamed("kept_text", "text").filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage of the benchmark."""
+    """Drops documents with a passage of the benchmark; all stay where it is empty."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.benchmark_hits(docs.select(*COLUMNS), benchmark)
     return found.filter(~decontaminate.contaminated()).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of 2,048 ids; a null or empty text is its end id alone."""
     return packing.pack_documents(docs)
 
 
