@@ -10,25 +10,28 @@ inner products, so it costs more.  Codes are chosen by coordinate descent over t
 subspaces and the centres by the exact least-squares solution for all subspaces at
 once, in turn, on a bounded sample of ``fit_rows`` rows.  Every row is then coded.
 
-Queries meet all rows in blocks: block i of the queries with block j of the rows, of
-bounded sizes.  In a block each query's tables (two subspaces at a time, 256 entries)
-are summed along the codes, and the ``rerank`` best rows by that estimate are measured
-exactly in double precision.  An estimate errs by the length of the row's residual at
-most, so every other row that could still reach the k-th exact cosine is measured too:
-the result is that of an exact search.  The nearest of all blocks are merged by query.
+Rows stay where they are: queries come to them in blocks of bounded size, one broadcast
+after the other, and each task holds its rows against them in slabs.  There each query's
+tables (two subspaces at a time, 256 entries) are summed along the codes, and the
+``rerank`` best rows by that estimate are measured exactly in double precision.  An
+estimate errs by the length of the row's residual at most, so every other row that could
+still reach the k-th exact cosine is measured too: the result is that of an exact search.
+Only the nearest of each slab are shuffled, and merged by query.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut, least_hashed, shared_dir
+
 CENTRES = 16
 
 
@@ -139,7 +142,7 @@ def scan(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray
 
 
 def nearest_neighbours(
-    df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, rerank: int = 200, fit_rows: int = 8000, row_block: int = 20_000, query_block: int = 2_000
+    df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, rerank: int = 200, fit_rows: int = 8000, row_block: int = 20_000, query_block: int = 20_000
 ) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (cosine): the ``k`` nearest rows
     of each row for which ``queries`` holds, among all rows of another id.
@@ -147,7 +150,7 @@ def nearest_neighbours(
     Rows without an id and vectors that are null, zero, of a length other than the
     commonest, or hold null or non-finite components take no part.  Of rows with the
     same id each is a candidate, but only the least vector is a query.  Equal cosines
-    go to the smaller id.  An empty table gives no rows.  ``fit_rows`` bounds the
+    go to the smaller id.  An empty table gives no rows.  Other columns are not read.  ``fit_rows`` bounds the
     sample for the codebooks; the index and the search leave out nothing.  ``rerank``
     is where measuring starts, not where it ends."""
     v = F.col(vector_col)
@@ -160,14 +163,13 @@ def nearest_neighbours(
         return empty
     d, n = sizes[0]["d"], sizes[0]["n"]
     rows = rows.filter(F.size("_v") == d)
-    few = rows.orderBy(F.xxhash64(F.lit(7), "_id"), "_v").limit(max(CENTRES, min(fit_rows, 4_000_000 // d))).select("_v").collect()
+    few = least_hashed(rows.select("_id", "_v"), F.xxhash64(F.lit(7), "_id", "_v"), max(CENTRES, min(fit_rows, 4_000_000 // d))).collect()
+    few = sorted(few, key=lambda r: (r["_u"], r["_id"]))
     book = df.sparkSession.sparkContext.broadcast(Codebook(np.array([r["_v"] for r in few])))  # 16 * d numbers
 
-    place = F.xxhash64(F.lit(1), F.monotonically_increasing_id())
-    row_blocks = max(1, math.ceil(n / row_block))
     asked = rows.filter("_q").groupBy("_id").agg(F.min("_v").alias("_v"))
     query_blocks = max(1, math.ceil(asked.count() / query_block))
-    left = asked.withColumn("_qb", F.pmod(F.xxhash64(F.lit(2), "_id"), F.lit(query_blocks))).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    asked = asked.withColumn("_qb", F.pmod(F.xxhash64(F.lit(2), "_id"), F.lit(query_blocks)))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,20 +180,42 @@ def nearest_neighbours(
                 errors = book.value.residuals(x, codes)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes.T], pa.binary()), pa.array(errors)], ["_id", "_v", "_c", "_e"])
 
-    right = rows.select("_id", "_v").mapInArrow(coded, "_id long, _v array<double>, _c binary, _e double")
-    right = right.withColumn("_rb", F.pmod(place, F.lit(row_blocks))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    def meet(some: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(all_):
-            all_ = all_.sort_values("_id")
-            ids, vectors = all_["_id"].to_numpy(), np.stack(all_["_v"].to_numpy())
-            codes = np.ascontiguousarray(np.frombuffer(b"".join(all_["_c"]), np.uint8).reshape(len(ids), -1).T)
-            errors = all_["_e"].to_numpy()
-            for q, x in zip(some["_id"], some["_v"]):
-                out += [(q, i, s) for i, s in scan(book.value, ids, vectors, codes, q, np.asarray(x), k, rerank, errors)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    near = left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = rows.select("_id", "_v").mapInArrow(coded, "_id long, _v array<double>, _c binary, _e double")
+    if query_blocks > 1:
+        asked, index = cut(asked, "queries"), cut(index, "coded")
+
+    def nearest(block: int) -> DataFrame:
+        held = sorted((r["_id"], r["_v"]) for r in asked.filter(F.col("_qb") == block).select("_id", "_v").collect())  # about query_block rows
+        queries = df.sparkSession.sparkContext.broadcast((np.array([q for q, _ in held]), np.array([v for _, v in held]).reshape(-1, d)))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slab: list[pa.RecordBatch] = []
+
+            def settle() -> pa.RecordBatch:
+                rows = pa.Table.from_batches(slab).sort_by("_id").combine_chunks()
+                ids = rows.column("_id").to_numpy()
+                vectors = rows.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                codes = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("_c").to_pylist()), np.uint8).reshape(len(ids), -1).T)
+                errors = rows.column("_e").to_numpy()
+                out = [(q, i, s) for q, x in zip(*queries.value) for i, s in scan(book.value, ids, vectors, codes, q, x, k, rerank, errors)]
+                cols = list(zip(*out)) or [()] * 3
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+            for batch in batches:
+                slab.append(batch)
+                if sum(b.num_rows for b in slab) >= row_block:
+                    yield settle()
+                    slab = []
+            if sum(b.num_rows for b in slab):
+                yield settle()
+
+        near = index.mapInArrow(meet, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if query_blocks == 1:
+        return nearest(0)
+    path = f"{shared_dir(df.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    for block in range(query_blocks):
+        nearest(block).write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(empty.schema).parquet(path)
