@@ -18,22 +18,54 @@ from __future__ import annotations
 import json
 import math
 import random
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, shared_dir
+
+
+def stirling_error(n: int) -> float:
+    """log(n!) less Stirling's approximation of it."""
+    if n < 16:
+        return math.log(math.factorial(n)) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    x = 1 / (n * n)
+    return (1 / 12 - x * (1 / 360 - x * (1 / 1260 - x / 1680))) / n
+
+
+def deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where they are near."""
+    v = (x - mean) / (x + mean)
+    if abs(v) >= 0.1:
+        return x * math.log(x / mean) + mean - x
+    out, power, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        more = out + power / (2 * k + 1)
+        if more == out:
+            return out
+        out, k = more, k + 1
+
+
+def binomial(x: int, n: int, p: float, q: float) -> float:
+    """Probability of x hits in n, by the saddle-point expansion: its relative error stays
+    near that of a double however large n is."""
+    if x == 0 or x == n:
+        return math.exp(n * (math.log1p(-p) if x == 0 else math.log1p(-q)))
+    log = stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * q)
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * x * (n - x)))
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Number of good ones among ``draws`` without replacement: inversion from the
-    mode outwards, exact to double precision at any size."""
+    """Number of good ones among ``draws`` without replacement, by inversion from the mode
+    outwards.  Probabilities have the precision of doubles at any size."""
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
-    lf = lambda n: math.lgamma(n + 1)
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    p0 = math.exp(lf(good) - lf(mode) - lf(good - mode) + lf(bad) - lf(draws - mode) - lf(bad - draws + mode) - lf(good + bad) + lf(draws) + lf(good + bad - draws))
+    p, q = draws / (good + bad), (good + bad - draws) / (good + bad)
+    p0 = binomial(mode, good, p, q) * binomial(draws - mode, bad, p, q) / binomial(draws, good + bad, p, q)
     u = rng.random() - p0
     if u < 0:
         return mode
@@ -97,12 +129,15 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             at += k
             ends_row.append(at)
         ends.append(ends_row)
-    # blocks x shards numbers, about 40 for each ``block_rows`` rows, parsed in the plan
-    matrix = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("_q", "_ends"))
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/shard-matrix-{uuid.uuid4().hex}"
+    for at in range(0, len(ends), 2000):  # a table, so that no plan holds more than so many rows of it
+        part = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends[at : at + 2000])), "array<array<bigint>>")).alias("_q", "_ends"))
+        part.withColumn("_q", F.col("_q") + at).write.mode("append").parquet(path)
+    matrix = spark.read.schema("_q int, _ends array<bigint>").parquet(path)
     local = Window.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed + 1), "_place"), "_place")
     dealt = (
         rows.withColumn("_r", F.row_number().over(local) - 1)
-        .join(F.broadcast(matrix), F.col("_p") == F.col("_q"))
+        .join(matrix, F.col("_p") == F.col("_q"))
         .withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_r"))))
         .withColumn("_u", F.xxhash64(F.lit(seed + 2), "_place"))
     )
