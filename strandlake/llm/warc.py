@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 #: Query parameters that only track where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref|sessionid|sid)="
-RECORD = "record_id string, type string, url string, time timestamp, status int, headers map<string,string>, body binary"
+BATCH = 8 << 20
+#: Columns of a table of records; ``profile`` may be missing.
+RECORD = "record_id string, type string, url string, time timestamp, status int, headers map<string,string>, body binary, profile string"
 
 
 def canonical_url(url: Column) -> Column:
@@ -48,17 +51,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files, plain or gzipped, one file to a task.
 
     ``headers`` are the HTTP headers in lower case; records that are no HTTP messages
-    have none.  A record cut off by the end of the file is left out."""
+    have none.  ``profile`` is a revisit's.  A file is decompressed as it is read and leaves
+    the task in batches of about ``BATCH`` bytes.  A record cut off by the end of the file, or
+    by broken compression, is left out."""
+    kinds = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("time", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("profile", pa.string())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py() or b""
-                stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-                rows = list(records(stream))
-                yield pa.RecordBatch.from_pylist(
-                    rows, pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("time", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
-                )
+                data = pa.BufferReader(content.as_buffer()) if content.is_valid else io.BytesIO()
+                packed = data.read(2) == b"\x1f\x8b"
+                data.seek(0)
+                held, size = [], 0
+                for row in records(io.BufferedReader(gzip.GzipFile(fileobj=data) if packed else data)):
+                    held.append(row)
+                    size += len(row["body"])
+                    if size > BATCH:
+                        yield pa.RecordBatch.from_pylist(held, kinds)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, kinds)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     out = files.mapInArrow(parse, RECORD.replace("timestamp", "string"))
@@ -74,7 +85,14 @@ def headers_of(block: bytes) -> dict[str, str]:
     return out
 
 
-def records(stream: io.BytesIO) -> Iterator[dict]:
+def records(stream: io.BufferedIOBase) -> Iterator[dict]:
+    try:
+        yield from whole_records(stream)
+    except (EOFError, zlib.error, gzip.BadGzipFile):  # what came before is whole
+        return
+
+
+def whole_records(stream: io.BufferedIOBase) -> Iterator[dict]:
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -92,27 +110,31 @@ def records(stream: io.BytesIO) -> Iterator[dict]:
             first, _, lines = top.partition(b"\r\n")
             parts = first.split()
             status, http = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None, headers_of(lines)
-        yield {"record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "time": head.get("warc-date"), "status": status, "headers": list(http.items()), "body": body}
+        yield {"record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "time": head.get("warc-date"), "status": status, "headers": list(http.items()), "body": body, "profile": head.get("warc-profile")}
 
 
-def resolve_revisits(df: DataFrame, bucket: int = 86_400) -> DataFrame:
+def resolve_revisits(df: DataFrame, bucket: int = 600) -> DataFrame:
     """The revisits of a table of records (see RECORD; more columns may be there).
 
-    One row for each revisit: ``record_id``, ``canonical``, ``time``, ``source_id`` (null if
+    One row for each not-modified revisit (status 304 or such a profile; revisits of an
+    identical payload hold a response of their own): ``record_id``, ``canonical``, ``time``, ``source_id`` (null if
     nothing fits), ``status``, ``headers`` (merged) of the resolved response.
 
     A revisit fits a full response (type response, status 200) of its canonical URL
     that is earlier and agrees in every validator that the revisit carries (``etag``
     without its weakness mark, ``last-modified``); a revisit without a validator fits
     any.  Of several the latest is taken, of equally late ones the largest record_id.
-    Null urls or times fit nothing; repeated rows are resolved each."""
+    Null urls or times fit nothing; null headers are none; repeated rows are resolved
+    each; an empty table gives no rows.  Other columns are not read."""
     etag = F.regexp_replace(F.element_at("headers", "etag"), "^W/", "")
+    df = df.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     rows = df.select(
+        (F.col("profile") if "profile" in df.columns else F.lit(None).cast("string")).alias("_profile"),
         "record_id", "type", "time", "status", "headers", canonical_url(F.col("url")).alias("canonical"), etag.alias("_etag"), F.element_at("headers", "last-modified").alias("_modified"),
         F.floor(F.unix_micros("time") / (bucket * 1_000_000)).alias("_bucket"),
     )
     full = rows.filter((F.col("type") == "response") & (F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("time").isNotNull())
-    asks = rows.filter(F.col("type") == "revisit")
+    asks = rows.filter((F.col("type") == "revisit") & ((F.col("status") == 304) | F.col("_profile").contains("not-modified"))).drop("_profile")
     # each response answers to the four sets of validators a revisit may carry
     sets = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.when(F.lit(bool(i & 1)), F.col("_etag")).alias("e"), F.when(F.lit(bool(i & 2)), F.col("_modified")).alias("m")) for i in range(4))))
     offers = full.select("canonical", "_bucket", "time", "record_id", "headers", sets.alias("v")).filter(
