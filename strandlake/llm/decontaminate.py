@@ -12,7 +12,7 @@ similarity of the window's and the item's shingles, with multiplicity.
 
 A window without a shingle of the item has similarity 0, so looking only near shared
 shingles loses nothing.  Documents are scanned once for each ``item_bytes`` of
-benchmark text; beside it the broadcast index holds the shingles that several texts of
+benchmark text, and written between, so that a task holds one index at a time; beside it the broadcast index holds the shingles that several texts of
 the whole benchmark share.
 """
 
@@ -27,12 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
+
+from .shared import cut
 
 WORD = re.compile(r"[^\W_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 ONES = np.array([bin(k).count("1") for k in range(256)], np.uint8)
-HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("words", pa.int64())]))
-HIT_SQL = "array<struct<item_id:bigint,similarity:double,start:bigint,words:bigint>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -148,17 +150,18 @@ class Index:
 
 
 def benchmark_hits(
-    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 23, item_bytes: int = 4 << 20
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 23, item_bytes: int = 4 << 20, hits_col: str = "hits"
 ) -> DataFrame:
-    """``df`` with ``hits``: for each benchmark item found its id, similarity, first
+    """``df`` with ``hits_col``: for each benchmark item found its id, similarity, first
     word and number of words of the best window, in the order of ids.
 
     Words are runs of letters and digits, lower-cased.  Texts that are null or hold no
     word and items without a word have no hits; an empty benchmark gives none.
-    Rows of one id (null is one too) give one hit, the best.  ``df`` must not have a
-    column ``hits``; all its other columns stay as they are."""
-    if "hits" in df.columns:
-        raise ValueError("the input has a column named hits")
+    Rows of one id (null is one too) give one hit, the best; ids are of any type that has
+    an order.  All columns of ``df`` stay as they are; one named like ``hits_col`` is an error."""
+    if hits_col in df.columns:
+        raise ValueError(f"the input has a column named {hits_col}; name another in hits_col")
+    kind = benchmark.schema[item_id].dataType
     items = benchmark.select(F.col(item_id).alias("_item"), F.coalesce(item_text, F.lit("")).alias("_text"))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,17 +179,18 @@ def benchmark_hits(
     size = 0
     for item, text in items.orderBy("_item", "_text").toLocalIterator():
         if size + len(text) > item_bytes and block:
-            df = _with_hits(df, block, text_col, threshold, radius, times)
+            df = cut(_with_hits(df, block, text_col, threshold, radius, times, kind, hits_col), "benchmark-block")  # one index at a time in a task
             block, size = [], 0
         block.append((item, text))
         size += len(text)
-    return _with_hits(df, block, text_col, threshold, radius, times)
+    return _with_hits(df, block, text_col, threshold, radius, times, kind, hits_col)
 
 
-def _with_hits(df: DataFrame, items: list[tuple[int, str]], text_col: str, threshold: float, radius: int, times: dict[tuple[int, int], int]) -> DataFrame:
+def _with_hits(df: DataFrame, items: list[tuple], text_col: str, threshold: float, radius: int, times: dict[tuple[int, int], int], kind: DataType, hits_col: str) -> DataFrame:
     index = df.sparkSession.sparkContext.broadcast(Index(items, radius, times))  # at most item_bytes of text and its shingles
-    again = "hits" in df.columns
-    names = [c for c in df.columns if c != "hits"]
+    again = hits_col in df.columns
+    names = [c for c in df.columns if c != hits_col]
+    hit_type = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("similarity", pa.float64()), ("start", pa.int64()), ("words", pa.int64())]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +222,13 @@ def _with_hits(df: DataFrame, items: list[tuple[int, str]], text_col: str, thres
                         for x in old:
                             if x["similarity"] >= f.get(x["item_id"], (0,))[0]:
                                 f[x["item_id"]] = (x["similarity"], x["start"], x["words"])
-                order = lambda x: (x[0] is not None, x[0] or 0)
+                order = lambda x: (x[0] is not None, 0 if x[0] is None else x[0])
                 rows = [[{"item_id": i, "similarity": x[0], "start": x[1], "words": x[2]} for i, x in sorted(f.items(), key=order)] for f in found]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(rows, HIT)], [*names, "hits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(rows, hit_type)], [*names, hits_col])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", hits {HIT_SQL}"
-    return df.select(*names, *(["hits"] if again else [])).mapInArrow(task, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{hits_col}` array<struct<item_id:{kind.simpleString()},similarity:double,start:bigint,words:bigint>>"
+    return df.select(*names, *([hits_col] if again else [])).mapInArrow(task, schema)
 
 
-def contaminated() -> Column:
-    return F.size("hits") > 0
+def contaminated(hits_col: str = "hits") -> Column:
+    return F.size(hits_col) > 0
