@@ -27,15 +27,33 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-SLAB = 8 << 20
+SLAB = 3 << 20
 _LOADED: dict[str, "WordIds"] = {}
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs flat[start : start + size] end to end."""
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, ..., start + size - 1 of each run, end to end."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(total)
+    return out
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] end to end."""
+    return flat.take(spread(starts, sizes))
+
+
+def ascii_lowered(texts: pa.Array) -> pa.Array:
+    """Large strings without nulls with A to Z lowered, byte by byte."""
+    if not len(texts):
+        return texts
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    low = data | (((data - np.uint8(65)) < 26).view(np.uint8) << 5)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(low))
 
 
 class WordIds:
@@ -50,7 +68,7 @@ class WordIds:
 
     TAIL = ".,;:!?*%&$#()\"-"
 
-    def __init__(self, path: str, most: int = 40 << 20):
+    def __init__(self, path: str, most: int = 16 << 20):
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer, self.most = path, Tokenizer.from_file(path), most
@@ -113,7 +131,7 @@ class WordIds:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), held
         words = pc.utf8_rtrim(chunks, characters=self.TAIL)
         plain = pc.utf8_is_alpha(words)
-        words = pc.if_else(plain, pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words), None).dictionary_encode()
+        words = pc.if_else(plain, pc.if_else(pc.string_is_ascii(words), ascii_lowered(words), words), None).dictionary_encode()
         plain = plain.to_numpy(zero_copy_only=False)
         tails = pc.if_else(pa.array(plain), pc.replace_substring_regex(chunks, r"^[^" + re.escape(self.TAIL) + "]*", ""), chunks).dictionary_encode()
         places = np.append(self.learned(words.dictionary), -1)
