@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 SLICE = 2 << 20
+#: Keys with over this part of all anchors are joined by broadcast, so there are no more of them.
+HOT_KEYS = 1000
 
 
 def row_key(doc_id, text: bytes) -> bytes:
@@ -232,7 +234,9 @@ def remove_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 2000, block_bytes: int = 2 << 20, fine: int = 32, carry: tuple[str, ...] = (), with_text: bool = False
 ) -> DataFrame:
     """One row for each row: ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
-    runs), ``kept_sha256``; ``with_text`` adds ``kept_text`` (the remaining
+    runs), ``kept_sha256``, and ``n_shared``: how many of its anchors are followed by
+    ``length - reach + 1`` bytes that stand behind an anchor elsewhere too, so that
+    passages too short to be removed are told as well; ``with_text`` adds ``kept_text`` (the remaining
     bytes, without characters that lost some of theirs) and ``spans`` ([from, to)); columns named in ``carry`` come along.
 
     A null text is empty and stays so.  Ids may be null or repeat; repeated rows are
@@ -330,7 +334,7 @@ def remove_repeats(
                 )
 
     names = [id_col, *[c for c in carry if c not in (id_col, text_col)]]
-    out_names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", "spans"] * with_text
+    out_names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"] + ["kept_text", "spans"] * with_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -347,16 +351,19 @@ def remove_repeats(
                 left = b"".join(kept) + text[at:]
                 rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), None if body is None else left.decode(errors="ignore"), runs))
             c = list(zip(*rows)) or [()] * 6
-            data = [pa.array(x, pa.int64()) for x in c[:3]] + [pa.array(c[3], pa.string())]
+            data = [pa.array(x, pa.int64()) for x in c[:3]] + [pa.array(c[3], pa.string()), batch.column("n_shared").fill_null(0)]
             if with_text:
                 data += [pa.array(c[4], pa.string()), pa.array(c[5], pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + data, out_names)
 
     texts = df.select(id_col, text_col)
-    occ = texts.mapInArrow(occurrences, "_key long, _ctx long, _rk binary, _s int, _n int, _r int")
+    occ = cut(texts.mapInArrow(occurrences, "_key long, _ctx long, _rk binary, _s int, _n int, _r int"), "anchors")
     keys = occ.groupBy("_key").agg(F.count("*").alias("_m"), F.min("_ctx").alias("_lo"), F.max("_ctx").alias("_hi"))
-    keys = keys.filter("_m > 1").select("_key", (F.col("_lo") != F.col("_hi")).alias("_mixed"))
-    hits = cut(occ.join(keys, "_key"), "repeated-anchors")
+    keys = cut(keys.filter("_m > 1").select("_key", "_m", (F.col("_lo") != F.col("_hi")).alias("_mixed")), "repeated-keys")
+    hot = keys.filter(F.col("_m") > max(1000, occ.count() // HOT_KEYS)).select("_key")  # HOT_KEYS rows at most
+    keys = keys.drop("_m")
+    spread = occ.join(F.broadcast(keys.join(F.broadcast(hot), "_key")), "_key").unionByName(occ.join(F.broadcast(hot), "_key", "left_anti").join(keys, "_key"))
+    hits = cut(spread, "repeated-anchors")
     mixed = hits.filter("_mixed")
     kind = mixed.groupBy("_key", "_ctx").agg(F.count("*").alias("_m"), F.min(F.struct("_rk", "_s", "_n", "_r")).alias("_one"))
     large = kind.groupBy("_key").agg((F.count("*") > most_contexts).alias("_big"))
@@ -377,6 +384,8 @@ def remove_repeats(
         found = found.unionByName(each)
     sure = hits.filter("not _mixed").select("_rk", F.col("_s").alias("a"), (F.col("_s") + F.col("_n") + length).alias("b"))
     tried = mixed.join(found, ["_key", "_ctx"]).select("_rk", "_s", F.explode("_spans").alias("x")).select("_rk", (F.col("_s") + F.col("x.a")).alias("a"), (F.col("_s") + F.col("x.b")).alias("b"))
+    shared = hits.groupBy("_rk").agg(F.count_distinct("_s").alias("n_shared"))
     spans = sure.unionByName(tried).groupBy("_rk").agg(F.collect_set(F.struct("a", "b")).alias("_all"))
-    schema = f"{extra}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<array<long>>" * with_text
+    spans = shared.join(spans, "_rk", "left")
+    schema = f"{extra}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept_text string, spans array<array<long>>" * with_text
     return docs.join(spans, "_rk", "left").mapInArrow(finish, schema)
