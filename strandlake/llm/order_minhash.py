@@ -1,45 +1,54 @@
 """Near-duplicates by Order MinHash.
 
 A text's k-mers are its shingles of five words (runs of letters and digits, lower
-case), labelled by occurrence.  For each of ``tables`` hash functions the two least
-labelled k-mers are kept in the order in which they stand in the text; they are the
-table's key.  Texts agree on a key by sharing k-mers in the same order, which follows
-edit similarity.  Candidates are verified by banded alignment: the edit distance of
-their word sequences, computed along the diagonals of a band that is as wide as the
-similarity asked for allows.
-
-Equal texts collapse first, by map-side aggregation.  Texts that agree on one table are
+case), labelled by occurrence.  For each of ``functions`` hash functions the four least
+labelled k-mers are kept in the order in which they stand in the text; each two of them,
+in that order, are a key.  Texts agree on a key by sharing k-mers in the same order, which
+follows edit similarity: of texts of 60 words and more with random edits that leave a
+similarity of 0.8, over nine tenths of the pairs agree on a key, and nearly all at 0.85;
+of shorter texts such edits can leave no shingle of five words whole.  Candidates are verified by
+banded alignment: the edit distance of their word sequences, computed along the diagonals
+of a band that is as wide as the similarity asked for allows.
+
+Equal texts collapse first, by map-side aggregation.  Texts that agree on one key are
 candidates, in keys of any size.  Alignment spares pairs whose ends are in one class
-already: first each text meets the least text of its keys; then, while that still joins
-much, a leader from another class meets the rest of its key; in the end all pairs of a
-key that are in different classes are compared.  Only what cannot be near is left out:
-lengths that differ too much, and counts of words (in 128 classes of words, which bound
-the edit distance from below) that do.  A large key is compared by pairs of its blocks.
+already: first each text meets the least text of its keys; then, while there are many pairs
+left and that joins classes, each meets a few others of one of its keys; in the end all pairs of a key that are in different classes are compared.  Only what cannot
+be near is left out: lengths that differ too much, and counts of words (in 512 classes of
+words, which bound the edit distance from below) that do.  A large key is compared by
+pairs of its blocks.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import slabs_of
 from .shared import cut
 
-WORD = re.compile(r"[^\W_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 2 << 20
-CLASSES = 128
+CLASSES = 512
+#: Least k-mers that are kept of each hash function.
+LEAST = 4
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Runs of letters and digits of all texts, lower case, and how many each has."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL\pN]+", " ")
+    split = pc.split_pattern(plain, " ")
+    words = split.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    return words.filter(some).dictionary_encode(), np.bincount(text[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,13 +57,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(30))
 
 
-def sketches(hashes: np.ndarray, sizes: np.ndarray, tables: int, k: int) -> np.ndarray:
-    """Keys of texts whose word hashes lie end to end: (texts, tables).  sizes: words
-    of each text, at least one.  A text under ``k`` words has one k-mer of all its words."""
+def sketches(hashes: np.ndarray, sizes: np.ndarray, functions: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of texts whose word hashes lie end to end, text by text, and how many each has.
+    sizes: words of each text, at least one.  A text under ``k`` words has one k-mer of all
+    its words; a lone k-mer makes a key with itself."""
     n = len(hashes)
     ends = np.cumsum(sizes)
     begin = ends - sizes
-    text = np.repeat(np.arange(len(sizes)), sizes)
     left = np.repeat(ends, sizes) - np.arange(n)
     shingle = np.zeros(n, np.uint64)
     for j in range(k):
@@ -62,9 +71,8 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray, tables: int, k: int) -> np.n
         word[: n - j] = hashes[j:]
         word[left <= j] = 0
         shingle = mixed(shingle * np.uint64(31) + word)
-    valid = (left >= k) | ((np.repeat(sizes, sizes) < k) & (np.arange(n) == np.repeat(begin, sizes)))
-    at = np.flatnonzero(valid)
-    s, t = shingle[at], text[at]
+    at = np.flatnonzero((left >= k) | ((np.repeat(sizes, sizes) < k) & (np.arange(n) == np.repeat(begin, sizes))))
+    s, t = shingle[at], np.repeat(np.arange(len(sizes)), sizes)[at]
     order = np.lexsort((s, t))
     same = np.zeros(len(at), bool)
     same[1:] = (s[order][1:] == s[order][:-1]) & (t[order][1:] == t[order][:-1])
@@ -74,73 +82,135 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray, tables: int, k: int) -> np.n
     label[order] = run
     label = mixed(s + label * MULT)
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    several = np.diff(np.append(first, len(at))) > 1
+    count = np.diff(np.append(first, len(at)))
+    bits = np.uint64(max(1, int(len(at)).bit_length()))  # of a place in the slab
+    low = (np.uint64(1) << bits) - np.uint64(1)
     place = np.arange(len(at), dtype=np.uint64)
-    low = np.uint64((1 << 24) - 1)
-    out = np.empty((len(sizes), tables), np.uint64)
-    for i in range(tables):
+    keys, owners = [], []
+    for i in range(functions):
         h = (mixed(label ^ mixed(np.array([i + 1], np.uint64))) & ~low) | place
-        a = np.minimum.reduceat(h, first)
-        a = (a & low).astype(np.int64)
-        h[a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        b = (np.minimum.reduceat(h, first) & low).astype(np.int64)
-        b[~several] = a[~several]
-        p, q = np.minimum(a, b), np.maximum(a, b)
-        out[:, i] = mixed(mixed(s[p] + np.uint64(i)) * np.uint64(31) + s[q])
-    return out
-
-
-def edit_distance(a: list, b: list, most: int) -> int | None:
-    """Levenshtein distance if it is ``most`` or less, by furthest-reaching points on
-    the diagonals -most to most."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
+        kept = np.full((len(sizes), LEAST), len(at))
+        for j in range(LEAST):
+            some = count > j
+            if some.any():
+                x = (np.minimum.reduceat(h, first)[some] & low).astype(np.int64)
+                kept[some, j] = x
+                h[x] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        kept.sort(axis=1)
+        for x in range(LEAST):
+            for y in range(x + 1, LEAST):
+                some = np.flatnonzero(count > y)
+                keys.append(mixed(mixed(s[kept[some, x]] + np.uint64(i)) * np.uint64(31) + s[kept[some, y]]))
+                owners.append(some)
+        some = np.flatnonzero(count == 1)
+        keys.append(mixed(mixed(s[kept[some, 0]] + np.uint64(i)) * np.uint64(31) + s[kept[some, 0]]))
+        owners.append(some)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((keys, owners))
+    keys, owners = keys[order], owners[order]
+    new = np.ones(len(keys), bool)  # equal k-mers can make one key twice
+    new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    return keys[new], np.bincount(owners[new], minlength=len(sizes))
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int, narrow: int = 300) -> int | None:
+    """Levenshtein distance of two sequences of numbers if it is ``most`` or less, by
+    furthest-reaching points on the diagonals -most to most: one by one in a band of at
+    most ``narrow``, all at a time in a wider one."""
+    if abs(len(a) - len(b)) > most:
         return None
-    start = 0
-    while start < n and start < m and a[start] == b[start]:
-        start += 1
-    while n > start and m > start and a[n - 1] == b[m - 1]:
-        n -= 1
-        m -= 1
-    a, b = a[start:n], b[start:m]
+    m = min(len(a), len(b))
+    differ = np.flatnonzero(a[:m] != b[:m])
+    start = int(differ[0]) if len(differ) else m
+    a, b = a[start:], b[start:]
+    m = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - m :][::-1] != b[len(b) - m :][::-1])
+    end = int(differ[0]) if len(differ) else m
+    a, b = a[: len(a) - end], b[: len(b) - end]
     n, m = len(a), len(b)
     if not n or not m:
-        return max(n, m)
-    ca = Counter(a)
-    ca.subtract(b)
-    if max(sum(x for x in ca.values() if x > 0), -sum(x for x in ca.values() if x < 0)) > most:
+        return max(n, m)  # what is left of one text, no more than the lengths differ
+    symbols, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    surplus = np.bincount(code[:n], minlength=len(symbols)) - np.bincount(code[n:], minlength=len(symbols))
+    if max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()) > most:
         return None
-    reach = {0: 0}
-    i = 0
-    while i < n and i < m and a[i] == b[i]:
-        i += 1
-    reach[0] = i
-    goal = n - m
-    if goal == 0 and i == n:
-        return 0
-    for e in range(1, most + 1):
+    most = min(most, max(n, m))
+    return walked(code[:n].tolist(), code[n:].tolist(), most) if most <= narrow else swept(code, n, most)
+
+
+def walked(a: list[int], b: list[int], most: int) -> int | None:
+    n, m = len(a), len(b)
+    reach: dict[int, int] = {}
+    for e in range(most + 1):
         new = {}
-        for d in range(-min(e, m), min(e, n) + 1):  # diagonal: position in a less position in b
-            i = max(reach.get(d, -1) + 1 if d in reach else -1, reach[d - 1] + 1 if d - 1 in reach else -1, reach[d + 1] if d + 1 in reach else -1)
+        for d in range(-min(e, m), min(e, n) + 1):  # diagonal: place in a less place in b
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -1)) if e else 0
             i = min(i, n, m + d)
             if i < max(0, d):
                 continue
             while i < n and i - d < m and a[i] == b[i - d]:
                 i += 1
             new[d] = i
-        if new.get(goal, -1) >= n:
+        if new.get(n - m, -1) >= n:
             return e
         reach = new
     return None
 
 
-def alike(a: list, b: list, similarity: float) -> bool:
+def swept(code: np.ndarray, n: int, most: int) -> int | None:
+    """``code``: the symbols of a, ``n`` of them, then those of b.  How far two places run on
+    alike is found by names of their next 1, 2, 4, ... symbols (equal names: equal runs)."""
+    m = len(code) - n
+    names = [np.concatenate((code[:n], [-1], code[n:], [-2])).astype(np.int64)]
+    while 2 ** len(names) <= min(n, m):
+        last, half = names[-1], 2 ** (len(names) - 1)
+        ahead = np.full(len(last), -1, np.int64)
+        ahead[: len(last) - half] = last[half:]
+        names.append(np.unique((last + 2) * (len(last) + 3) + ahead + 2, return_inverse=True)[1])
+    nowhere = -(1 << 40)
+    goal = n - m
+    far = np.full(2 * most + 3, nowhere)  # of diagonal d at d + most + 1
+    for e in range(most + 1):
+        lo, hi = max(-e, -m, goal - (most - e)), min(e, n, goal + (most - e))  # others cannot end in time
+        d = np.arange(lo, hi + 1)
+        at = slice(lo + most + 1, hi + most + 2)
+        if e:
+            i = np.maximum(np.maximum(far[at], far[lo + most : hi + most + 1]) + 1, far[lo + most + 2 : hi + most + 3])
+        else:
+            i = np.zeros(len(d), np.int64)
+        i = np.minimum(i, np.minimum(n, m + d))
+        live = np.flatnonzero(i >= np.maximum(0, d))
+        x = i[live]
+        y = x - d[live] + n + 1
+        for k in range(len(names) - 1, -1, -1):
+            step = 1 << k
+            while True:  # the longest names may hold many times
+                fits = np.flatnonzero((x + step <= n) & (y + step <= n + 1 + m))
+                fits = fits[names[k][x[fits]] == names[k][y[fits]]]
+                x[fits] += step
+                y[fits] += step
+                if k < len(names) - 1 or not len(fits):
+                    break
+        new = np.full(len(far), nowhere)
+        i = np.full(len(d), nowhere)
+        i[live] = x
+        new[at] = i
+        far = new
+        if lo <= goal <= hi and far[goal + most + 1] >= n:
+            return e
+    return None
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sequences of word hashes have that edit similarity."""
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    pairs = Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))
-    if pairs.total() < longest - 1 - 2 * most:  # an edit takes two pairs of neighbours at most
+    pairs = [np.sort(x[:-1] * MULT + mixed(x[1:])) for x in (a, b)]
+    (pa_, ca), (pb, cb) = (np.unique(p, return_counts=True) for p in pairs)
+    _, i, j = np.intersect1d(pa_, pb, assume_unique=True, return_indices=True)
+    if np.minimum(ca[i], cb[j]).sum() < longest - 1 - 2 * most:  # an edit takes two pairs of neighbours at most
         return False
     return edit_distance(a, b, most) is not None
 
@@ -153,12 +223,19 @@ def word_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def may_be_near(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, similarity: float) -> np.ndarray:
-    """Which texts can be near to one text: an edit changes each sum of surpluses by one at most."""
+    """Which texts can be near to one text: each edit changes how far one text's counts
+    exceed the other's by one at most, in all classes and in sums of eight of them."""
     most = ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
     out = np.abs(sizes - size) <= most
-    at = np.flatnonzero(out)
-    d = counts[at].astype(np.int16) - own.astype(np.int16)
-    out[at] = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most[at]
+    for fold in (8, 1):
+        at = np.flatnonzero(out)
+        if not len(at):
+            break
+        some, one = counts[at], own
+        if fold > 1:
+            some, one = some.reshape(len(at), -1, fold).sum(axis=2, dtype=np.uint16), own.reshape(-1, fold).sum(axis=1, dtype=np.uint16)
+        both = np.minimum(some, one).sum(axis=1, dtype=np.int64)
+        out[at] = np.maximum(some.sum(axis=1, dtype=np.int64), int(one.sum(dtype=np.int64))) - both <= most[at]
     return out
 
 
@@ -184,7 +261,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small, "links")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, tables: int = 16, k: int = 5, most: int = 1000) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, functions: int = 9, k: int = 5, most: int = 1000, look: int = 8, few: int = 6) -> DataFrame:
     """One row for each row with its class: id, ``class_id`` (the least id in it),
     ``n_links`` (texts other than its own that alignment linked it with, as far as
     links were needed to find the class), ``text_hash``.
@@ -192,49 +269,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two texts are linked if their word sequences have an edit similarity (1 - distance
     / longer length) of ``similarity`` at least; classes are connected components.
     Equal texts are one class.  A null text is in a class of its own; texts without a
-    word are near only to equal texts.  Ids may be null (least) or repeat."""
+    word are near only to equal texts.  Ids may be null (least) or repeat; an empty table
+    gives no rows.  Other columns are not read.  ``look``: pairs a row that are looked
+    through in the last step; while there would be more, and while that joins classes, each
+    text first meets ``few`` others of one of its keys."""
     text = F.col(text_col)
     own = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.md5(text.cast("binary"))).alias("_h"))
 
+    def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words, sizes = words_of(texts)
+        each = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+        return each[words.indices.to_numpy()] if len(each) else np.zeros(0, np.uint64), sizes
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE):
-                    size += len(texts[end] or "")
-                    end += 1
-                words = [words_of(t or "") for t in texts[at:end]]
-                if len(cache) > 500_000:
-                    cache.clear()
-                cache.update({w: xxhash.xxh3_64_intdigest(w) for w in set().union(*words) - cache.keys()})
-                has = [i for i, ws in enumerate(words) if ws]
-                keys: list = [None] * len(words)
-                counts: list = [None] * len(words)
-                if has:
-                    flat = np.fromiter((h for i in has for h in map(cache.__getitem__, words[i])), np.uint64)
-                    sizes = np.array([len(words[i]) for i in has])
-                    for i, row, n in zip(has, sketches(flat, sizes, tables, k), word_counts(flat, sizes)):
-                        keys[i], counts[i] = row.tobytes(), n.tobytes()
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([len(ws) for ws in words], pa.int32()), pa.array(counts, pa.binary())], ["_id", "_h", "_keys", "_words", "_counts"])
-                at = end
+            for at, some in slabs_of(batch.column(1)):
+                flat, sizes = hashes_of(some)
+                has = np.flatnonzero(sizes)
+                keys: list = [None] * len(some)
+                counts: list = [None] * len(some)
+                if len(has):
+                    found, n = sketches(flat, sizes[has], functions, k)
+                    for i, row, c in zip(has.tolist(), np.split(found, np.cumsum(n)[:-1]), word_counts(flat, sizes[has])):
+                        keys[i], counts[i] = row.tobytes(), c.tobytes()
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary())], ["_id", "_h", "_keys", "_words", "_counts"])
 
     id_sql = df.schema[id_col].dataType.simpleString()
     rows = cut(own.mapInArrow(sketch, f"_id {id_sql}, _h binary, _keys binary, _words int, _counts binary"), "sketches")
     texts = rows.filter("_h is not null").groupBy("_h").agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.first("_words").alias("_words"), F.first("_counts").alias("_counts"), F.max(F.col("_id").isNull()).alias("_null"))
+    texts = cut(texts, "distinct-texts")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, tables)
-            n = len(keys)
-            which = np.repeat(np.arange(n), tables)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64).ravel()), batch.column(0).take(pa.array(which)), batch.column(2).take(pa.array(which))],
-                ["_key", "_h", "_words"],
-            )
+            keys = batch.column(1)
+            n = pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            which = pa.array(np.repeat(np.arange(len(n)), n))
+            flat = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(which), batch.column(2).take(which)], ["_key", "_h", "_words"])
 
     member = texts.filter("_keys is not null").select("_h", "_keys", "_words").mapInArrow(spread, "_key long, _h binary, _words int")
     counted = member.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
@@ -292,20 +364,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        cache: dict[bytes, list[str]] = {}
-
-        def text(h: bytes, body: pa.Scalar) -> list[str]:
-            if h not in cache:
-                if len(cache) > 200:
-                    cache.clear()
-                cache[h] = words_of(z.decompress(body.as_py()).decode())
-            return cache[h]
-
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = [alike(text(x, p), text(y, q), similarity) for x, y, p, q in zip(a, b, batch.column("_za"), batch.column("_zb"))]
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                bodies = dict(zip(a + b, part.column("_za").to_pylist() + part.column("_zb").to_pylist()))
+                words: dict[bytes, np.ndarray] = {}
+                names, texts = list(bodies), pa.array([z.decompress(x).decode() for x in bodies.values()])
+                for first, some in slabs_of(texts):
+                    flat, sizes = hashes_of(some)
+                    words.update(zip(names[first : first + len(some)], np.split(flat, np.cumsum(sizes)[:-1])))
+                keep = pa.array([alike(words[x], words[y], similarity) for x, y in zip(a, b)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
     def verified(some: DataFrame) -> DataFrame:
         left = bodies.select(F.col("_h").alias("a"), F.col("_z").alias("_za"))
@@ -316,40 +386,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similar = F.least("_words", "_least._words") >= F.greatest("_words", "_least._words") * similarity - 1e-9
     least = shared.groupBy("_key").agg(F.min(F.struct("_h", "_words")).alias("_least"))
     first = shared.join(least, "_key").filter(similar & (F.col("_h") != F.col("_least._h"))).groupBy(F.col("_h").alias("b")).agg(F.min("_least._h").alias("a")).select("a", "b")
-    tried = cut(first, "pairs")
+    known = texts.select("_h", "_words", "_counts")
+    own_counts = known.select(F.col("_h").alias("b"), "_words", "_counts")
+    least_counts = known.select(F.col("_h").alias("a"), F.col("_words").alias("_lwords"), F.col("_counts").alias("_lcounts"))
+    first = first.join(own_counts, "b").join(least_counts, "a").select(F.col("b").alias("_h"), F.col("a").alias("_lh"), "_words", "_lwords", "_counts", "_lcounts")
+    tried = cut(first.mapInArrow(led, pair_sql).distinct(), "pairs")
     links = cut(verified(tried), "aligned")
     roots = cut(components(links), "roots")
     left = shared.join(texts.select("_h", "_counts"), "_h")
-    turn = misses = 0
+    turn, yielded = 0, True
     while True:
         left = left.drop("_root").join(roots.select(F.col("node").alias("_h"), F.col("root").alias("_root")), "_h", "left").withColumn("_root", F.coalesce("_root", "_h"))
         mixed = left.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).filter("_lo != _hi").select("_key", "_n")
         left = cut(left.drop("_n").join(mixed, "_key"), "open-keys")
-        sizes = left.groupBy("_key", "_root").agg(F.count("*").cast("double").alias("c")).groupBy("_key")
-        sizes = cut(sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "_root")).getField("_root").alias("_most"), F.max(F.struct(F.xxhash64(F.lit(turn), "_root"), "_root")).getField("_root").alias("_any")), "classes")
+        sizes = left.groupBy("_key", "_root").agg(F.count("*").cast("double").alias("c")).groupBy("_key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
         rows_left, open_pairs = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("q")) / 2).first()
         if not open_pairs:
             break
-        # leaders only join classes that the last step would compare in full; it leaves out no pair
-        last = open_pairs <= rows_left or misses == 2
+        # meeting a few only joins classes that the last step would compare in full; it leaves out no pair
+        last = open_pairs <= look * rows_left or not yielded
         if last:
             blocks = F.ceil(F.col("_n") / most).cast("int")
             dealt = left.withColumn("_block", F.pmod(F.xxhash64("_h"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             dealt = dealt.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_h", "_block", "_words", "_root", "_counts")
             pairs = dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(crossed, pair_sql)
         else:
-            leader = left.join(sizes.select("_key", F.col("_any" if turn % 2 else "_most").alias("_root")), ["_key", "_root"]).groupBy("_key")
-            leader = leader.agg(F.max(F.struct(F.xxhash64(F.lit(turn), "_h"), "_root", "_h", "_words", "_counts")).alias("_l"))
-            met = left.join(leader, "_key").filter("_root != _l._root").select("_h", "_words", "_counts", F.col("_l._h").alias("_lh"), F.col("_l._words").alias("_lwords"), F.col("_l._counts").alias("_lcounts"))
+            body = F.struct("_h", "_root", "_words", "_counts")
+            chosen = left.groupBy("_h").agg(F.max(F.struct(F.col("_n") if turn == 0 else F.xxhash64(F.lit(turn), "_key"), "_key", F.col("_n").alias("n"))).alias("_p"), F.first(body).alias("_x"))
+            chosen = chosen.select(F.col("_p._key").alias("_key"), F.pmod(F.xxhash64(F.lit(turn), "_h"), F.ceil(F.col("_p.n") / most)).alias("_b"), "_x")
+            ahead = Window.partitionBy("_key", "_b").orderBy(F.xxhash64(F.lit(turn + 1), "_x._h")).rowsBetween(1, few)
+            met = chosen.withColumn("_ys", F.collect_list("_x").over(ahead)).select("_x", F.explode("_ys").alias("_y")).filter("_x._root != _y._root")
+            met = met.select("_x._h", "_x._words", "_x._counts", F.col("_y._h").alias("_lh"), F.col("_y._words").alias("_lwords"), F.col("_y._counts").alias("_lcounts"))
             pairs = met.mapInArrow(led, pair_sql)
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = cut(verified(pairs), "aligned")
+        found = more.count()
         links = links.unionByName(more)
-        if not more.isEmpty():
+        if found:
             roots = cut(components(links), "roots")
         if last:
             break
-        misses = misses + 1 if more.count() < 0.1 * pairs.count() or more.isEmpty() else 0
+        yielded = found > 0.02 * pairs.count()
         tried, turn = tried.unionByName(pairs), turn + 1
     degree = links.select(F.col("a").alias("_h")).unionByName(links.select(F.col("b").alias("_h"))).groupBy("_h").agg(F.count("*").alias("n_links"))
     known = texts.select("_h", "_rep", "_null").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("_root", F.coalesce("root", "_h"))
