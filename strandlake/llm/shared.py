@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests
-    in local mode, where all processes share one disk) a folder is made here."""
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset in local
+    mode, as in tests, where all processes share one disk, a folder is made here."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
