@@ -261,7 +261,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small, "links")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, functions: int = 9, k: int = 5, most: int = 1000, look: int = 8, few: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, functions: int = 9, k: int = 5, most: int = 1000, look: int = 8, few: int = 8, rounds: int = 2) -> DataFrame:
     """One row for each row with its class: id, ``class_id`` (the least id in it),
     ``n_links`` (texts other than its own that alignment linked it with, as far as
     links were needed to find the class), ``text_hash``.
@@ -272,7 +272,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     word are near only to equal texts.  Ids may be null (least) or repeat; an empty table
     gives no rows.  Other columns are not read.  ``look``: pairs a row that are looked
     through in the last step; while there would be more, and while that joins classes, each
-    text first meets ``few`` others of one of its keys."""
+    text first meets ``few`` others of one of its keys, in ``rounds`` rounds at most."""
     text = F.col(text_col)
     own = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.md5(text.cast("binary"))).alias("_h"))
 
@@ -404,7 +404,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not open_pairs:
             break
         # meeting a few only joins classes that the last step would compare in full; it leaves out no pair
-        last = open_pairs <= look * rows_left or not yielded
+        last = open_pairs <= look * rows_left or not yielded or turn == rounds
         if last:
             blocks = F.ceil(F.col("_n") / most).cast("int")
             dealt = left.withColumn("_block", F.pmod(F.xxhash64("_h"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -426,7 +426,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             roots = cut(components(links), "roots")
         if last:
             break
-        yielded = found > 0.02 * pairs.count()
+        yielded = found > 0.05 * pairs.count()
         tried, turn = tried.unionByName(pairs), turn + 1
     degree = links.select(F.col("a").alias("_h")).unionByName(links.select(F.col("b").alias("_h"))).groupBy("_h").agg(F.count("*").alias("n_links"))
     known = texts.select("_h", "_rep", "_null").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("_root", F.coalesce("root", "_h"))
