@@ -97,6 +97,16 @@ def sam_rows(blocked: DataFrame) -> DataFrame:
     )
 
 
+def unaligned_records(parsed: DataFrame, quality: str | None = None) -> DataFrame:
+    """``value``: reads without a contig as FASTA records, or as FASTQ with the column
+    ``quality`` (unknown qualities are the best, ``I``).  Reads without a sequence have none."""
+    rows = parsed.filter((F.col("contig") == "*") & (F.col("seq") != "*"))
+    if quality is None:
+        return rows.select(F.concat(F.lit(">"), "qname", F.lit("\n"), "seq").alias("value"))
+    marks = F.when(F.col(quality).isNull() | (F.col(quality) == "*"), F.repeat(F.lit("I"), F.length("seq"))).otherwise(F.col(quality))
+    return rows.select(F.concat(F.lit("@"), "qname", F.lit("\n"), "seq", F.lit("\n+\n"), marks).alias("value"))
+
+
 def sam_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in rows.columns)).alias("value"))
 

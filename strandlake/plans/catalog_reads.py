@@ -5,7 +5,7 @@ read, each of its lines a placement; or the first lines of an order are a pair o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sam_fields
@@ -72,6 +72,16 @@ def sam_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.dropped_counts(files.parse_sam(placement_lines(spark, sf_dir))).drop("bad_tags")
 
 
+@query(f"WITH {PLACEMENTS} SELECT '>r' || k || chr(10) || seq AS fasta, '@r' || k || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq)) AS fastq FROM lines WHERE odd = 7")
+def unaligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads without a contig, as records of both kinds beside one another."""
+    parsed = files.parse_sam(placement_lines(spark, sf_dir)).withColumn("quality", F.lit("*"))
+    fasta = reports.unaligned_records(parsed).select(F.col("value").alias("fasta"))
+    fastq = reports.unaligned_records(parsed, "quality").select(F.col("value").alias("fastq"))
+    same = F.col("fasta") == F.concat(F.lit(">"), F.substring_index(F.expr("substr(fastq, 2)"), "\n", 2))
+    return fasta.withColumn("_k", F.row_number().over(Window.partitionBy("fasta").orderBy("fasta"))).join(fastq.withColumn("_l", F.row_number().over(Window.partitionBy("fastq").orderBy("fastq"))), same & (F.col("_k") == F.col("_l"))).select("fasta", "fastq")
+
+
 @query(f"WITH {PLACEMENTS} SELECT 'r' || k AS read, size AS placements, CAST(trunc(CAST(1.0 / size AS FLOAT) * CAST(100 AS FLOAT)) AS INTEGER) AS w100 FROM placed GROUP BY k, size")
 def multimap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grouped_placements(spark, sf_dir)
