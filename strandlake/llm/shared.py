@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        folder = tempfile.mkdtemp(prefix="strandlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
