@@ -15,11 +15,14 @@ def allele_depths(details: Column) -> Column:
 
 def point_mutations(vcf: DataFrame, fraction: float = 0.9, reads: float = 3) -> DataFrame:
     """CHR, POS, REF, ALT, DPall, DPsnp of alternates of bases (no deletions) that have
-    ``reads`` reads and ``fraction`` of the depth at least; REF ``N`` does not count."""
+    ``reads`` reads and ``fraction`` of the depth at least; REF ``N`` does not count.  If rows
+    have ``ord``, it stays, with the alternate's ``rank`` in its row."""
     both = F.zip_with(allele_depths(F.col("MIDDLE")), allele_depths(F.col("ENDS")), lambda a, b: a + b)
     rows = vcf.filter((F.col("POS") > 0) & (F.col("REF") != "N") & (F.col("DP") > 0)).withColumn("_d", both)
-    rows = rows.select("CHR", "POS", "REF", "DP", F.posexplode(F.split("ALT", ",")).alias("_k", "ALT"), "_d").withColumn("_n", F.get("_d", F.col("_k") + 1))
-    return rows.filter((F.col("ALT") != "-") & (F.col("_n") / F.col("DP") >= fraction) & (F.col("_n") >= reads)).select("CHR", "POS", "REF", "ALT", F.col("DP").alias("DPall"), F.col("_n").alias("DPsnp"))
+    place = [c for c in ("ord",) if c in vcf.columns]
+    rows = rows.select("CHR", "POS", "REF", "DP", F.posexplode(F.split("ALT", ",")).alias("rank", "ALT"), "_d", *place).withColumn("_n", F.get("_d", F.col("rank") + 1))
+    rows = rows.filter((F.col("ALT") != "-") & (F.col("_n") / F.col("DP") >= fraction) & (F.col("_n") >= reads))
+    return rows.select("CHR", "POS", "REF", "ALT", F.col("DP").alias("DPall"), F.col("_n").alias("DPsnp"), *([*place, "rank"] if place else []))
 
 
 def indel_rows(vcf: DataFrame, fraction: float = 0.9, reads: float = 3) -> DataFrame:
