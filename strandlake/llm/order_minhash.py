@@ -7,8 +7,8 @@ in that order, are a key.  Texts agree on a key by sharing k-mers in the same or
 follows edit similarity: of texts of 60 words and more with random edits that leave a
 similarity of 0.8, over nine tenths of the pairs agree on a key, and nearly all at 0.85;
 of shorter texts such edits can leave no shingle of five words whole.  Candidates are verified by
-banded alignment: the edit distance of their word sequences, computed along the diagonals
-of a band that is as wide as the similarity asked for allows.
+banded alignment: the edit distance of their word sequences, by bit vectors over a band that is as
+wide as the similarity asked for allows.
 
 Equal texts collapse first, by map-side aggregation.  Texts that agree on one key are
 candidates, in keys of any size.  Alignment spares pairs whose ends are in one class
@@ -113,10 +113,8 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray, functions: int, k: int) -> t
     return keys[new], np.bincount(owners[new], minlength=len(sizes))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int, narrow: int = 300) -> int | None:
-    """Levenshtein distance of two sequences of numbers if it is ``most`` or less, by
-    furthest-reaching points on the diagonals -most to most: one by one in a band of at
-    most ``narrow``, all at a time in a wider one."""
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Levenshtein distance of two sequences of numbers if it is ``most`` or less."""
     if abs(len(a) - len(b)) > most:
         return None
     m = min(len(a), len(b))
@@ -134,71 +132,42 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, narrow: int = 300) ->
     surplus = np.bincount(code[:n], minlength=len(symbols)) - np.bincount(code[n:], minlength=len(symbols))
     if max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()) > most:
         return None
-    most = min(most, max(n, m))
-    return walked(code[:n].tolist(), code[n:].tolist(), most) if most <= narrow else swept(code, n, most)
-
-
-def walked(a: list[int], b: list[int], most: int) -> int | None:
-    n, m = len(a), len(b)
-    reach: dict[int, int] = {}
-    for e in range(most + 1):
-        new = {}
-        for d in range(-min(e, m), min(e, n) + 1):  # diagonal: place in a less place in b
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -1)) if e else 0
-            i = min(i, n, m + d)
-            if i < max(0, d):
-                continue
-            while i < n and i - d < m and a[i] == b[i - d]:
-                i += 1
-            new[d] = i
-        if new.get(n - m, -1) >= n:
-            return e
-        reach = new
-    return None
-
-
-def swept(code: np.ndarray, n: int, most: int) -> int | None:
-    """``code``: the symbols of a, ``n`` of them, then those of b.  How far two places run on
-    alike is found by names of their next 1, 2, 4, ... symbols (equal names: equal runs)."""
-    m = len(code) - n
-    names = [np.concatenate((code[:n], [-1], code[n:], [-2])).astype(np.int64)]
-    while 2 ** len(names) <= min(n, m):
-        last, half = names[-1], 2 ** (len(names) - 1)
-        ahead = np.full(len(last), -1, np.int64)
-        ahead[: len(last) - half] = last[half:]
-        names.append(np.unique((last + 2) * (len(last) + 3) + ahead + 2, return_inverse=True)[1])
-    nowhere = -(1 << 40)
-    goal = n - m
-    far = np.full(2 * most + 3, nowhere)  # of diagonal d at d + most + 1
-    for e in range(most + 1):
-        lo, hi = max(-e, -m, goal - (most - e)), min(e, n, goal + (most - e))  # others cannot end in time
-        d = np.arange(lo, hi + 1)
-        at = slice(lo + most + 1, hi + most + 2)
-        if e:
-            i = np.maximum(np.maximum(far[at], far[lo + most : hi + most + 1]) + 1, far[lo + most + 2 : hi + most + 3])
-        else:
-            i = np.zeros(len(d), np.int64)
-        i = np.minimum(i, np.minimum(n, m + d))
-        live = np.flatnonzero(i >= np.maximum(0, d))
-        x = i[live]
-        y = x - d[live] + n + 1
-        for k in range(len(names) - 1, -1, -1):
-            step = 1 << k
-            while True:  # the longest names may hold many times
-                fits = np.flatnonzero((x + step <= n) & (y + step <= n + 1 + m))
-                fits = fits[names[k][x[fits]] == names[k][y[fits]]]
-                x[fits] += step
-                y[fits] += step
-                if k < len(names) - 1 or not len(fits):
-                    break
-        new = np.full(len(far), nowhere)
-        i = np.full(len(d), nowhere)
-        i[live] = x
-        new[at] = i
-        far = new
-        if lo <= goal <= hi and far[goal + most + 1] >= n:
-            return e
-    return None
+    return aligned(code[:n].tolist(), code[n:].tolist(), most)
+
+
+def aligned(a: list[int], b: list[int], most: int) -> int | None:
+    """The same column by column, differences of neighbouring cells held as bits of one
+    integer; rows that the band of ``most`` has not reached yet are added as it moves on.
+    Ends as soon as the last cell cannot come back into the band."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    rows = min(len(a), most)  # of the first column that lie in the band
+    full = (1 << rows) - 1
+    up, down, score = full, 0, rows
+    for j, y in enumerate(b):
+        if rows < len(a):  # the next row enters, its cell one more than the one above
+            up |= 1 << rows
+            rows += 1
+            score += 1
+            full = full << 1 | 1
+        here = places.get(y, 0) & full
+        across = (((here & up) + up) ^ up) | here
+        along = here | down
+        plus = (down | ~(across | up)) & full
+        minus = up & across
+        last = 1 << rows - 1
+        if plus & last:
+            score += 1
+        elif minus & last:
+            score -= 1
+        plus = (plus << 1 | 1) & full
+        minus = minus << 1 & full
+        up = (minus | ~(along | plus)) & full
+        down = plus & along
+        if score - (len(b) - j - 1) - (len(a) - rows) > most and rows == len(a):
+            return None
+    return score if score <= most else None
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -261,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small, "links")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, functions: int = 9, k: int = 5, most: int = 1000, look: int = 8, few: int = 8, rounds: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, functions: int = 9, k: int = 5, most: int = 1000, look: int = 8, few: int = 8, rounds: int = 3) -> DataFrame:
     """One row for each row with its class: id, ``class_id`` (the least id in it),
     ``n_links`` (texts other than its own that alignment linked it with, as far as
     links were needed to find the class), ``text_hash``.
