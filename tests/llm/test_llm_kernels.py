@@ -110,8 +110,12 @@ def test_edit_distance_against_the_table():
         a = [rng.choice((1, 2, 3)) for _ in range(rng.randint(0, 12))]
         b = [c for c in a if rng.random() < 0.8] if rng.random() < 0.5 else [rng.choice((1, 2, 3)) for _ in range(rng.randint(0, 12))]
         most, d = rng.randint(0, 8), table(a, b)
-        for narrow in (48, -1):
-            assert order_minhash.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most, narrow) == (d if d <= most else None)
+        assert order_minhash.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most) == (d if d <= most else None)
+    for _ in range(300):
+        a = [rng.choice(range(6)) for _ in range(rng.randint(1, 60))]
+        b = [rng.choice(range(6)) if rng.random() < 0.2 else c for c in a if rng.random() < 0.9]
+        most, d = rng.randint(1, 30), table(a, b)
+        assert order_minhash.aligned(a, b, most) == (d if d <= most else None) or abs(len(a) - len(b)) > most
 
 
 def test_sketches_agree_on_copies_and_follow_order():
