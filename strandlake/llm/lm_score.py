@@ -20,11 +20,12 @@ the ids that no window before it did, each with at least ``window - stride`` ids
 context (the first window with what there is).  Windows of many texts are computed
 as one batch of masked attention.  Every text ends with an end id, which is scored.
 
-Learning takes three passes over the training texts.  A sample (``fit_rows`` texts of
-least hash, a run of at most ``fit_ids`` ids of each) groups the ids in classes and gives
-the weights to start from.  Then all texts are counted: words for the base, ids, and
-neighbours.  Last, one text in ``fit_share``, however many that are, is read whole by
-trainers that each go on from those weights; the mean of theirs, by windows read, is the model.
+Everything the model holds is learned from all training texts, whole.  Their ids are
+written once; passes over them count ids, then the commonest ids beside each other id, by
+which ids are grouped in classes, then neighbours by class.  Last, trainers read every
+window of every text, and the mean of their weights, by windows read, is the model.  They
+all go on from weights fitted to a few runs (``fit_rows`` texts of least hash, at most
+``fit_ids`` ids of each): a mean of weights makes sense only from one start.
 
 Word counts for the base are needed by every text.  At most ``frequent`` words, the
 commonest, are broadcast; all other words of a text, the rare ones, leave the scoring pass
@@ -34,7 +35,7 @@ with it and are joined with their counts as rows of (text, word, times).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,10 @@ from .shared import cut, least_hashed
 from .suffix_dedup import row_key
 
 GROUP = 16
+#: The commonest ids, by which the neighbourhoods of others are told.
+MARKS = 96
+#: Windows of a step of the trainers.
+BATCH = 128
 
 
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -120,13 +125,19 @@ class WordTree:
 class AttentionModel:
     """Weights are float32; at most (inputs + classes) * width and some small matrices."""
 
-    def __init__(self, counts: np.ndarray, runs: list[np.ndarray], classes: int = 256, inputs: int = 2048, width: int = 24, window: int = 32, stride: int = 24, seed: int = 9):
-        """counts: of the ids of ``runs``; the last id is the end."""
+    def __init__(
+        self, counts: np.ndarray, runs: list[np.ndarray], classes: int = 256, inputs: int = 2048, width: int = 24, window: int = 32, stride: int = 24, seed: int = 9, beside: np.ndarray | None = None
+    ):
+        """counts: of the ids; the last id is the end; beside: cells of ``cells_beside``
+        with their counts, taken from ``runs`` where it is not given."""
         self.window, self.stride, self.seed, self.width = window, stride, seed, width
         n = len(counts)
         rng = np.random.default_rng(seed)
         self.groups = -(-classes // GROUP)
-        self.class_of = self.classify(counts, runs, classes, rng)
+        if beside is None:
+            flat, sizes = np.concatenate([*runs, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(r) for r in runs], np.int64)
+            beside = np.stack(np.unique(cells_beside(flat, sizes, *marked(counts, classes)), return_counts=True))
+        self.class_of = self.classify(counts, beside, classes)
         self.classes = self.groups * GROUP
         order = np.argsort(-counts, kind="stable")
         self.input_of = inputs + self.class_of
@@ -155,40 +166,34 @@ class AttentionModel:
         self.inside = np.log(n.reshape(self.inputs, self.groups, GROUP) / by_group[:, :, None]).astype(np.float32).reshape(-1, GROUP)
 
     @staticmethod
-    def classify(counts: np.ndarray, runs: list[np.ndarray], classes: int, rng: np.random.Generator) -> np.ndarray:
+    def classify(counts: np.ndarray, beside: np.ndarray, classes: int) -> np.ndarray:
         """Half of the classes hold one of the commonest ids each; the rest are means of
-        neighbourhoods, by which the other ids of the sample are grouped; ids that the
-        sample lacks are in the last but one; the end is in the last."""
+        neighbourhoods, by which the other ids are grouped; ids that were seen less than
+        three times are in the last but one; the end is in the last."""
         n, single = len(counts), classes // 2
         out = np.full(n, classes - 2)
         out[-1] = classes - 1
         order = np.argsort(-counts[:-1], kind="stable")
         out[order[:single]] = np.arange(len(order[:single]))
-        flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        if len(flat) > 1:
-            marks = 96
-            mark = np.full(n, marks)
-            mark[order[:marks]] = np.arange(len(order[:marks]))
-            seen = np.bincount(flat, minlength=n)
-            rest = np.flatnonzero((seen >= 3) & (out == classes - 2))
+        rest = np.flatnonzero((counts >= 3) & (out == classes - 2))
+        m = min(classes - single - 2, len(rest))
+        if m > 0:
             row = np.full(n, -1)
             row[rest] = np.arange(len(rest))
-            f = np.zeros((len(rest), 2 * (marks + 1)))
-            a, b = flat[:-1], flat[1:]
-            keep = row[b] >= 0
-            np.add.at(f, (row[b[keep]], mark[a[keep]]), 1)
-            keep = row[a] >= 0
-            np.add.at(f, (row[a[keep]], marks + 1 + mark[b[keep]]), 1)
-            if len(rest):
-                f = np.sqrt(f / f.sum(axis=1, keepdims=True).clip(1))
-                m = min(classes - single - 2, len(rest))
-                centre = f[np.argsort(-seen[rest], kind="stable")[:m]].copy()
-                for _ in range(10):
-                    near = (f @ centre.T * 2 - (centre**2).sum(axis=1)).argmax(axis=1)
-                    for c in range(m):
-                        if (near == c).any():
-                            centre[c] = np.average(f[near == c], axis=0, weights=seen[rest][near == c])
-                out[rest] = single + near
+            f = np.zeros((len(rest), 2 * (MARKS + 1)), np.float32)
+            at, cell = row[beside[0] // (2 * MARKS)], beside[0] % (2 * MARKS)
+            f[at[at >= 0], (cell + cell // MARKS)[at >= 0]] = beside[1][at >= 0]
+            for k in (0, MARKS + 1):  # neighbours that are no marks
+                f[:, k + MARKS] = (counts[rest] - f[:, k : k + MARKS].sum(axis=1)).clip(0)
+            f /= f.sum(axis=1, keepdims=True).clip(1)
+            np.sqrt(f, out=f)
+            centre = f[np.argsort(-counts[rest], kind="stable")[:m]].copy()
+            for _ in range(10):
+                near = (f @ centre.T * 2 - (centre**2).sum(axis=1)).argmax(axis=1)
+                for c in range(m):
+                    if (near == c).any():
+                        centre[c] = np.average(f[near == c], axis=0, weights=counts[rest][near == c])
+            out[rest] = single + near
         return out
 
     def read(self, ids: np.ndarray, skip: int = 0) -> tuple:
@@ -236,21 +241,27 @@ class AttentionModel:
         z += self.w["c"].take(group.take(order), axis=0)
         return order, edges, z
 
-    def windows_of(self, runs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Inputs, gold classes and whether a place is held, of windows end to end."""
-        out = []
-        for r in runs:
-            ins, gold = np.concatenate(([self.begin], self.input_of[r[:-1]])), self.class_of[r]
-            pad = -len(r) % self.window
-            out.append([np.pad(x, (0, pad)).reshape(-1, self.window) for x in (ins, gold, np.ones(len(r), np.float32))])
-        return tuple(np.concatenate(x) for x in zip(*out))
+    def windows_of(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Inputs, gold classes and whether a place is held, of the windows, end to end, of
+        texts whose ids lie end to end."""
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        ins = np.empty(len(flat), np.int64)
+        ins[1:] = self.input_of.take(flat[:-1])
+        ins[begin[sizes > 0]] = self.begin
+        many = -(-sizes // self.window)
+        first = spread(np.zeros(len(sizes), np.int64), many) * self.window + np.repeat(begin, many)
+        ids = first[:, None] + np.arange(self.window)
+        held = ids < np.repeat(ends, many)[:, None]
+        ids[~held] = 0
+        return ins.take(ids), self.class_of.take(flat).take(ids), held.astype(np.float32)
 
     def fit(self, runs: list[np.ndarray], steps: int = 500, batch: int = 64, rate: float = 0.01) -> None:
         """Adam on the mean log loss of windows of the runs."""
         if not any(len(r) for r in runs):
             return
         rng = np.random.default_rng(self.seed)
-        xs, ys, ms = self.windows_of([r for r in runs if len(r)])
+        xs, ys, ms = self.windows_of(np.concatenate(runs), np.array([len(r) for r in runs]))
         learner = Adam(self, rate)
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(xs), batch)
@@ -261,37 +272,44 @@ class AttentionModel:
         flat = lambda a: a.reshape(-1, a.shape[-1])
         x, q, k, v = self.read(ids)
         s, total, c = self.attend(q, k, v)
-        s = s / total
+        s /= total
         h, ins, group, place = flat(x) + flat(c) @ w["O"], ids.reshape(-1), (gold.reshape(-1) // GROUP).astype(np.uint8), gold.reshape(-1) % GROUP
         weight = (held / n).reshape(-1)[:, None]
         g = {name: np.zeros_like(w[name]) for name in ("V", "c", "P", "E")}
 
-        def surplus(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), at] -= 1
+        def surplus(p: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            np.exp(p, out=p)
+            p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
+            p.reshape(-1)[np.arange(len(p)) * p.shape[1] + at] -= 1
+            p *= weight
             return p
 
-        p = surplus(self.groups_of(h, ins), group) * weight
-        g["U"], g["b"] = h.T @ p, p.sum(axis=0)
+        p = surplus(self.groups_of(h, ins), group, weight)
+        g["U"], g["b"] = h.T @ p, np.ones(len(p), p.dtype) @ p
         dh = p @ w["U"].T
         order, edges, z = self.classes_in(h, ins, group)
-        p = surplus(z, place[order]) * weight[order]
+        p = surplus(z, place.take(order), weight.take(order, axis=0))
+        h, back = h.take(order, axis=0), np.empty_like(dh)
         for j in range(self.groups):
-            at, rows = slice(edges[j], edges[j + 1]), order[edges[j] : edges[j + 1]]
-            g["V"][j], g["c"][j] = h[rows].T @ p[at], p[at].sum(axis=0)
-            dh[rows] += p[at] @ w["V"][j].T
+            at = slice(edges[j], edges[j + 1])
+            g["V"][j], g["c"][j] = h[at].T @ p[at], p[at].sum(axis=0)
+            np.matmul(p[at], w["V"][j].T, out=back[at])
+        dh[order] += back
         dh = dh.reshape(x.shape)
         g["O"] = flat(c).T @ flat(dh)
         dc = dh @ w["O"].T
         ds = np.matmul(dc, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), dc)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) / math.sqrt(d)
+        ds -= ((dc * c) @ np.ones(d, c.dtype))[:, :, None]
+        ds *= s
+        ds *= 1 / math.sqrt(d)
         three = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv), axis=2)
         g["QKV"] = flat(x).T @ flat(three)
         dx = dh + three @ w["QKV"].T
         g["P"][: ids.shape[1]] = dx.sum(axis=0)
-        np.add.at(g["E"], ids.ravel(), flat(dx))
+        order = np.argsort(ins, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(ins[order])))
+        g["E"][ins[order[first]]] = np.add.reduceat(flat(dx).take(order, axis=0), first)
         return g
 
     def scores(self, flat: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
@@ -353,10 +371,39 @@ class Adam:
             v -= self.rate * part * (self.m1[name] / (1 - 0.9**self.n)) / (np.sqrt(self.m2[name] / (1 - 0.98**self.n)) + 1e-8)
 
 
+def marked(counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id its place among the marks (MARKS: none), and whether it has no class of its own."""
+    order = np.argsort(-counts[:-1], kind="stable")
+    mark, rest = np.full(len(counts), MARKS), np.ones(len(counts), bool)
+    mark[order[:MARKS]] = np.arange(len(order[:MARKS]))
+    rest[order[: classes // 2]] = rest[-1] = False
+    return mark, rest
+
+
+def cells_beside(flat: np.ndarray, sizes: np.ndarray, mark: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """A cell for each mark before (id, mark) or after (id, MARKS + mark) an id without a
+    class of its own, in texts whose ids lie end to end."""
+    a, b = flat[:-1], flat[1:]
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(sizes)[sizes > 0] - 1] = False
+    inside = inside[:-1]
+    ma, mb = mark[a], mark[b]
+    before, after = inside & (ma < MARKS) & rest[b], inside & (mb < MARKS) & rest[a]
+    return np.concatenate((b[before] * (2 * MARKS) + ma[before], a[after] * (2 * MARKS) + MARKS + mb[after]))
+
+
 def with_end(flat: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(flat.astype(np.int64), np.cumsum(sizes), end), sizes + 1
 
 
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows of bytes end to end, and how many each row has."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (ends[-1] - ends[0]) // width, ends[0]).astype(np.int64), np.diff(ends) // width
+
+
 def commonest(counts: DataFrame, most: int) -> DataFrame:
     """Rows of the greatest counts, at most ``most`` and whole steps of 1/64 of a power of
     two; a histogram of 4,096 steps at most says where they begin, so nothing is ordered."""
@@ -371,7 +418,7 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
 
 
 def score_texts(
-    df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, frequent: int = 400_000, fit_rows: int = 1500, fit_ids: int = 384, fit_share: int = 64
+    df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, frequent: int = 400_000, fit_rows: int = 1500, fit_ids: int = 384
 ) -> DataFrame:
     """One row for each row: id, ``held_out`` (``train`` does not hold), ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10 probabilities).
@@ -402,71 +449,95 @@ def score_texts(
     few = least_hashed(taught, F.xxhash64(F.lit(17), "_id", "_text"), fit_rows)
     sample = sorted((r[1], r[0]) for r in few.repartition(16).mapInArrow(runs, "_ids array<int>, _u long").collect())  # fit_rows at most
     lines = [np.array(x) for _, x in sample]
-    model = AttentionModel(np.bincount(np.concatenate(lines), minlength=end + 1).astype(float) if lines else np.zeros(end + 1), lines)
-    started = context.broadcast(model)
+    kind = np.uint16 if end < 1 << 16 else np.uint32
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of words, of ids (cells below end) and of neighbours (the cells above)."""
-        model, words = started.value, word_ids(tokenizer)
-        ids, pairs = np.zeros(end + 1), np.zeros(model.inputs * model.classes)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ids(tokenizer)
+        for batch in batches:
+            for _, texts in slabs_of(batch.column(0)):
+                flat, sizes = with_end(*words.encode(texts), end)
+                at = np.append(0, np.cumsum(sizes)) * np.dtype(kind).itemsize
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat.astype(kind))])], ["_ids"])
+
+    ids = cut(taught.select("_text").mapInArrow(encoded, "_ids binary"), "ids")
+
+    def tally(size: int, cells: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Cells that the ids of all training texts fall in, and how often."""
 
-        def rows(word: pa.Array, cell: pa.Array, c: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([word.cast(pa.string()), cell.cast(pa.int32()), c.cast(pa.int64())], ["_word", "_cell", "_c"])
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(size, np.int64)
+            for batch in batches:
+                for _, part in slabs_of(batch.column(0)):
+                    np.add.at(n, cells(*unpacked(part, kind)), 1)
+            some = np.flatnonzero(n)
+            for k in range(0, len(some), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(some[k : k + (1 << 18)], pa.int32()), pa.array(n[some[k : k + (1 << 18)]])], ["_cell", "_c"])
 
+        got = ids.mapInArrow(task, "_cell int, _c long").groupBy("_cell").agg(F.sum("_c").alias("_c")).toArrow()  # one row a cell at most
+        return got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy()
+
+    def dense(size: int, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        out[cell] = n
+        return out
+
+    seen = dense(end + 1, *tally(end + 1, lambda flat, sizes: flat))
+    texts, marks = int(seen[end]), marked(seen, 256)
+    beside = tally((end + 1) * 2 * MARKS, lambda flat, sizes: cells_beside(flat, sizes, *marks))
+    model = AttentionModel(seen, [], classes=256, beside=np.stack(beside))
+    input_of, class_of, begin_id, classes = model.input_of, model.class_of, model.begin, model.classes
+
+    def after(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        before = np.append(begin_id, input_of[flat[:-1]])
+        before[np.cumsum(sizes) - sizes] = begin_id
+        return before * classes + class_of[flat]
+
+    model.follow(seen, dense(model.inputs * classes, *tally(model.inputs * classes, after)))
+    model.fit(lines)
+    started = context.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slabs_of(batch.column(0)):
                 found = pc.value_counts(tokens_of(texts)[0])
-                yield rows(found.field(0), pa.nulls(len(found)), found.field(1))
-                flat, sizes = with_end(*words.encode(texts), end)
-                before = np.append(model.begin, model.input_of[flat[:-1]])
-                before[np.cumsum(sizes) - sizes] = model.begin
-                ids += np.bincount(flat, minlength=len(ids))
-                pairs += np.bincount(before * model.classes + model.class_of[flat], minlength=len(pairs))
-        cells = np.concatenate((ids, pairs))
-        some = np.flatnonzero(cells)
-        yield rows(pa.nulls(len(some)), pa.array(some), pa.array(cells[some].astype(np.int64)))
-
-    counted = cut(taught.select("_text").mapInArrow(count, "_word string, _cell int, _c long").groupBy("_word", "_cell").agg(F.sum("_c").alias("_c")), "counts")
-    cells = np.zeros(end + 1 + model.inputs * model.classes)
-    got = counted.filter("_cell is not null").select("_cell", "_c").toArrow()  # one row for each id and neighbour at most
-    cells[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    seen = cells[: end + 1]
-    counts = counted.filter("_word is not null").select("_word", "_c")
-    texts = int(seen[end])
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1).cast(pa.int64())], ["_word", "_c"])
+
+    counts = cut(taught.select("_text").mapInArrow(count, "_word string, _c long").groupBy("_word").agg(F.sum("_c").alias("_c")), "counts")
     total, kinds_of_word = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + texts, kinds_of_word + (texts > 0)
     got = commonest(counts, frequent).toArrow()
     top, top_c = got.column(0).combine_chunks().cast(pa.large_string()), got.column(1).to_numpy().astype(float)
 
-    model.follow(seen, cells[end + 1 :])
-    model.fit(lines)
-    started = context.broadcast(model)
-
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = started.value, word_ids(tokenizer)
-        model.w = {k: v.copy() for k, v in model.w.items()}
+        model = started.value
+        start = model.w
+        model.w = {k: v.copy() for k, v in start.items()}
         learner, n, held = Adam(model, 0.001), 0, []
+
+        def learn() -> int:
+            xs, ys, ms = (np.concatenate(x) for x in zip(*held))
+            for at in np.array_split(np.random.default_rng(n).permutation(len(xs)), -(-len(xs) // BATCH)):
+                learner.step(xs[at], ys[at], ms[at], 1.0)
+            return len(xs)
+
         for batch in batches:
-            for _, ids in words.slabs(batch.column(0), end):
-                held.append(model.windows_of([x.astype(np.int64) for x in ids]))
-                if sum(len(x[0]) for x in held) < 64:
-                    continue
-                xs, ys, ms = (np.concatenate(x) for x in zip(*held))
-                held = []
-                for at in np.array_split(np.random.default_rng(n).permutation(len(xs)), len(xs) // 64):
-                    learner.step(xs[at], ys[at], ms[at], 1.0)
-                    n += len(at)
+            for _, part in slabs_of(batch.column(0)):
+                held.append(model.windows_of(*unpacked(part, kind)))
+                if sum(len(x[0]) for x in held) >= BATCH:
+                    n += learn()
+                    held = []
+        if held:  # the last windows, fewer than a batch
+            n += learn()
+        body, model.w = np.concatenate([model.w[k].ravel() for k in sorted(model.w)]).tobytes(), start
         if n:
-            body = np.concatenate([model.w[k].ravel() for k in sorted(model.w)]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([body], pa.binary()), pa.array([n], pa.int64())], ["_slot", "_w", "_n"])
 
     def mean(df: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(df["_w"], df["_n"])) / df["_n"].sum()
         return pd.DataFrame({"_slot": df["_slot"].iloc[:1], "_w": [total.astype(np.float32).tobytes()], "_n": [df["_n"].sum()]})
 
-    trainers = max(1, min(4096, -(-texts // (fit_share * 500))))
-    part = taught.filter(F.pmod(F.xxhash64(F.lit(29), "_id", "_text"), F.lit(fit_share)) == 0).select("_text")
-    learned = part.repartition(trainers).mapInArrow(trained, "_slot int, _w binary, _n long").groupBy("_slot").applyInPandas(mean, "_slot int, _w binary, _n long").collect()  # 16 rows at most
+    trainers = max(1, min(4096, -(-texts // 8000)))
+    learned = ids.coalesce(trainers).mapInArrow(trained, "_slot int, _w binary, _n long").groupBy("_slot").applyInPandas(mean, "_slot int, _w binary, _n long").collect()  # 16 rows at most
     if learned:
         flat = sum(np.frombuffer(r["_w"], np.float32).astype(float) * r["_n"] for r in sorted(learned)) / sum(r["_n"] for r in learned)
         for name in sorted(model.w):
@@ -508,7 +579,7 @@ def score_texts(
                 flat, share, left = flat.take(at), share.take(at), left.take(at)
                 flat, sizes = with_end(flat, np.diff(last, prepend=0), end)
                 share, left = np.insert(share, last, 0), np.insert(left, last, 1)
-                each = model.scores(flat, sizes)
+                each = model.scores(flat, sizes).astype(float)  # in 32 bits the least probabilities are zero
                 np.exp(each, out=each)
                 each *= left
                 each += share

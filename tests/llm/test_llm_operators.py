@@ -380,3 +380,20 @@ def test_pipeline_stages(spark, data, tmp_path):
     kept = docs.count()
     assert 100 < kept < 200
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, data).select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_each_training_text_moves_the_model(spark):
+    """Texts of the same ids and neighbours in another order: only the weights can tell."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["a", *(w for _ in range(40) for w in (rng.choice("bcdefg"), "a"))])) for i in range(12)]
+    ask = (100, " ".join(["a b a c a g"] * 20))
+
+    def score(texts):
+        df = spark.createDataFrame([*texts, ask], "doc_id long, text string").coalesce(1)
+        return lm_score.score_texts(df, F.col("doc_id") < 100, fit_rows=1).filter("doc_id = 100").first()["score"]
+
+    as_is = score(rows)
+    for k in (2, 5, 8):
+        inner = rows[k][1].split()[1::2]
+        turned = " ".join(["a", *(w for x in sorted(inner) for w in (x, "a"))])
+        assert score([(i, turned if i == k else t) for i, t in rows]) != as_is, k
