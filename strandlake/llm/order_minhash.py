@@ -16,11 +16,14 @@ already: first each text meets the least text of its keys; then, while there are
 left and that joins classes, each meets a few others of one of its keys; in the end all pairs of a key that are in different classes are compared.  Only what cannot
 be near is left out: lengths that differ too much, and counts of words (in 512 classes of
 words, which bound the edit distance from below) that do.  A large key is compared by
-pairs of its blocks.
+pairs of its blocks.  A pair is taken up in the least key that its texts share and in no
+other, so it is written and aligned once however many keys it agrees on.  Pairs to align
+are dealt by a grid of blocks of texts: a cell gets each of its texts once, not once a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -170,14 +173,19 @@ def aligned(a: list[int], b: list[int], most: int) -> int | None:
     return score if score <= most else None
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sequences of word hashes have that edit similarity."""
+def neighbours(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of words beside each other, and how often each stands there."""
+    return np.unique(words[:-1] * MULT + mixed(words[1:]), return_counts=True)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float, beside: tuple | None = None) -> bool:
+    """Whether two sequences of word hashes have that edit similarity; ``beside``: the
+    neighbours of both, where they are known."""
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    pairs = [np.sort(x[:-1] * MULT + mixed(x[1:])) for x in (a, b)]
-    (pa_, ca), (pb, cb) = (np.unique(p, return_counts=True) for p in pairs)
+    (pa_, ca), (pb, cb) = beside or (neighbours(a), neighbours(b))
     _, i, j = np.intersect1d(pa_, pb, assume_unique=True, return_indices=True)
     if np.minimum(ca[i], cb[j]).sum() < longest - 1 - 2 * most:  # an edit takes two pairs of neighbours at most
         return False
@@ -208,6 +216,14 @@ def may_be_near(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: in
     return out
 
 
+def shares_less(keys: np.ndarray, own: np.ndarray, key: int) -> np.ndarray:
+    """Which rows of keys hold one of ``own`` that is less than ``key``."""
+    less = own[own < key]  # ascending
+    if not len(less) or not len(keys):
+        return np.zeros(len(keys), bool)
+    return (less[np.searchsorted(less, keys).clip(max=len(less) - 1)] == keys).any(axis=1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for links (a, b), a < b.
 
@@ -283,7 +299,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = shared.select("_h").distinct()
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of different classes that may be near, of one block or of two."""
+        """Pairs of different classes that may be near, of one block or of two, where the
+        key is the least that both have: texts of different classes meet in all they share."""
         held: list[tuple] = []
 
         def settle() -> set[tuple[bytes, bytes]]:
@@ -292,17 +309,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             number = {r: n for n, r in enumerate({x[4] for x in held})}
             roots = np.array([number[x[4]] for x in held])
             counts = np.frombuffer(b"".join(x[5] for x in held), np.uint8).reshape(-1, CLASSES)
+            own = [np.sort(np.frombuffer(x[6], np.int64)) for x in held]
+            widest = max(map(len, own))
+            keys = np.array([np.append(x, np.repeat(x[-1], widest - len(x))) for x in own])
             out = set()
             for x in range(len(held) - 1):
                 at = x + 1 + np.flatnonzero((roots[x + 1 :] != roots[x]) & ((blocks[x + 1 :] != blocks[x]) | (i == j)))
                 if len(at):
-                    for y in at[may_be_near(counts[at], sizes[at], counts[x], int(sizes[x]), similarity)].tolist():
+                    at = at[may_be_near(counts[at], sizes[at], counts[x], int(sizes[x]), similarity)]
+                    for y in at[~shares_less(keys[at], own[x], held[x][0][0])].tolist():
                         out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
             return out
 
         out: set[tuple[bytes, bytes]] = set()
         for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_i", "_j", "_h", "_block", "_words", "_root", "_counts"))):
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_i", "_j", "_h", "_block", "_words", "_root", "_counts", "_keys"))):
                 if held and (key, i, j) != held[0][0]:
                     out |= settle()
                     held = []
@@ -332,24 +353,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bodies = cut(bodies, "texts")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a cell: its texts (``_z``), then its pairs."""
         z = zstandard.ZstdDecompressor()
+        bodies: dict[bytes, bytes] = {}
+        words: dict[bytes, tuple] = {}
+        cell, waiting, links = None, [], []
+
+        def settle() -> None:
+            for at in range(0, len(waiting), 200):
+                some = waiting[at : at + 200]
+                if sum(x.nbytes for x, _ in words.values()) > 32 << 20:
+                    words.clear()
+                names = list({x for pair in some for x in pair} - words.keys())
+                texts = pa.array([z.decompress(bodies[x]).decode() for x in names], pa.large_string())
+                for first, part in slabs_of(texts):
+                    flat, sizes = hashes_of(part)
+                    words.update((x, (w, neighbours(w))) for x, w in zip(names[first : first + len(part)], np.split(flat, np.cumsum(sizes)[:-1])))
+                for x, y in some:
+                    (wx, nx), (wy, ny) = words[x], words[y]
+                    if alike(wx, wy, similarity, (nx, ny)):
+                        links.append((x, y))
+            waiting.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                bodies = dict(zip(a + b, part.column("_za").to_pylist() + part.column("_zb").to_pylist()))
-                words: dict[bytes, np.ndarray] = {}
-                names, texts = list(bodies), pa.array([z.decompress(x).decode() for x in bodies.values()])
-                for first, some in slabs_of(texts):
-                    flat, sizes = hashes_of(some)
-                    words.update(zip(names[first : first + len(some)], np.split(flat, np.cumsum(sizes)[:-1])))
-                keep = pa.array([alike(words[x], words[y], similarity) for x, y in zip(a, b)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
-
-    def verified(some: DataFrame) -> DataFrame:
-        left = bodies.select(F.col("_h").alias("a"), F.col("_z").alias("_za"))
-        right = bodies.select(F.col("_h").alias("b"), F.col("_z").alias("_zb"))
-        return some.join(left, "a").join(right, "b").select("a", "b", "_za", "_zb").mapInArrow(align, "a binary, b binary")
+            for c, a, b, body in zip(*(batch.column(k).to_pylist() for k in ("_cell", "a", "b", "_z"))):
+                if c != cell:
+                    settle()
+                    bodies.clear()
+                    words.clear()
+                    cell = c
+                if body is None:
+                    waiting.append((a, b))
+                else:
+                    bodies[a] = body
+            if len(links) > 20_000:
+                yield pairs_batch(links)
+                links.clear()
+        settle()
+        yield pairs_batch(links)
+
+    def verified(some: DataFrame, n: int) -> DataFrame:
+        """Which of ``n`` pairs are alike: about 500 in a cell of a grid over texts."""
+        side = math.ceil(math.sqrt(max(1, n) / 500))
+        block = lambda x: F.pmod(F.xxhash64(F.lit(41), x), F.lit(side))
+        celled = some.select((block("a") * side + block("b")).alias("_cell"), "a", "b")
+        asked = celled.select("_cell", "a").unionByName(celled.select("_cell", F.col("b").alias("a"))).distinct()
+        held = asked.join(bodies.select(F.col("_h").alias("a"), "_z"), "a").select("_cell", "a", F.lit(None).cast("binary").alias("b"), "_z")
+        dealt = held.unionByName(celled.withColumn("_z", F.lit(None).cast("binary"))).withColumn("_last", F.col("_z").isNull())
+        dealt = dealt.repartition(min(4096, max(8, n // 1000)), "_cell").sortWithinPartitions("_cell", "_last")
+        return dealt.select("_cell", "a", "b", "_z").mapInArrow(align, "a binary, b binary")
 
     pair_sql = "a binary, b binary"
     similar = F.least("_words", "_least._words") >= F.greatest("_words", "_least._words") * similarity - 1e-9
@@ -360,9 +412,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_counts = known.select(F.col("_h").alias("a"), F.col("_words").alias("_lwords"), F.col("_counts").alias("_lcounts"))
     first = first.join(own_counts, "b").join(least_counts, "a").select(F.col("b").alias("_h"), F.col("a").alias("_lh"), "_words", "_lwords", "_counts", "_lcounts")
     tried = cut(first.mapInArrow(led, pair_sql).distinct(), "pairs")
-    links = cut(verified(tried), "aligned")
+    links = cut(verified(tried, tried.count()), "aligned")
     roots = cut(components(links), "roots")
-    left = shared.join(texts.select("_h", "_counts"), "_h")
+    left = shared
     turn, yielded = 0, True
     while True:
         left = left.drop("_root").join(roots.select(F.col("node").alias("_h"), F.col("root").alias("_root")), "_h", "left").withColumn("_root", F.coalesce("_root", "_h"))
@@ -376,26 +428,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         last = open_pairs <= look * rows_left or not yielded or turn == rounds
         if last:
             blocks = F.ceil(F.col("_n") / most).cast("int")
-            dealt = left.withColumn("_block", F.pmod(F.xxhash64("_h"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_h", "_block", "_words", "_root", "_counts")
+            dealt = left.join(texts.select("_h", "_counts", "_keys"), "_h").withColumn("_block", F.pmod(F.xxhash64("_h"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_h", "_block", "_words", "_root", "_counts", "_keys")
             pairs = dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(crossed, pair_sql)
         else:
             body = F.struct("_h", "_root", "_words", "_counts")
-            chosen = left.groupBy("_h").agg(F.max(F.struct(F.col("_n") if turn == 0 else F.xxhash64(F.lit(turn), "_key"), "_key", F.col("_n").alias("n"))).alias("_p"), F.first(body).alias("_x"))
-            chosen = chosen.select(F.col("_p._key").alias("_key"), F.pmod(F.xxhash64(F.lit(turn), "_h"), F.ceil(F.col("_p.n") / most)).alias("_b"), "_x")
+            chosen = left.groupBy("_h").agg(F.max(F.struct(F.col("_n") if turn == 0 else F.xxhash64(F.lit(turn), "_key"), "_key", F.col("_n").alias("n"))).alias("_p"), F.first("_root").alias("_root"), F.first("_words").alias("_words"))
+            chosen = chosen.join(texts.select("_h", "_counts"), "_h").withColumn("_x", body).select(F.col("_p._key").alias("_key"), F.pmod(F.xxhash64(F.lit(turn), "_h"), F.ceil(F.col("_p.n") / most)).alias("_b"), "_x")
             ahead = Window.partitionBy("_key", "_b").orderBy(F.xxhash64(F.lit(turn + 1), "_x._h")).rowsBetween(1, few)
             met = chosen.withColumn("_ys", F.collect_list("_x").over(ahead)).select("_x", F.explode("_ys").alias("_y")).filter("_x._root != _y._root")
             met = met.select("_x._h", "_x._words", "_x._counts", F.col("_y._h").alias("_lh"), F.col("_y._words").alias("_lwords"), F.col("_y._counts").alias("_lcounts"))
             pairs = met.mapInArrow(led, pair_sql)
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = cut(verified(pairs), "aligned")
+        n_pairs = pairs.count()
+        more = cut(verified(pairs, n_pairs), "aligned")
         found = more.count()
         links = links.unionByName(more)
         if found:
             roots = cut(components(links), "roots")
         if last:
             break
-        yielded = found > 0.05 * pairs.count()
+        yielded = found > 0.05 * n_pairs
         tried, turn = tried.unionByName(pairs), turn + 1
     degree = links.select(F.col("a").alias("_h")).unionByName(links.select(F.col("b").alias("_h"))).groupBy("_h").agg(F.count("*").alias("n_links"))
     known = texts.select("_h", "_rep", "_null").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("_root", F.coalesce("root", "_h"))

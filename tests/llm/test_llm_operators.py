@@ -119,6 +119,49 @@ def test_near_duplicates_of_mixed_similarity(spark, most, look):
     assert 8 <= len(set(class_of)) < 16
 
 
+def rows_of(spark, name):
+    """Rows that the nodes whose description has ``name`` have made in this session."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for k in range(executions.size()):
+        number = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for n in range(nodes.size()):
+            node = nodes.apply(n)
+            for m in range(node.metrics().size() if name in node.desc() else 0):
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_a_pair_is_compared_once_however_many_keys_it_shares(spark):
+    rng = random.Random(2)
+    base, bodies = [rng.choice(VOCAB) for _ in range(200)], []
+    for _ in range(40):  # each a ninth away from the base, so that most pairs lie below 0.8
+        w = list(base)
+        for at in rng.sample(range(200), 23):
+            w[at] = rng.choice(VOCAB)
+        bodies.append(w)
+    hashes = [np.array([xxhash.xxh3_64_intdigest(x) for x in w], np.uint64) for w in bodies]
+    keys = [set(order_minhash.sketches(h, np.array([200]), 9, 5)[0].tolist()) for h in hashes]
+    class_of, shared = list(range(40)), 0
+    for i in range(40):
+        for j in range(i):
+            shared += len(keys[i] & keys[j]) > 0
+            if keys[i] & keys[j] and order_minhash.alike(hashes[i], hashes[j], 0.8):
+                a, b = class_of[i], class_of[j]
+                class_of = [min(a, b) if c in (a, b) else c for c in class_of]
+    before = rows_of(spark, "crossed(")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keys in several tasks
+    try:
+        got = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bodies)], "doc_id long, text string"), look=10_000)
+        assert {r["doc_id"]: r["class_id"] for r in got.collect()} == dict(enumerate(class_of)) and len(set(class_of)) > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 0.5 * shared < rows_of(spark, "crossed(") - before <= shared
+
+
 def test_near_duplicates_against_all_pairs(spark, nothing):
     rng = random.Random(11)
     bodies: list[list[str]] = []
