@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .shared import cut
+from .shared import cut, lean
 
 WORD = re.compile(r"[^\W_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -164,6 +164,7 @@ def benchmark_hits(
     kind = benchmark.schema[item_id].dataType
     items = benchmark.select(F.col(item_id).alias("_item"), F.coalesce(item_text, F.lit("")).alias("_text"))
 
+    @lean
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -193,6 +194,7 @@ def _with_hits(df: DataFrame, items: list[tuple], text_col: str, threshold: floa
     hit_type = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("similarity", pa.float64()), ("start", pa.int64()), ("words", pa.int64())]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = index.value, {}
         for batch in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import gathered, slabs_of
+from .shared import lean
 
 SPACE = 1 << 17
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +227,7 @@ def predict_languages(
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     token = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(field)  # SPACE x labels weights, lexicon_words x labels words
-    text_at = len(names)
+    text_at = names.index(text_col) if text_col in names else len(names)  # a text that is carried is sent once
 
     def places(model: Field, words: pa.Array) -> np.ndarray:
         """Rows of distinct words in the worker's table of scores."""
@@ -244,6 +245,7 @@ def predict_languages(
             _WORDS["table"] = np.concatenate((_WORDS["table"], *parts))
         return out
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -270,13 +272,13 @@ def predict_languages(
                             best = int(mean[row].argmax())
                             each = [model.labels[j] for j in p[row, : sizes[k]].argmax(axis=1)] if with_words else []
                             results[k] = (model.labels[best], min(1.0, max(0.0, float(mean[row, best]))), each)
-                data = part.columns[:text_at] + [pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.float64())]
+                data = part.columns[: len(names)] + [pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.float64())]
                 if with_words:
                     data.append(pa.array([r[2] for r in results], pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays(data, names + ["lang_pred", "score"] + ["word_langs"] * with_words)
 
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", lang_pred string, score double" + ", word_langs array<string>" * with_words
-    return df.select(*names, F.col(text_col).alias("_text_of_row")).mapInArrow(task, schema)
+    return df.select(*names, *[text_col] * (text_col not in names)).mapInArrow(task, schema)
 
 
 def masked(model: Field, scores: np.ndarray, held: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import slabs_of
-from .shared import cut
+from .shared import cut, lean
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 CLASSES = 512
@@ -266,6 +266,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         each = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
         return each[words.indices.to_numpy()] if len(each) else np.zeros(0, np.uint64), sizes
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, some in slabs_of(batch.column(1)):
@@ -285,6 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = rows.filter("_h is not null").groupBy("_h").agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.first("_words").alias("_words"), F.first("_counts").alias("_counts"), F.max(F.col("_id").isNull()).alias("_null"))
     texts = cut(texts, "distinct-texts")
 
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(1)
@@ -298,6 +300,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = cut(member.join(counted, "_key"), "shared-keys")
     asked = shared.select("_h").distinct()
 
+    @lean
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of different classes that may be near, of one block or of two, where the
         key is the least that both have: texts of different classes meet in all they share."""
@@ -333,6 +336,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 held.append(((key, i, j), *row))
         yield pairs_batch(list(out | settle() if held else out))
 
+    @lean
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("_h", "_lh"))
@@ -344,6 +348,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -352,6 +357,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bodies = own.filter("_text is not null").mapInArrow(packed, "_h binary, _z binary").join(asked, "_h", "left_semi").groupBy("_h").agg(F.first("_z").alias("_z"))
     bodies = cut(bodies, "texts")
 
+    @lean
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a cell: its texts (``_z``), then its pairs."""
         z = zstandard.ZstdDecompressor()

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import lean
+
 SLAB = 3 << 20
 _LOADED: dict[str, "WordIds"] = {}
 
@@ -297,6 +299,7 @@ def pack_documents(
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         packer = Packer(capacity, window, TaskContext.get().partitionId() << 40)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, lean
 
 SLICE = 2 << 20
 #: Keys with over this part of all anchors are joined by broadcast, so there are no more of them.
@@ -245,6 +245,7 @@ def remove_repeats(
     core = length - reach + 1
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
+    @lean
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -268,6 +269,7 @@ def remove_repeats(
                     ["_key", "_ctx", "_rk", "_s", "_n", "_r"],
                 )
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -276,6 +278,7 @@ def remove_repeats(
             data = [pa.array([row_key(i, t or b"") for i, t in zip(ids, texts)], pa.binary()), pa.array([None if t is None else z.compress(t) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays(data + [batch.column(0), *batch.columns[2:]], ["_rk", "_z", *names])
 
+    @lean
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -300,6 +303,7 @@ def remove_repeats(
         c = list(zip(*rows)) or [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in c[2]], span_type)], ["_key", "_ctx", "_spans"])
 
+    @lean
     def expansion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -324,6 +328,7 @@ def remove_repeats(
         if held:
             yield settle()
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, ctx, m, body in zip(batch.column("_key").to_pylist(), batch.column("_ctx").to_pylist(), batch.column("_m").to_pylist(), batch.column("_body").to_pylist()):
@@ -336,6 +341,7 @@ def remove_repeats(
     names = [id_col, *[c for c in carry if c not in (id_col, text_col)]]
     out_names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"] + ["kept_text", "spans"] * with_text
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -288,3 +288,23 @@ def test_scan_breaks_ties_by_the_smaller_id():
     book = anisotropic.Codebook(x)
     got = anisotropic.scan(book, np.arange(400), x, book.pairs(x), 7, x[7], 5, 20)
     assert [i for i, _ in got] == [100, 101, 102, 103, 104] and len({s for _, s in got}) == 1
+
+
+def test_tasks_leave_no_unused_memory():
+    import resource
+
+    import pyarrow as pa
+    from strandlake.llm.shared import lean
+
+    page = resource.getpagesize()
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * page >> 20
+
+    @lean
+    def task(batches):
+        for batch in batches:
+            rows = [bytes(200) for _ in range(600_000)]  # small blocks, which the allocator keeps
+            yield batch.slice(len(rows) % 1)
+
+    before = held()
+    assert [b.num_rows for b in task(iter([pa.RecordBatch.from_arrays([pa.array([1, 2])], ["a"])]))] == [2]
+    assert task.__name__ == "task" and held() - before < 60

@@ -440,3 +440,13 @@ def test_each_training_text_moves_the_model(spark):
         inner = rows[k][1].split()[1::2]
         turned = " ".join(["a", *(w for x in sorted(inner) for w in (x, "a"))])
         assert score([(i, turned if i == k else t) for i, t in rows]) != as_is, k
+
+
+def test_a_carried_text_is_sent_once(spark):
+    rows = [(i, ("abba anna " if i % 2 else "xyzz yxxz ") * 5, "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.predict_languages(df, carry=("text", "lang"))
+    sent = out._jdf.queryExecution().analyzed().children().apply(0).output()
+    assert sent.size() == 3  # id, text, lang
+    assert all(r["lang_pred"] == r["lang"] and r["text"] == rows[r["doc_id"]][1] for r in out.collect()) and out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert {r["lang_pred"] for r in language_id.predict_languages(df, id_col="text").collect()} == {"a", "b"}  # the text as id
