@@ -34,6 +34,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .packing import slabs_of
 from .shared import cut, lean
@@ -224,12 +225,42 @@ def shares_less(keys: np.ndarray, own: np.ndarray, key: int) -> np.ndarray:
     return (less[np.searchsorted(less, keys).clip(max=len(less) - 1)] == keys).any(axis=1)
 
 
-def components(links: DataFrame) -> DataFrame:
+def joined(links: Iterator[tuple], batch: int = 50_000) -> Iterator[list[tuple]]:
+    """Pairs (node, least node of its component) of all links, by union and find."""
+    up: dict = {}
+
+    def root(x: object) -> object:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+        up[max(a, b)] = min(a, b)
+    names = list(up)
+    for at in range(0, len(names), batch):
+        yield [(x, root(x)) for x in names[at : at + batch]]
+
+
+def components(links: DataFrame, one_task: int = 1 << 18) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for links (a, b), a < b.
 
-    Alternates large stars (greater neighbours move to the least) and small stars
+    Up to ``one_task`` links, some megabytes, are joined in one task without a shuffle.
+    More alternate large stars (greater neighbours move to the least) and small stars
     (lesser neighbours move to the least) until only stars are left; each round is
     written to the shared folder, and nothing but that answer reaches the driver."""
+    kinds = ", ".join(f"{x} {links.schema['a'].dataType.simpleString()}" for x in ("node", "root"))
+    if links.count() <= one_task:
+
+        @lean
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for some in joined(ends):
+                node, root = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array(node, batch_type), pa.array(root, batch_type)], ["node", "root"])
+
+        batch_type = to_arrow_type(links.schema["a"].dataType)
+        return links.select("a", "b").coalesce(1).mapInArrow(join, kinds)
     edges = cut(links.select("a", "b").distinct(), "links")
     while True:
         ends = edges.select(F.col("a").alias("n"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("n"), F.lit(1).alias("leaf")))

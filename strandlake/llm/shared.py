@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import shutil
@@ -32,12 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What runs here leaves no shuffle files: each action drops its own when it ends,
+    instead of when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, and a lost
     executor costs no more than the tasks that ran on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

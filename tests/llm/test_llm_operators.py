@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandlake.llm import anisotropic, decontaminate, html_extract, language_id, lm_score, order_minhash, packing, sharding, suffix_dedup, warc
+from strandlake.llm import anisotropic, decontaminate, html_extract, language_id, lm_score, order_minhash, packing, sharding, shared, suffix_dedup, warc
 
 RNG = random.Random(7)
 VOCAB = ["".join(RNG.choices("abcdefgh", k=5)) for _ in range(2000)]
@@ -198,6 +199,29 @@ def test_components(spark):
     assert got == {**{i: i // 10 * 10 for i in range(40)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_components_in_one_task_and_by_stars_agree(spark):
+    rng = random.Random(4)
+    links = sorted({tuple(sorted(rng.sample(range(400), 2))) for _ in range(250)})
+    df = spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in links], "a binary, b binary").repartition(5)
+    few, stars = order_minhash.components(df), order_minhash.components(df, one_task=0)
+    assert "Exchange" not in order_minhash.components(shared.cut(df, "links"))._jdf.queryExecution().executedPlan().toString()
+    got = sorted((bytes(r["node"]), bytes(r["root"])) for r in few.collect())
+    assert got == sorted((bytes(r["node"]), bytes(r["root"])) for r in stars.collect()) and len(got) == len({x for link in links for x in link})
+
+
+def test_a_table_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before, conf = held(), spark.conf.get(name, None)
+    out = shared.cut(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count().join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k"), "kept")
+    for _ in range(20):
+        if not (left := held() - before):
+            break
+        time.sleep(0.25)
+    assert not left and out.count() == 7 and spark.conf.get(name, None) == conf
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(ROWS[3][1].split()[:5])), (2, PASSAGE), (3, text(40)), (4, None), (5, ""), (6, "word word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
