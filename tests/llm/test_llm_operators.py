@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandlake.llm import anisotropic, decontaminate, html_extract, language_id, lm_score, order_minhash, packing, sharding, shared, suffix_dedup, warc
 
 RNG = random.Random(7)
@@ -222,6 +223,15 @@ def test_a_table_leaves_no_shuffle_files(spark):
     assert not left and out.count() == 7 and spark.conf.get(name, None) == conf
 
 
+def test_near_duplicates_of_the_pipeline_leave_little_on_disk(spark, docs):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before = held()
+    kept = shared.cut(corpus_pipeline.near_duplicates(spark, docs, ""), "kept")
+    time.sleep(1)
+    assert len(held() - before) < 5 and kept.count() < len(ROWS)
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(ROWS[3][1].split()[:5])), (2, PASSAGE), (3, text(40)), (4, None), (5, ""), (6, "word word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
