@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import ascii_lowered, gathered, slabs_of, spread, word_ids
-from .shared import cut, least_hashed
+from .shared import cut, lean, least_hashed
 from .suffix_dedup import row_key
 
 GROUP = 16
@@ -436,6 +436,7 @@ def score_texts(
     words = word_ids(tokenizer)
     end = words.tokenizer.get_vocab_size()
 
+    @lean
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for batch in batches:
@@ -451,6 +452,7 @@ def score_texts(
     lines = [np.array(x) for _, x in sample]
     kind = np.uint16 if end < 1 << 16 else np.uint32
 
+    @lean
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for batch in batches:
@@ -464,6 +466,7 @@ def score_texts(
     def tally(size: int, cells: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Cells that the ids of all training texts fall in, and how often."""
 
+        @lean
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros(size, np.int64)
             for batch in batches:
@@ -496,6 +499,7 @@ def score_texts(
     model.fit(lines)
     started = context.broadcast(model)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slabs_of(batch.column(0)):
@@ -508,6 +512,7 @@ def score_texts(
     got = commonest(counts, frequent).toArrow()
     top, top_c = got.column(0).combine_chunks().cast(pa.large_string()), got.column(1).to_numpy().astype(float)
 
+    @lean
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = started.value
         start = model.w
@@ -538,6 +543,7 @@ def score_texts(
 
     trainers = max(1, min(4096, -(-texts // 8000)))
     learned = ids.coalesce(trainers).mapInArrow(trained, "_slot int, _w binary, _n long").groupBy("_slot").applyInPandas(mean, "_slot int, _w binary, _n long").collect()  # 16 rows at most
+    started.unpersist()
     if learned:
         flat = sum(np.frombuffer(r["_w"], np.float32).astype(float) * r["_n"] for r in sorted(learned)) / sum(r["_n"] for r in learned)
         for name in sorted(model.w):
@@ -550,6 +556,7 @@ def score_texts(
     tree = WordTree(np.append(gathered(flat, (np.cumsum(sizes) - sizes)[which], sizes[which]), end).astype(np.int64), np.append(np.repeat(top_c[order], sizes[which]), texts), ends) if len(top) else None
     shared = context.broadcast((model, tree, top, np.log10(top_c + 0.5)))
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tree, top, log = shared.value
         words = word_ids(tokenizer)

@@ -288,6 +288,13 @@ def test_languages(spark, nothing):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"} and language_id.predict_languages(nothing).count() == 0
 
 
+def test_tasks_of_scores_give_unused_memory_back(docs, monkeypatch):
+    ran, kind = [], type(docs)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, task, *a, f=kind.mapInArrow, **b: ran.append(task) or f(self, task, *a, **b))
+    assert lm_score.score_texts(docs, F.col("doc_id") % 3 != 1, frequent=20, fit_rows=20).count() == len(ROWS)
+    assert len(ran) >= 8 and all(hasattr(task, "__wrapped__") for task in ran)
+
+
 def test_scores(docs, nothing):
     train = F.col("doc_id") % 3 != 1
     out = lm_score.score_texts(docs, train, frequent=20, fit_rows=20).collect()
