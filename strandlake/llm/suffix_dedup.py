@@ -23,14 +23,18 @@ Which windows of that length are repeated is settled exactly, in three steps.
    a value then part suffixes with ``length`` bytes or more in common.
 
 A key with over ``most_contexts`` different contexts (a frequent passage in ever new
-surroundings) is not laid into one block; its windows are counted one by one with
-map-side sums, the same rule at its finest grain.  Texts travel compressed.
+surroundings) is not laid into one block; the rule of step 3 is applied to it by map-side
+sums, at ever finer offsets (``fine``, an eighth of it, one).  Parts that stand twice are
+repeated as a whole, and only those that differ among parts of one stretch go on, one of
+each kind, so that single windows are counted at the passage's edges alone.  Texts travel
+compressed.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -328,15 +332,54 @@ def remove_repeats(
         if held:
             yield settle()
 
+    def parts_of(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        @lean
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of each context, the parts with windows at up to ``width`` offsets from the anchor: a
+            hash of what such windows share (_q), and one of the part (_h)."""
+            for batch in batches:
+                rows: list[tuple] = []
+                for key, ctx, m, at, r, body in zip(*(batch.column(c).to_pylist() for c in ("_key", "_ctx", "_m", "_at", "_r", "_body"))):
+                    last = len(body) - length
+                    for g in range((r - last) // width, r // width + 1):
+                        hi = r - g * width
+                        lo = max(0, hi - width + 1)
+                        part = body[lo : min(last, hi) + length]
+                        core = body[hi : hi - width + 1 + length]
+                        rows.append((xxhash.xxh3_64_intdigest(b"%d %d " % (key, g) + core) - (1 << 63), xxhash.xxh3_128_digest(part), key, ctx, m, at + lo, r - lo, part))
+                    if len(rows) > 4000:
+                        yield parts_batch(rows)
+                        rows = []
+                if rows:
+                    yield parts_batch(rows)
+
+        return parts
+
+    def parts_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["_q", "_h", "_key", "_ctx", "_m", "_at", "_r", "_body"])
+
     @lean
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, ctx, m, body in zip(batch.column("_key").to_pylist(), batch.column("_ctx").to_pylist(), batch.column("_m").to_pylist(), batch.column("_body").to_pylist()):
-                k = len(body) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(body[i : i + length]) for i in range(k)], pa.binary()), pa.array([key] * k, pa.int64()), pa.array([ctx] * k, pa.int64()), pa.array([m] * k, pa.int64()), pa.array(range(k), pa.int32())],
-                    ["_h", "_key", "_ctx", "_m", "_at"],
-                )
+            spans = [merged([(x["a"], x["b"]) for x in some]) for some in batch.column("_spans").to_pylist()]
+            yield found_batch(list(zip(batch.column("_key").to_pylist(), batch.column("_ctx").to_pylist(), spans)))
+
+    def by_parts(some: DataFrame) -> DataFrame:
+        """The repeated windows of contexts, whatever their number in a key."""
+        left, marks = some.withColumn("_at", F.lit(0)), []
+        for width in sorted({min(length, x) for x in (fine, max(1, fine // 8), 1)}, reverse=True):
+            each = cut(left.mapInArrow(parts_of(width), "_q long, _h binary, _key long, _ctx long, _m long, _at int, _r int, _body binary"), "parts")
+            one = [F.min(F.struct("_key", "_ctx", "_at", "_r", "_body")).alias("_one")] if width > 1 else []
+            unlike = each.groupBy("_q", "_h").agg(F.sum("_m").alias("_m"), *one)
+            unlike = cut(unlike, "kinds-of-parts") if width > 1 else unlike  # windows of one stretch are alike
+            twice = unlike.filter("_m > 1").select("_q", "_h")
+            marks.append(each.join(twice, ["_q", "_h"]).select("_key", "_ctx", F.col("_at").alias("a"), (F.col("_at") + F.octet_length("_body")).alias("b")))
+            if width > 1:
+                several = unlike.groupBy("_q").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).filter("_lo != _hi").select("_q")
+                left = unlike.join(several, "_q").select("_m", "_one.*")
+        spans = functools.reduce(DataFrame.unionByName, marks).groupBy("_key", "_ctx").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+        return spans.mapInArrow(joined, found_schema)
 
     names = [id_col, *[c for c in carry if c not in (id_col, text_col)]]
     out_names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"] + ["kept_text", "spans"] * with_text
@@ -384,10 +427,7 @@ def remove_repeats(
     found = contexts(kind.filter("not _big")).repartition("_key").sortWithinPartitions("_key", "_ctx").mapInArrow(expansion, found_schema)
     many = kind.filter("_big")
     if not many.isEmpty():
-        each = contexts(many).dropDuplicates(["_key", "_ctx"]).mapInArrow(windows, "_h binary, _key long, _ctx long, _m long, _at int")
-        twice = each.groupBy("_h").agg(F.sum("_m").alias("_t")).filter("_t > 1").select("_h")
-        each = each.join(twice, "_h").groupBy("_key", "_ctx").agg(F.collect_list(F.struct(F.col("_at").alias("a"), (F.col("_at") + length).alias("b"))).alias("_spans"))
-        found = found.unionByName(each)
+        found = found.unionByName(by_parts(contexts(many).dropDuplicates(["_key", "_ctx"])))
     sure = hits.filter("not _mixed").select("_rk", F.col("_s").alias("a"), (F.col("_s") + F.col("_n") + length).alias("b"))
     tried = mixed.join(found, ["_key", "_ctx"]).select("_rk", "_s", F.explode("_spans").alias("x")).select("_rk", (F.col("_s") + F.col("x.a")).alias("a"), (F.col("_s") + F.col("x.b")).alias("b"))
     shared = hits.groupBy("_rk").agg(F.count_distinct("_s").alias("n_shared"))

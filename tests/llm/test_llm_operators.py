@@ -79,6 +79,38 @@ def test_repeats(docs, most):
     assert all(r["n_shared"] > 0 for r in out if r["n_removed"]) and any(r["n_shared"] == 0 for r in out)
 
 
+def test_repeats_of_a_passage_everywhere_take_few_rows(spark, monkeypatch):
+    rng, kind = random.Random(11), type(spark.range(0))
+    some = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    tail = some(170)
+    rows = [(i, some(rng.randint(90, 140)) + (PASSAGE[:150] if i % 2 else PASSAGE[:20] + "~" * (i % 5) + PASSAGE[20:150]) + tail[: rng.randint(0, 170)] + some(100)) for i in range(60)]
+    n, made = 100, {}
+    seen = Counter(t[i : i + n] for _, t in rows for i in range(len(t) - n + 1))
+    want = {}
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                gone[i : i + n] = True
+        want[d] = "".join(c for c, x in zip(t, gone) if not x)
+
+    def counted(self, task, *a, f=kind.mapInArrow, **b):
+        total = made.setdefault(task.__name__, spark.sparkContext.accumulator(0))
+
+        def run(batches):
+            for batch in task(batches):
+                total.add(batch.num_rows)
+                yield batch
+
+        return f(self, run, *a, **b)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=n, most_contexts=4, with_text=True).collect()
+    assert {r["doc_id"]: r["kept_text"] for r in out} == want and sum(map(len, want.values())) < sum(len(t) for _, t in rows)
+    single = sum(made[x].value for x in ("windows", "parts") if x in made)
+    assert 0 < single < 0.5 * sum(c for c in seen.values() if c > 1)  # every repeated window by itself before
+
+
 def test_repeats_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
