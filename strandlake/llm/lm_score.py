@@ -45,8 +45,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import ascii_lowered, gathered, slabs_of, spread, word_ids
-from .shared import cut, lean, least_hashed
+from .packing import WordIds, ascii_lowered, gathered, slabs_of, spread, word_ids
+from .shared import cut, freed, lean, least_hashed
 from .suffix_dedup import row_key
 
 GROUP = 16
@@ -54,6 +54,8 @@ GROUP = 16
 MARKS = 96
 #: Windows of a step of the trainers.
 BATCH = 128
+#: Ids that are scored at a time, but for longer texts: a worker's memory grows with them.
+RUN = 1 << 17
 
 
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -404,6 +406,44 @@ def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, kind, (ends[-1] - ends[0]) // width, ends[0]).astype(np.int64), np.diff(ends) // width
 
 
+def base_of(texts: pa.Array, top: pa.Array, log: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of each text: how many words it has, how many of them are in ``top``, the sum of the
+    ``log`` of those, its other words, and how often it has each."""
+    rows = len(texts)
+    tokens, text = tokens_of(texts)
+    tokens = tokens.dictionary_encode()
+    place = pc.fill_null(pc.index_in(tokens.dictionary, value_set=top), -1).to_numpy(zero_copy_only=False)
+    which = tokens.indices.to_numpy()
+    place = place[which] if len(which) else np.zeros(0, np.int64)
+    found = place >= 0
+    pair, times = np.unique(text[~found] * (len(tokens.dictionary) + 1) + which[~found], return_counts=True)
+    at_rare = pa.array(np.searchsorted(pair, np.arange(rows + 1) * (len(tokens.dictionary) + 1)), pa.int32())
+    rare = pa.ListArray.from_arrays(at_rare, tokens.dictionary.take(pa.array(pair % (len(tokens.dictionary) + 1))).cast(pa.string()))
+    return np.bincount(text, minlength=rows), np.bincount(text[found], minlength=rows), np.bincount(text[found], log[place[found]], rows), rare, pa.ListArray.from_arrays(at_rare, pa.array(times, pa.int64()))
+
+
+def log_scores(texts: pa.Array, words: WordIds, model: AttentionModel, tree: WordTree | None, end: int) -> np.ndarray:
+    """log10 probability of each text, end included.  Ids of a slab are told by distinct
+    chunk; those of whole texts lie end to end for runs of texts with about RUN ids."""
+    flat, size, chunk, held = words.chunked(texts)
+    begin, last = np.cumsum(size) - size, np.cumsum(held)
+    share, left = (np.zeros(len(flat), np.float32), np.ones(len(flat), np.float32)) if tree is None else tree.read(flat, begin[size > 0])
+    run = (np.append(0, np.cumsum(size[chunk]))[last] - 1).clip(0) // RUN
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [len(run)]))
+    out = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        some = chunk[last[a] - held[a] : last[b - 1]]
+        length = size[some]
+        at, ends = spread(begin[some], length), np.append(0, np.cumsum(length))[np.cumsum(held[a:b])]
+        ids, sizes = with_end(flat.take(at), np.diff(ends, prepend=0), end)
+        each = model.scores(ids, sizes).astype(float)  # in 32 bits the least probabilities are zero
+        np.exp(each, out=each)
+        each *= np.insert(left.take(at), ends, 1)
+        each += np.insert(share.take(at), ends, 0)
+        out.append(np.add.reduceat(np.log(each), np.cumsum(sizes) - sizes, dtype=float) / math.log(10))
+    return np.concatenate(out)
+
+
 def commonest(counts: DataFrame, most: int) -> DataFrame:
     """Rows of the greatest counts, at most ``most`` and whole steps of 1/64 of a power of
     two; a histogram of 4,096 steps at most says where they begin, so nothing is ordered."""
@@ -563,34 +603,11 @@ def score_texts(
         for batch in batches:
             for at, texts_of in slabs_of(batch.column(1)):
                 part = batch.slice(at, len(texts_of))
-                bodies = [t or "" for t in texts_of.to_pylist()]
-                keys = [row_key(i, t.encode()) for i, t in zip(part.column(0).to_pylist(), bodies)]
-                tokens, text = tokens_of(texts_of)
-                tokens = tokens.dictionary_encode()
-                place = pc.fill_null(pc.index_in(tokens.dictionary, value_set=top), -1).to_numpy(zero_copy_only=False)
-                which = tokens.indices.to_numpy()
-                place = place[which] if len(which) else np.zeros(0, np.int64)
-                found = place >= 0
-                n = np.bincount(text, minlength=len(part)) + 1
-                known = np.bincount(text[found], minlength=len(part)) + (texts > 0)
-                base = np.bincount(text[found], log[place[found]], len(part)) + math.log10(texts + 0.5)
-                pair, times = np.unique(text[~found] * (len(tokens.dictionary) + 1) + which[~found], return_counts=True)
-                at_rare = pa.array(np.searchsorted(pair, np.arange(len(part) + 1) * (len(tokens.dictionary) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(at_rare, tokens.dictionary.take(pa.array(pair % (len(tokens.dictionary) + 1))).cast(pa.string())), pa.ListArray.from_arrays(at_rare, pa.array(times, pa.int64()))]
-                flat, size, chunk, held = words.chunked(texts_of)
-                begin = np.cumsum(size) - size
-                share, left = (np.zeros(len(flat), np.float32), np.ones(len(flat), np.float32)) if tree is None else tree.read(flat, begin[size > 0])
-                length = size[chunk]
-                last = np.concatenate(([0], np.cumsum(length)))[np.cumsum(held)]
-                at = spread(begin[chunk], length)
-                flat, share, left = flat.take(at), share.take(at), left.take(at)
-                flat, sizes = with_end(flat, np.diff(last, prepend=0), end)
-                share, left = np.insert(share, last, 0), np.insert(left, last, 1)
-                each = model.scores(flat, sizes).astype(float)  # in 32 bits the least probabilities are zero
-                np.exp(each, out=each)
-                each *= left
-                each += share
-                scores = np.add.reduceat(np.log(each), np.cumsum(sizes) - sizes, dtype=float) / math.log(10)
+                keys = [row_key(i, (t or "").encode()) for i, t in zip(part.column(0).to_pylist(), texts_of.to_pylist())]
+                n, known, base, *lists = base_of(texts_of, top, log)
+                n, known, base = n + 1, known + (texts > 0), base + math.log10(texts + 0.5)
+                freed()
+                scores = log_scores(texts_of, words, model, tree, end)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), *lists],
                     ["_id", "_train", "_rk", "_n", "_known", "_base", "score", "_rare", "_times"],

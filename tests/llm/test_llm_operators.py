@@ -327,6 +327,23 @@ def test_tasks_of_scores_give_unused_memory_back(docs, monkeypatch):
     assert len(ran) >= 8 and all(hasattr(task, "__wrapped__") for task in ran)
 
 
+def test_scores_take_a_bounded_run_of_ids_at_a_time(docs, monkeypatch):
+    import pyarrow as pa
+
+    tasks, kind, scores, sizes = {}, type(docs), lm_score.AttentionModel.scores, []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, task, *a, f=kind.mapInArrow, **b: tasks.update({task.__name__: task}) or f(self, task, *a, **b))
+    lm_score.score_texts(docs, F.col("doc_id") % 3 != 1, frequent=20, fit_rows=20)
+    monkeypatch.setattr(lm_score.AttentionModel, "scores", lambda self, flat, n, *a: sizes.append(len(flat)) or scores(self, flat, n, *a))
+    bodies = [text(RNG.randint(0, 900)) for _ in range(500)] + [None, "", text(40000), "A b."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies))), pa.array(bodies, pa.string()), pa.array([True] * len(bodies))], ["_id", "_text", "_train"])
+    together = [r for b in tasks["score"](iter([batch])) for r in b.to_pylist()]
+    assert len(sizes) > 3 and sum(sizes) > 4 << 17 and max(sizes) < 400_000
+    few = [*range(0, 500, 50), *range(500, 504)]
+    alone = [r for k in few for b in tasks["score"](iter([batch.slice(k, 1)])) for r in b.to_pylist()]
+    assert [r["_id"] for r in together] == list(range(504)) and [r["score"] for r in alone] == pytest.approx([together[k]["score"] for k in few], rel=1e-5)
+    assert [r["_n"] for r in together] == [len((t or "").split()) + 1 for t in bodies]
+
+
 def test_scores(docs, nothing):
     train = F.col("doc_id") % 3 != 1
     out = lm_score.score_texts(docs, train, frequent=20, fit_rows=20).collect()
