@@ -47,22 +47,41 @@ def near_pairs(calls: DataFrame, truth: DataFrame, near: int = 10, how: str = "i
     return out.drop("_bin", "_cbin")
 
 
-def indel_matches(calls: DataFrame, truth: DataFrame, near: int = 10) -> DataFrame:
-    """Each call's label: TP (a truth near by is similar), FP_samePOS (a truth near by),
-    FP_diffPOS; and the truths hit.  Calls have ``id``, CHR, POS, INDEL; truths ``T_ID``,
-    T_CHR, T_POS, T_INDEL."""
+def similar_kinds(calls: DataFrame, truth: DataFrame, near: int = 10) -> DataFrame:
+    """Distinct (CHR, POS, INDEL) of the calls beside the distinct (T_CHR, T_POS, T_INDEL)
+    near by with ``_n`` and ``_ids`` of their truths, ``_s`` where they are similar.
+
+    Calls and truths that repeat a place and a text meet once, not each with each."""
+    places = truth.groupBy("T_CHR", "T_POS", "T_INDEL").agg(F.countDistinct("T_ID").alias("_n"), F.collect_set("T_ID").alias("_ids"))
     similar = shared_pairs_similar(F.col("INDEL"), F.col("T_INDEL"))
-    pairs = near_pairs(calls, truth, near, "left").withColumn("_s", F.coalesce(similar, F.lit(False)))
-    out = pairs.groupBy("id", "CHR", "POS", "INDEL").agg(F.max("_s").alias("_tp"), F.count("T_ID").alias("_n"), F.array_sort(F.collect_set(F.when(F.col("_s"), F.col("T_ID")))).alias("hit"))
-    label = F.when(F.col("_tp"), "TP").when(F.col("_n") > 0, "FP_samePOS").otherwise("FP_diffPOS")
-    return out.select("id", "CHR", "POS", "INDEL", label.alias("label"), "hit")
+    pairs = near_pairs(calls.select("CHR", "POS", "INDEL").distinct(), places, near)
+    return pairs.withColumn("_s", F.coalesce(similar, F.lit(False)))
 
 
-def indel_summary(matches: DataFrame, expected: int) -> DataFrame:
-    """TP, FP_samePOS, FP_diffPOS, and FN: expected less the distinct truths hit."""
+def indel_matches(calls: DataFrame, truth: DataFrame, near: int = 10) -> DataFrame:
+    """Each call's label: TP (a truth near by is similar), FP_samePOS (a truth near by),
+    FP_diffPOS; the truths hit, and their number ``hits``.  Calls have ``id``, CHR, POS,
+    INDEL; truths ``T_ID`` (of one place and text), T_CHR, T_POS, T_INDEL.
+
+    Where ``hit`` is not asked for, no ids are gathered."""
+    pairs = similar_kinds(calls, truth, near)
+    hit = lambda c: F.when(F.col("_s"), F.col(c))
+    kinds = pairs.groupBy(F.col("CHR").alias("_c"), F.col("POS").alias("_p"), F.col("INDEL").alias("_i")).agg(F.max("_s").alias("_tp"), F.sum("_n").alias("_near"), F.sum(hit("_n")).alias("_hits"), F.array_sort(F.flatten(F.collect_list(hit("_ids")))).alias("_hit"))
+    same = (F.col("CHR") == F.col("_c")) & (F.col("POS") == F.col("_p")) & F.col("INDEL").eqNullSafe(F.col("_i"))
+    out = calls.select("id", "CHR", "POS", "INDEL").distinct().join(kinds, same, "left")
+    label = F.when(F.col("_tp"), "TP").when(F.col("_near") > 0, "FP_samePOS").otherwise("FP_diffPOS")
+    ids = F.coalesce("_hit", F.array().cast(f"array<{dict(truth.dtypes)['T_ID']}>"))
+    return out.select("id", "CHR", "POS", "INDEL", label.alias("label"), F.coalesce("_hits", F.lit(0)).cast("long").alias("hits"), ids.alias("hit"))
+
+
+def indel_summary(calls: DataFrame, truth: DataFrame, near: int = 10) -> DataFrame:
+    """TP, FP_samePOS, FP_diffPOS, and FN: the truths less the distinct ones hit."""
+    matches = indel_matches(calls, truth, near)
     counts = matches.agg(*(F.count_if(F.col("label") == x).alias(x) for x in ("TP", "FP_samePOS", "FP_diffPOS")))
-    hits = matches.select(F.explode("hit").alias("h")).agg(F.countDistinct("h").alias("_h"))
-    return counts.crossJoin(hits).select("TP", "FP_samePOS", "FP_diffPOS", (F.lit(expected) - F.col("_h")).alias("FN"))  # one row each
+    found = similar_kinds(calls, truth, near).filter("_s").select("T_CHR", "T_POS", "T_INDEL").distinct()
+    hits = truth.join(found, ["T_CHR", "T_POS", "T_INDEL"], "left_semi").agg(F.countDistinct("T_ID").alias("_h"))
+    expected = truth.agg(F.count("*").alias("_all"))
+    return counts.crossJoin(hits).crossJoin(expected).select("TP", "FP_samePOS", "FP_diffPOS", (F.col("_all") - F.col("_h")).alias("FN"))  # one row each
 
 
 def without_blanks(calls: DataFrame, blanks: DataFrame, near: int = 10) -> DataFrame:

@@ -452,15 +452,14 @@ def indel_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {INDEL_SQL}, m AS (SELECT c.*, t.t_id, t.t_id IS NOT NULL AND {SIMILAR_SQL.format(a='c."INDEL"', b='t.t_indel')} AS s FROM calls c LEFT JOIN truths t ON c."CHR" = t.t_chr AND abs(c."POS" - t.t_pos) <= 10)
 SELECT id, "CHR", "POS", "INDEL", CASE WHEN bool_or(s) THEN 'TP' WHEN count(t_id) > 0 THEN 'FP_samePOS' ELSE 'FP_diffPOS' END AS label, CAST(count(DISTINCT CASE WHEN s THEN t_id END) AS BIGINT) AS hits FROM m GROUP BY id, "CHR", "POS", "INDEL" """)
 def indel_truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.indel_matches(indel_calls(spark, sf_dir), indel_truths(spark, sf_dir)).withColumn("hits", F.size("hit").cast("long")).drop("hit")
+    return compare.indel_matches(indel_calls(spark, sf_dir), indel_truths(spark, sf_dir)).drop("hit")
 
 
 @query(f"""WITH {INDEL_SQL}, m AS (SELECT c.*, t.t_id, t.t_id IS NOT NULL AND {SIMILAR_SQL.format(a='c."INDEL"', b='t.t_indel')} AS s FROM calls c LEFT JOIN truths t ON c."CHR" = t.t_chr AND abs(c."POS" - t.t_pos) <= 10),
 g AS (SELECT id, CASE WHEN bool_or(s) THEN 'TP' WHEN count(t_id) > 0 THEN 'FP_samePOS' ELSE 'FP_diffPOS' END AS label FROM m GROUP BY id)
 SELECT count(*) FILTER (label = 'TP') AS "TP", count(*) FILTER (label = 'FP_samePOS') AS "FP_samePOS", count(*) FILTER (label = 'FP_diffPOS') AS "FP_diffPOS", (SELECT count(*) FROM truths) - (SELECT count(DISTINCT t_id) FROM m WHERE s) AS "FN" FROM g""")
 def indel_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = indel_truths(spark, sf_dir)
-    return compare.indel_summary(compare.indel_matches(indel_calls(spark, sf_dir), t), t.count())
+    return compare.indel_summary(indel_calls(spark, sf_dir), indel_truths(spark, sf_dir))
 
 
 @query(f"""WITH {INDEL_SQL} SELECT * FROM calls c WHERE NOT EXISTS (SELECT 1 FROM truths t WHERE t.t_chr = c."CHR" AND abs(c."POS" - t.t_pos) <= 10)""")
