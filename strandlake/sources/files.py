@@ -80,9 +80,11 @@ def read_reference(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def parse_sam(lines: DataFrame) -> DataFrame:
     """SAM lines (columns value, input_index, line_ord) as typed rows, kept or not.
 
-    Header lines go; a line that cannot be parsed fails and is quoted."""
-    f = F.split("value", "\t")
-    bad = F.raise_error(F.concat(F.lit("Failed to parse sam line: "), "value"))
+    Header lines go; a line that cannot be parsed fails and is quoted.  Lines are split once:
+    no filter on a field moves below the generator and splits them again."""
+    lines = lines.select("input_index", "line_ord", F.explode(F.array(F.split("value", "\t"))).alias("_f"))
+    f = F.col("_f")
+    bad = F.raise_error(F.concat(F.lit("Failed to parse sam line: "), F.array_join(f, "\t")))
     number = lambda k: F.when(F.size(f) > k, F.get(f, F.lit(k)).try_cast("int"))
     flags, pos = number(1), number(3)
     ok = (F.size(f) >= 10) & flags.isNotNull() & pos.isNotNull()
@@ -92,8 +94,11 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     mate_pos = F.when(wants_mate, F.coalesce(number(7), bad.cast("int")))
     place = F.struct(next_contig.alias("contig"), mate_pos.alias("pos"), sam_fields.flag(flags, 32).alias("rev"))
     tags = F.when(F.size(f) > 10, F.slice(f, 11, 1 << 20)).otherwise(F.array().cast("array<string>"))
-    expect = F.concat(F.when(wants_mate, F.array(place)).otherwise(F.array().cast(f"array<{sam_fields.PLACE}>")), sam_fields.supplementary(tags))
-    lines = lines.filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    none = F.array().cast(f"array<{sam_fields.PLACE}>")
+    tagged = F.size(f) > 10  # lines without tags pass by the functions of arrays
+    some = F.when(tagged & F.exists(tags, lambda t: t.startswith("SA:Z:")), sam_fields.supplementary(tags)).otherwise(none)
+    expect = F.concat(F.when(wants_mate, F.array(place)).otherwise(none), some)
+    lines = lines.filter(~f[0].startswith("@") & ((F.size(f) > 1) | (f[0] != "")))
     return lines.select(
         "input_index", "line_ord", F.get(f, F.lit(0)).alias("qname"), contig.alias("contig"), pos.alias("pos"), sam_fields.flag(flags, 16).alias("rev"),
         F.get(f, F.lit(5)).alias("cigar"), F.upper(F.get(f, F.lit(9))).alias("seq"), F.length(F.get(f, F.lit(9))).alias("seq_len"), expect.alias("expect"), sam_fields.bad_supplementary(tags).alias("bad_tags"),
