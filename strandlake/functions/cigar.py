@@ -1,11 +1,16 @@
-"""CIGAR strings: tokens, and blocks by a fold over the tokens."""
+"""CIGAR strings: tokens, and blocks by a fold over the tokens of each distinct string."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = "struct<q_start:int,r_start:int,q_len:int,r_len:int>"
+TOKEN = re.compile("([0-9]+)([A-Za-z=])")
 
 
 def tokens(cigar: Column) -> Column:
@@ -17,6 +22,49 @@ def tokens(cigar: Column) -> Column:
     return F.when(broken, F.raise_error(F.concat(F.lit("Could not parse cigar string "), cigar)).cast("array<struct<n:int,op:string>>")).otherwise(out)
 
 
+def fold(text: str, extended: bool = False) -> list[tuple[int, int, int, int]]:
+    """The blocks of one CIGAR string that begins at reference index 0."""
+    match, nothing = ("M=X", "HP") if extended else ("M", "H")
+    if TOKEN.sub("", text):
+        raise ValueError(f"Could not parse cigar string {text}")
+    out, q, r = [], 0, 0
+    for number, op in TOKEN.findall(text):
+        n = int(number)
+        if op in match or op == "D" or op == "I" and q > 0:
+            q_len, r_len = n * (op != "D"), n * (op != "I")
+            out.append((q, r, q_len, r_len))
+            q, r = q + q_len, r + r_len
+        elif op in "SI":
+            q += n
+        elif op == "N":
+            r += n
+        elif op not in nothing:
+            raise ValueError(f"Unrecognized cigar character {op} in {text}")
+    return out
+
+
+def folded(extended: bool):
+    """``fold`` over columns (CIGAR string, first reference index): each string once a batch."""
+
+    def run(text: pa.Array, start: pa.Array) -> pa.Array:
+        coded = text.dictionary_encode()
+        found = [fold(t, extended) for t in coded.dictionary.to_pylist()]
+        flat = np.array([x for f in found for x in f], np.int32).reshape(-1, 4)
+        sizes = np.array([*map(len, found), 0], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        which = coded.indices.fill_null(len(found)).to_numpy(zero_copy_only=False)
+        n = sizes[which]
+        ends = np.cumsum(n)
+        cells = flat[np.repeat(begins[which] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+        shift, unknown = np.repeat(start.fill_null(0).to_numpy(zero_copy_only=False), n), np.repeat(start.is_null().to_numpy(zero_copy_only=False), n)
+        fields = [pa.array(cells[:, 0]), pa.array(cells[:, 1] + shift, pa.int32(), mask=unknown), pa.array(cells[:, 2]), pa.array(cells[:, 3])]
+        values = pa.StructArray.from_arrays(fields, ["q_start", "r_start", "q_len", "r_len"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values, mask=text.is_null())
+
+    run.__annotations__ = {"text": pa.Array, "start": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, f"array<{BLOCK}>")
+
+
 def blocks(cigar: Column, pos: Column, seq_len: Column, extended: bool = False) -> Column:
     """Aligned blocks (0-based): matches, insertions (r_len 0), deletions (q_len 0).
 
@@ -24,26 +72,7 @@ def blocks(cigar: Column, pos: Column, seq_len: Column, extended: bool = False)
     the first base skip query bases, H skips nothing, N skips reference bases; other
     operations fail unless ``extended`` reads = and X as matches and P as nothing."""
     whole = F.when(cigar == "=", F.concat(seq_len.cast("string"), F.lit("M"))).otherwise(cigar)
-    match = ["M", "=", "X"] if extended else ["M"]
-    nothing = ["H", "P"] if extended else ["H"]
-
-    def step(acc: Column, t: Column) -> Column:
-        n, op, q, r = t["n"], t["op"], acc["q"], acc["r"]
-        skip = (op == "S") | ((op == "I") & (q <= 0))
-        is_match, ins, gone = op.isin(*match), (op == "I") & (q > 0), op == "D"
-        bad = ~(skip | is_match | (op == "I") | gone | op.isin("N", *nothing))
-        q_len = F.when(is_match | ins, n).otherwise(0)
-        r_len = F.when(is_match | gone, n).otherwise(0)
-        block = F.struct(q.alias("q_start"), r.alias("r_start"), q_len.alias("q_len"), r_len.alias("r_len"))
-        grown = F.when(is_match | ins | gone, F.concat(acc["b"], F.array(block))).otherwise(acc["b"])
-        out = F.struct(
-            F.when(bad, F.raise_error(F.concat(F.lit("Unrecognized cigar character "), op, F.lit(" in "), cigar)).cast("int")).otherwise(q + F.when(skip, n).otherwise(q_len)).alias("q"),
-            (r + F.when(op == "N", n).otherwise(r_len)).alias("r"), grown.alias("b"),
-        )
-        return out
-
-    start = F.struct(F.lit(0).alias("q"), (pos - 1).cast("int").alias("r"), F.array().cast(f"array<{BLOCK}>").alias("b"))
-    return F.aggregate(tokens(whole), start, step, lambda acc: acc["b"])
+    return folded(extended)(whole, (pos - 1).cast("int"))
 
 
 def has_gap(cigar: Column) -> Column:

@@ -9,6 +9,7 @@ and adds the counts before it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,14 +17,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Blocks in one run of ``numbered``.
+STEP = 4096
+
+
 def numbered(df: DataFrame, by: list[str], block: Column, order: list, name: str) -> DataFrame:
     """``name``: 0-based place of each row in the order of (block, order) within ``by``.
 
-    Only the number of rows of each block passes through one window."""
+    Only the number of rows of each block passes through a window, of ``STEP`` blocks; one of
+    all holds a row for each such run of blocks."""
     df = df.withColumn("_block", block)
     counts = df.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    counts = counts.withColumn("_run", F.floor(F.col("_block") / STEP))
+    runs = counts.groupBy(*by, "_run").agg(F.sum("_n").alias("_n"))
+    before = lambda *keys: Window.partitionBy(*by, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0))
+    runs = runs.select(*by, "_run", earlier(before().orderBy("_run")).alias("_base"))
+    starts = counts.withColumn("_in", earlier(before("_run").orderBy("_block"))).join(runs, [*by, "_run"]).select(*by, "_block", (F.col("_in") + F.col("_base")).alias("_from"))
     within = Window.partitionBy(*by, "_block").orderBy(*order)
     df = df.withColumn("_row", F.row_number().over(within) - 1)
     return df.join(starts, [*by, "_block"]).withColumn(name, F.col("_row") + F.col("_from")).drop("_block", "_row", "_from")
@@ -75,14 +85,20 @@ def replay(rows: list[tuple], ordered: bool) -> list[tuple[int, int, int, bool,
 
 
 def alignments(components: DataFrame, ordered: bool = True) -> DataFrame:
-    """Adds ``aln`` (ord of its first part), ``part``, ``incomplete``, ``emitted``.
+    """Adds ``aln`` (ord of its first part), ``part``, ``incomplete``, ``emitted``, and
+    ``n_parts`` of the alignment.
 
     Reads without any expected place are alignments of one line each; only the names of
-    the others are gathered, and only their lines replayed, by file and read name."""
+    the others are gathered, and only their lines replayed, by file and read name.  If there
+    are none, no line is moved."""
     rows = with_ordinals(components) if "ord" not in components.columns else components
     own = ["input_index", "qname"]
-    waiting = rows.groupBy(*own).agg(F.max(F.size("expect")).alias("_n")).filter("_n > 0").select(*own)
-    alone = rows.join(waiting, own, "left_anti").select(*[c for c in rows.columns if c != "expect"], F.col("ord").alias("aln"), F.lit(0).alias("part"), F.lit(False).alias("incomplete"), F.col("ord").alias("emitted"))
+    waiting = components.filter(F.size("expect") > 0).select(*own)
+    some = not waiting.isEmpty()
+    alone = rows.join(waiting.distinct(), own, "left_anti") if some else rows
+    alone = alone.select(*[c for c in rows.columns if c != "expect"], F.col("ord").alias("aln"), F.lit(0).alias("part"), F.lit(False).alias("incomplete"), F.col("ord").alias("emitted"), F.lit(1).cast("long").alias("n_parts"))
+    if not some:
+        return alone
 
     names = [c for c in rows.columns if c != "expect"]
 
@@ -98,8 +114,10 @@ def alignments(components: DataFrame, ordered: bool = True) -> DataFrame:
             lines = [(ords[k], (contigs[k], positions[k], revs[k]), [place(e) for e in expects[k]]) for k in range(at, end)]
             out += [x[1:] for x in sorted(replay(lines, ordered))]  # rows are in the order of ord
             at = end
-        found = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.bool_(), pa.int64()))]
-        for name, x in zip(("aln", "part", "incomplete", "emitted"), found):
+        sizes = Counter((k, x[0]) for k, x in zip(inputs, out))
+        out = [(*x, sizes[k, x[0]]) for k, x in zip(inputs, out)]
+        found = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))]
+        for name, x in zip(("aln", "part", "incomplete", "emitted", "n_parts"), found):
             table = table.append_column(name, x)
         yield from table.drop_columns(["expect"]).to_batches()
 
@@ -121,8 +139,8 @@ def alignments(components: DataFrame, ordered: bool = True) -> DataFrame:
             yield from settled(pa.Table.from_batches(held))
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "expect")
-    some = rows.select(*names, "expect").join(waiting, own, "left_semi").repartition(*own).sortWithinPartitions(*own, "ord")
-    some = some.mapInArrow(group, kinds + ", aln long, part int, incomplete boolean, emitted long")
+    some = rows.select(*names, "expect").join(waiting.distinct(), own, "left_semi").repartition(*own).sortWithinPartitions(*own, "ord")
+    some = some.mapInArrow(group, kinds + ", aln long, part int, incomplete boolean, emitted long, n_parts long")
     return alone.unionByName(some)
 
 
@@ -131,7 +149,8 @@ def query_groups(aligned: DataFrame) -> DataFrame:
 
     Consecutive alignments of the same names are islands: their place in the order of
     emission less their number among alignments of those names is constant."""
-    aligned = aligned.withColumn("n_parts", F.count("*").over(Window.partitionBy("input_index", "aln")))
+    if "n_parts" not in aligned.columns:
+        aligned = aligned.withColumn("n_parts", F.count("*").over(Window.partitionBy("input_index", "aln")))
     heads = aligned.filter("part = 0").select("input_index", "qname", "aln", "n_parts", "emitted")
     heads = numbered(heads, ["input_index"], F.floor(F.col("emitted") / 200_000), ["emitted", "aln"], "place")
     same = Window.partitionBy("input_index", "qname", "n_parts")
