@@ -28,3 +28,21 @@ def test_calls_and_truths_of_one_place_meet_once(spark):
     labels = [x[0] for x in want.values()]
     counts = [labels.count(x) for x in ("TP", "FP_samePOS", "FP_diffPOS")]
     assert list(compare.indel_summary(calls_, truth).first()) == [*counts, len(b) - len(hit)]
+
+
+def test_lift_equals_the_fold_of_truths_in_turn(spark):
+    rng = random.Random(3)
+    truth = [(c, rng.randrange(-5, 400) * s, rng.randrange(-9, 12)) for c in "cde" for s in [1 if c != "e" else 700] for _ in range(150)]
+    truth += [("d", 300, None), (None, 4, 2)]
+    places = [(i, rng.choice("cdef"), rng.randrange(-20, 500)) for i in range(600)] + [(600 + i, "e", rng.randrange(0, 300_000)) for i in range(300)] + [(900, "c", None), (901, None, 5)]
+
+    def moved(c, p):
+        for t, n in sorted(((x[1], x[2]) for x in truth if x[0] is not None and x[0] == c), key=lambda x: (x[0], x[1] is not None, x[1] or 0)):
+            if p is not None and t < p:
+                p = None if n is None else p - n
+        return p
+
+    rows = spark.createDataFrame(places, "id int, CHR string, POS int")
+    out = compare.lifted(rows, spark.createDataFrame(truth, "T_CHR string, T_POS int, T_LEN int"))
+    assert {r["id"]: r["LIFTED"] for r in out.collect()} == {i: moved(c, p) for i, c, p in places}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
