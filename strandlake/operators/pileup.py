@@ -7,7 +7,7 @@ a position's alleles into one row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import allele_rank
@@ -44,12 +44,24 @@ def shown_example(insertion: Column) -> Column:
 
 def with_absences(piled: DataFrame) -> DataFrame:
     """Adds the rows of reads without an insertion: for each insertion offset, the base
-    depth at its anchor less the insertions there, by container, where positive."""
-    base = piled.filter("ins_idx is null").groupBy("contig", "pos").agg(*(F.sum(c).alias(f"b_{c}") for c in CONTAINERS))
-    ins = piled.filter("ins_idx is not null").groupBy("contig", "pos", "ins_idx").agg(*(F.sum(c).alias(f"i_{c}") for c in CONTAINERS))
-    scaled = lambda c: (depth(F.coalesce(F.col(f"b_{c}"), F.lit(0))) * f32(100)).cast("long")
-    rest = ins.join(base, ["contig", "pos"], "left").select("contig", "pos", "ins_idx", F.lit("-").alias("ref"), F.lit("-").alias("allele"), *(F.greatest(F.lit(0), scaled(c) - F.col(f"i_{c}")).cast("long").alias(c) for c in CONTAINERS))
-    return piled.unionByName(rest, allowMissingColumns=True)
+    depth at its anchor less the insertions there, by container, where positive.
+
+    The sums stand beside the rows of one exchange by place; what groups them by place and
+    offset afterwards (``positions``) needs no other."""
+    order = ["ref", "allele"]
+    place = Window.partitionBy("contig", "pos").orderBy("ins_idx", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offset = Window.partitionBy("contig", "pos", "ins_idx").orderBy(*order)
+    whole = offset.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ins = F.col("ins_idx").isNotNull()
+    rows = piled.withColumns({f"_b_{c}": F.sum(F.when(~ins, F.col(c))).over(place) for c in CONTAINERS})
+    rows = rows.withColumns({**{f"_i_{c}": F.sum(c).over(whole) for c in CONTAINERS}, "_first": F.row_number().over(offset) == 1})
+    scaled = lambda c: (depth(F.coalesce(F.col(f"_b_{c}"), F.lit(0))) * f32(100)).cast("long")
+    kinds = {c: t for c, t in piled.dtypes if c not in ("contig", "pos", "ins_idx")}
+    rest = {c: F.greatest(F.lit(0), scaled(c) - F.col(f"_i_{c}")) for c in CONTAINERS} | {c: F.lit("-") for c in order}
+    one = F.struct(*kinds)
+    absent = F.struct(*(rest.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    rows = rows.select("contig", "pos", "ins_idx", F.explode(F.when(ins & F.col("_first"), F.array(one, absent)).otherwise(F.array(one))).alias("_r"))
+    return rows.select("contig", "pos", "ins_idx", *(F.col(f"_r.{c}").alias(c) for c in kinds)).select(*piled.columns)
 
 
 def positions(piled: DataFrame, examples: bool = True) -> DataFrame:

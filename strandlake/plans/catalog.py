@@ -46,11 +46,14 @@ def observations(spark: SparkSession, sf_dir: str, insertions: bool = True) -> D
         F.col("l_linenumber").alias("_i"), F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("ex_name"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("ex_id"), (F.floor("l_quantity") % 5 == 0).alias("_ins"),
     )
     gone = F.col("allele") == "-"
-    base = rows.filter("allele != 'N'").withColumns({"ins_idx": F.lit(None).cast("int"), "ex_del": gone, "ex_idx": F.when(gone, -F.col("_i")).otherwise(F.col("_i"))})
-    if insertions:
-        ins = rows.filter("_ins and allele != '-'").withColumns({"ins_idx": (F.col("_i") % 3).cast("int"), "ref": F.lit("-"), "ex_del": F.lit(False), "ex_idx": F.col("_i")})
-        base = base.unionByName(ins)
-    return base.drop("_ins", "_i")
+    base, extra = F.col("allele") != "N", F.col("_ins") & ~gone
+    own = F.array(F.lit(None).cast("int"))
+    offset = F.array((F.col("_i") % 3).cast("int"))
+    kinds = F.when(base & extra, F.concat(own, offset)).when(base, own).when(extra, offset) if insertions else F.when(base, own)
+    rows = rows.withColumn("ins_idx", F.explode(kinds))  # one pass: a line is a base, an insertion, or both
+    ins = F.col("ins_idx").isNotNull()
+    rows = rows.withColumns({"ref": F.when(ins, "-").otherwise(F.col("ref")), "ex_del": gone, "ex_idx": F.when(gone, -F.col("_i")).otherwise(F.col("_i"))})
+    return rows.drop("_ins", "_i")
 
 
 def piled(spark: SparkSession, sf_dir: str, examples: bool = False) -> DataFrame:

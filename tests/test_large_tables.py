@@ -2,7 +2,7 @@
 
 import random
 
-from strandlake.operators import compare
+from strandlake.operators import compare, pileup
 
 
 def test_calls_and_truths_of_one_place_meet_once(spark):
@@ -46,3 +46,14 @@ def test_lift_equals_the_fold_of_truths_in_turn(spark):
     out = compare.lifted(rows, spark.createDataFrame(truth, "T_CHR string, T_POS int, T_LEN int"))
     assert {r["id"]: r["LIFTED"] for r in out.collect()} == {i: moved(c, p) for i, c, p in places}
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_absences_and_positions_share_one_exchange(spark):
+    rows = [("c", p, i, "-" if i is not None else "A", a, f, m, 25) for p in range(40) for i in (None, 0, 1) for a in "ACG" for f in (True, False) for m in (True, False) if (p + (i or 0)) % 3]
+    seen = spark.createDataFrame(rows, "contig string, pos int, ins_idx int, ref string, allele string, fwd boolean, near_end boolean, w100 int")
+    piled = pileup.pileup(seen, False)
+    out = pileup.positions(pileup.with_absences(piled), False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # counts before, by strand and part, and by place
+    sums = {(r["pos"], r["ins_idx"]): (r["middle"], r["r_fm"]) for r in out.collect()}
+    assert sums[4, None] == (150, 25) and sums[4, 1] == (150, 0) and sums[2, 0] == (150, 0) and sums[3, 1] == (150, 0)
