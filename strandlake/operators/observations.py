@@ -73,9 +73,9 @@ def base_observations(blocked: DataFrame, reference: DataFrame, fraction: float
     missing = F.raise_error(F.concat(F.lit("Reference contig named '"), "contig", F.lit("' not found"))).cast("string")
     parts = covering_parts(F.when(insertion, b["r_start"] - 1).otherwise(b["r_start"]), F.when(insertion, 0).otherwise(1), span)
     df = df.select(
-        F.when(F.col("_there"), F.col("contig")).otherwise(missing).alias("contig"), "b", "seq", "rev", "weight", "n_parts", "lap_from", "lap_to", "q_first", "q_last", "seq_len", "qname", "ord", "_lo", "_ref",
-        parts.alias("_parts"), F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("i"),
+        F.when(F.col("_there"), F.col("contig")).otherwise(missing).alias("contig"), "b", "seq", "rev", "weight", "n_parts", "lap_from", "lap_to", "q_first", "q_last", "seq_len", "qname", "ord", "_lo", "_hi", "_ref", parts.alias("_parts"),
     )
+    df = df.withColumn("i", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))  # by itself: what stands beside it would run for each base
     i = F.col("i")
     index = F.when(insertion, b["r_start"] - 1).otherwise(b["r_start"] + i)
     base = F.when(deletion, F.lit("-")).otherwise(F.substring(F.col("seq"), b["q_start"] + i + 1, F.lit(1)))

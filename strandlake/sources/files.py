@@ -95,7 +95,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     place = F.struct(next_contig.alias("contig"), mate_pos.alias("pos"), sam_fields.flag(flags, 32).alias("rev"))
     tags = F.when(F.size(f) > 10, F.slice(f, 11, 1 << 20)).otherwise(F.array().cast("array<string>"))
     none = F.array().cast(f"array<{sam_fields.PLACE}>")
-    tagged = F.size(f) > 10  # lines without tags pass by the functions of arrays
+    tagged = (F.size(f) > 11) | F.get(f, F.lit(10)).startswith("SA:Z:")  # lines without tags pass by the functions of arrays
     some = F.when(tagged & F.exists(tags, lambda t: t.startswith("SA:Z:")), sam_fields.supplementary(tags)).otherwise(none)
     expect = F.concat(F.when(wants_mate, F.array(place)).otherwise(none), some)
     lines = lines.filter(~f[0].startswith("@") & ((F.size(f) > 1) | (f[0] != "")))
