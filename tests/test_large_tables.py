@@ -3,6 +3,7 @@
 import random
 
 from strandlake.operators import compare, pileup
+from strandlake.sources import files
 
 
 def test_calls_and_truths_of_one_place_meet_once(spark):
@@ -57,3 +58,10 @@ def test_absences_and_positions_share_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 2  # counts before, by strand and part, and by place
     sums = {(r["pos"], r["ins_idx"]): (r["middle"], r["r_fm"]) for r in out.collect()}
     assert sums[4, None] == (150, 25) and sums[4, 1] == (150, 0) and sums[2, 0] == (150, 0) and sums[3, 1] == (150, 0)
+
+
+def test_a_line_is_split_once(spark):
+    lines = spark.createDataFrame([("r\t0\tc\t5\t60\t4M\t*\t0\t0\tACGT\tSA:Z:d,7,-,3M,60,0;", 0, (0, 1)), ("@HD", 0, (0, 0)), ("", 0, (0, 2))], "value string, input_index int, line_ord struct<block:bigint,row:bigint>")
+    rows = files.kept(files.parse_sam(lines))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+    assert [(r["qname"], r["pos"], r["seq"], r["expect"][0]["contig"]) for r in rows.collect()] == [("r", 5, "ACGT", "d")]
